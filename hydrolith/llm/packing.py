@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from hydrolith.llm.common import doc_blocks, materialize, text_buffers
 GROUP_ITEMS = 4096
 #: Fewest groups of the first round, so that small inputs use the cluster too.
 LEAST_GROUPS = 16
-CACHE_WORDS = 250_000
+CACHE_PARTS, CACHE_MATCHES = 700_000, 500_000
 
 
 class PieceEncoder:
@@ -38,7 +39,9 @@ class PieceEncoder:
         self.model = self.whole.model
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # str.isspace and the pattern's white space differ in rare characters: a cut before any of them is avoided
-        self.cut = re.compile(r"(?<=.) (?=[^\s\x1c-\x1f\x85᠎​⁠﻿])", re.DOTALL)
+        blank = r"\s\x1c-\x1f\x85᠎​⁠﻿"
+        self.cut = re.compile(f"(?<=.) (?=[^{blank}])", re.DOTALL)
+        self.uneven = re.compile(f"^ | [{blank}]| $")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -50,26 +53,29 @@ class PieceEncoder:
         found = self.matches.get(match)
         if found is None:
             ids = [t.id for t in self.model.tokenize(match.encode().decode("latin1").translate(self.byte_chars))]
-            found = self.matches[match] = np.array(ids, "<u4").tobytes()
+            found = self.matches[match] = array("I", ids).tobytes()
         return found
 
     def _part(self, part: str) -> bytes:
         if any(a in part for a in self.added):
             return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if part[:1] == " " and part[1:].isalpha():
+            return self._match(part)
+        if part[:1] == " " and part[-1] in ".,;:!?" and part[1:-1].isalpha():
+            return self._match(part[:-1]) + self._match(part[-1])
         return b"".join(map(self._match, self.pattern.findall(part)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        if len(self.matches) > CACHE_WORDS:
+        if len(self.matches) > CACHE_MATCHES:
             self.matches.clear()
-        first, *rest = self.cut.split(text)
-        parts, known = self.parts, []
-        for word in rest:
-            ids = parts.get(word)
-            if ids is None:
-                ids = parts[word] = self._part(" " + word)
-            known.append(ids)
+        first, *rest = self.cut.split(text) if self.uneven.search(text) else text.split(" ")
+        known = list(map(self.parts.get, rest))
+        if None in known:
+            for k, ids in enumerate(known):
+                if ids is None:
+                    known[k] = self.parts[rest[k]] = self.parts.get(rest[k]) or self._part(" " + rest[k])
         return self._part(first) + b"".join(known)
 
 
