@@ -1 +1 @@
-"""See README."""
+"""Column functions: rounding, guards, calendar, text classification, identifiers."""

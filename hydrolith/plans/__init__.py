@@ -1 +1 @@
-"""See README."""
+"""Registered queries over the driver's tables."""

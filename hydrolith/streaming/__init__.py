@@ -1 +1 @@
-"""See README."""
+"""Structured Streaming forms of polling, deduplication, windowed counts and staleness."""
