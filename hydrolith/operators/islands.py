@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from hydrolith.functions.core import MINUTE, minutes_between, round6
 
-BY_TIME = Window.partitionBy("sensor").orderBy("t")
+def by_time():
+    return Window.partitionBy("sensor").orderBy("t")
 
 
 def observation_windows(series: DataFrame, gap_minutes: int = 1440) -> DataFrame:
     """series with `window`, from 1: a new one starts where the gap to the row before is longer than gap_minutes."""
-    starts = (F.col("t") - F.lag("t").over(BY_TIME) > gap_minutes * MINUTE).cast("int")
-    return series.withColumn("window", 1 + F.sum(F.coalesce(starts, F.lit(0))).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = (F.col("t") - F.lag("t").over(by_time()) > gap_minutes * MINUTE).cast("int")
+    return series.withColumn("window", 1 + F.sum(F.coalesce(starts, F.lit(0))).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_minutes: int = 1440) -> DataFrame:
@@ -48,9 +49,9 @@ def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_mi
 
 def change_pairs(series: DataFrame, step_minutes: int) -> DataFrame:
     """Each eligible row after the first, with the change from the eligible row before, or the reason of the break."""
-    seen = series.withColumn("skipped", F.sum((~F.col("usable")).cast("int")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = series.withColumn("skipped", F.sum((~F.col("usable")).cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     good = seen.where("usable")
-    prev = lambda c: F.lag(c).over(BY_TIME)
+    prev = lambda c: F.lag(c).over(by_time())
     out = good.withColumns({"from_t": prev("t"), "change": round6(F.col("value") - prev("value")), "between": F.col("skipped") - prev("skipped")}).where("from_t is not null")
     out = out.withColumn("break_reason", F.when(F.col("between") > 0, "NOT_USABLE_ROW_BETWEEN").when(F.col("t") - F.col("from_t") > step_minutes * MINUTE, "GAP_EXCEEDS_MAX"))
     pair = F.col("break_reason").isNull()
@@ -60,7 +61,7 @@ def change_pairs(series: DataFrame, step_minutes: int) -> DataFrame:
 
 def change_runs(pairs: DataFrame) -> DataFrame:
     """Maximal chains of pairs without a break: sensor, run, pairs, start, end."""
-    run = F.sum(F.col("break_reason").isNotNull().cast("int")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.col("break_reason").isNotNull().cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return pairs.withColumn("run", run).where("break_reason is null").groupBy("sensor", "run").agg(F.count("*").alias("pairs"), F.min("from_t").alias("start_us"), F.max("t").alias("end_us"))
 
 
@@ -79,9 +80,9 @@ def slot_grid(series: DataFrame, cadence: int) -> DataFrame:
 def missing_runs(grid: DataFrame, cadence: int) -> DataFrame:
     """Maximal runs of usable, or of missing, slots of a grid, with their lengths and whether they touch an edge."""
     usable = F.col("state") == "USABLE"
-    turn = F.coalesce((usable != F.lag(usable).over(BY_TIME)).cast("int"), F.lit(0))
+    turn = F.coalesce((usable != F.lag(usable).over(by_time())).cast("int"), F.lit(0))
     rows = grid.withColumn("usable", usable).withColumn("turn", turn)
-    rows = rows.withColumn("run", F.sum("turn").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("run", F.sum("turn").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     edges = grid.groupBy("sensor").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     runs = rows.groupBy("sensor", "run", "usable").agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("slots"), F.count_if(F.col("state") == "ABSENT_SLOT").alias("absent_slots"))
     return runs.join(edges, "sensor").select("sensor", "run", "usable", "start_us", "end_us", "slots", "absent_slots", ((F.col("slots") - 1) * cadence).alias("first_to_last_minutes"), (F.col("start_us") == F.col("first_t")).alias("at_start"), (F.col("end_us") == F.col("last_t")).alias("at_end"))
