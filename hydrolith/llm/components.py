@@ -30,6 +30,32 @@ def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[child], nodes[label[child]]
 
 
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links (a, b) that join what all join, without cycles; links of small nodes come first.
+
+    Boruvka rounds: each component takes its first link that leaves it.
+    """
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    nodes, flat = np.unique(np.concatenate([low, high]), return_inverse=True)
+    x, y = flat[: len(low)], flat[len(low) :]
+    label, taken = np.arange(len(nodes)), np.zeros(len(low), bool)
+    while True:
+        live = np.flatnonzero(label[x] != label[y])
+        if not len(live):
+            return low[taken], high[taken]
+        first = np.full(len(nodes), len(low))
+        np.minimum.at(first, label[x[live]], live)
+        np.minimum.at(first, label[y[live]], live)
+        picked = np.unique(first[first < len(low)])
+        taken[picked] = True
+        child, parent = spanning_links(label[x[picked]], label[y[picked]])
+        to = np.arange(len(nodes))
+        to[child] = parent
+        label = to[label]
+
+
 def _contract(batches):
     for batch in batches:
         a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))

@@ -8,13 +8,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import NO_ID, materialize, text_buffers
-from hydrolith.llm.components import connected_components, spanning_links
+from hydrolith.llm.common import NO_ID, materialize, mix, text_buffers, word_blocks
+from hydrolith.llm.components import connected_components, spanning_forest, spanning_links
 
 BITS = 64
 #: Fingerprints of a subtrie that one task joins; a larger subtrie is split on further bits first.
 SUBTRIE_ROWS = 256
 SEED = 42
+#: The long fingerprint of the similarity search: so many slices, each with a trie of its own, of so many bits.
+SLICES, SLICE_BITS = 24, 32
+#: Buckets that shingles are summed up in before the projection, and how many of them a shingle stands in.
+BUCKETS, SPREAD = 1024, 4
 
 
 def fingerprint(text: bytes, width: int = 3) -> bytes:
@@ -115,14 +119,15 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS, free_bits: tuple[int, ...] = tuple(range(BITS)), forest=spanning_links) -> DataFrame:
     """Links (a, b) between the representatives of distinct fingerprints that differ in at most `budget` bits.
 
     classes: (fp bigint, rep bigint), fp distinct. Two fingerprints within the budget agree on one of budget + 1 blocks
     of bits at least, so each block is taken in turn as the top of the trie, where no error is allowed; every
     fingerprint goes to the subtrie below its block's value. A subtrie with more rows than `subtrie_rows` is split the
     same way on its remaining bits, until so few bits are free that it is small by itself. Links of one subtrie are
-    returned as a spanning forest, so a group of near copies returns no more links than it has members.
+    returned as a spanning forest (by `forest`), so a group of near copies returns no more links than it has members.
+    Bits other than `free_bits` must agree.
     """
     parts = budget + 1
 
@@ -132,11 +137,11 @@ def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_
             order = np.lexsort((keys, group))
             starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
             i, j = trie_links(keys[order], starts, budget)
-            a, b = spanning_links(rep[order][i], rep[order][j])
+            a, b = forest(rep[order][i], rep[order][j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     out = None
-    pending = [(classes.select("fp", "rep"), tuple(range(BITS)))]
+    pending = [(classes.select("fp", "rep"), free_bits)]
     while pending:
         rows, free = pending.pop()
         options = _masks(free, parts)
@@ -170,12 +175,91 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return table.join(known, "fp").select("doc_id", "fp", F.nullif(F.col("component_id"), F.lit(NO_ID)).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id, all columns kept.
+def shingle_sets(words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct shingles of each document; fewer words than `width` are one shingle, none is none."""
+    counts, h = words.counts, words.hashes
+    doc = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    total = np.zeros(len(h), np.uint64)
+    for k in range(width):
+        # words that stand k places on in the same document
+        ahead = np.zeros(len(h), np.uint64)
+        ahead[: len(h) - k] = h[k:]
+        ahead[at + k >= counts[doc]] = 0
+        total += ahead * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+    starts = (at == 0) | (at + width <= counts[doc])
+    doc, total = doc[starts], mix(total[starts])
+    order = np.lexsort((total, doc))
+    doc, total = doc[order], total[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (total[1:] != total[:-1])) if len(doc) else np.empty(0, bool)
+    return doc[new], total[new]
+
+
+def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """Rows (doc_id, sketch): SLICES * SLICE_BITS SimHash bits of the set of shingles, as bigints.
+
+    Each distinct shingle stands in SPREAD of BUCKETS sums, with a sign; each bit is the side of a random hyperplane
+    that the sums lie on. So the share of differing bits follows the angle between two sets: a similarity of 0.8 is
+    about 0.15. No words give zero.
+    """
+
+    def run(batches):
+        planes = np.random.default_rng(SEED).normal(size=(BUCKETS, SLICES * SLICE_BITS)).astype(np.float32)
+        part = BUCKETS // SPREAD
+        for batch in batches:
+            found = []
+            for _, _, words in word_blocks(batch.column(1)):
+                doc, h = shingle_sets(words, width)
+                n = len(words.counts)
+                for lo in range(0, n, 512):  # so many documents' sums at once
+                    first, last = np.searchsorted(doc, (lo, min(lo + 512, n)))
+                    rows = min(lo + 512, n) - lo
+                    d, x = doc[first:last] - lo, h[first:last]
+                    sums = np.zeros(rows * BUCKETS)
+                    for k in range(SPREAD):
+                        y = (x >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF
+                        sums += np.bincount(d * BUCKETS + k * part + (y >> 1) % part, 1.0 - 2.0 * (y & 1), rows * BUCKETS)
+                    bits = sums.reshape(rows, BUCKETS).astype(np.float32) @ planes > 0
+                    found.append(np.packbits(bits, axis=1).view(">i8").astype(np.int64))
+            flat = np.concatenate(found) if found else np.empty((0, SLICES * SLICE_BITS // 64), np.int64)
+            ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))], ["doc_id", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, differing: float = 1 / 6, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of docs with an id: near copies at a shingle similarity of about 0.8 or more.
+
+    A similarity of 0.8 moves a seventh of the bits of a SimHash, far beyond what one 64-bit trie can be searched for,
+    so the fingerprint is long and each slice of it has a trie of its own: a pair is a candidate if some slice of
+    SLICE_BITS differs in `budget` bits or fewer, which at 0.8 happens in one slice of eight. Candidates are linked if
+    at most a share `differing` of all bits differ. Equal slices are joined to their smallest id, and each subtrie gives
+    a spanning forest of the pairs that it finds, so large groups of near copies give links in proportion to their
+    members. Rows that share an id are one node; null and empty texts are copies of each other.
+    """
+    table = materialize(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width), "long-fingerprints")
+    classes = materialize(table.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "sketches")
+    halves = F.flatten(F.transform("sketch", lambda x: F.array(F.shiftrightunsigned(x, SLICE_BITS), x.bitwiseAND(F.lit((1 << SLICE_BITS) - 1)))))
+    slices = classes.select("rep", F.posexplode(halves).alias("slice", "bits")).select("rep", F.shiftleft(F.col("slice").cast("bigint"), SLICE_BITS).bitwiseOR(F.col("bits")).alias("fp"))
+    least = materialize(slices.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "slices")
+    equal = slices.join(least.where("n > 1").select("fp", F.col("rep").alias("b")), "fp").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    close = near_links(least, budget, subtrie_rows, tuple(range(BITS - SLICE_BITS, BITS)), spanning_forest)
+    pairs = materialize(close.where("a <> b").union(equal).distinct(), "candidates")
+    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    found = connected_components(both.where(apart <= int(differing * SLICES * SLICE_BITS)).select("a", "b"))
+    known = classes.join(found, F.col("rep") == F.col("node"), "left").select("sketch", F.coalesce("component", "rep").alias("component_id"))
+    return table.join(materialize(known, "sketch-components"), "sketch").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """docs with one document of each component of similar_components: the one with the smallest doc_id, all columns kept.
 
     Rows that repeat a kept doc_id are cut to one. Rows without an id are all kept, as nothing names them.
     """
-    found = simhash_components(docs, id_col, text_col, width, budget)
+    found = similar_components(docs, id_col, text_col, width)
     keep = found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("is_kept")).where("is_kept")
     keep = materialize(keep.select(F.col("doc_id").alias("_kept_id"), F.col("n_rows").alias("_n_rows")), "kept")
     kept = docs.join(keep, docs[id_col].cast("bigint") == keep["_kept_id"])

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hydrolith.llm import ann, chat, embed_dedup, lm, mixing, packing, quality, queries, simhash, tokens, toxicity
+from hydrolith.llm import ann, chat, components, embed_dedup, lm, mixing, packing, quality, queries, simhash, tokens, toxicity
 from hydrolith.llm.common import Words
 from hydrolith.llm.components import connected_components
 
@@ -333,3 +333,33 @@ def test_pipeline(spark):
     ids = {r[0] for r in base.select("doc_id").collect()}
     assert 0 < len(set(out["doc_id"])) <= len(ids) and set(out["doc_id"]) <= ids
     assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_spanning_forest_keeps_what_is_joined():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = rng.integers(0, 30, (2, int(rng.integers(0, 60))))
+        x, y = components.spanning_forest(a[a != b], b[a != b])
+        given = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert all(frozenset(p) in given for p in zip(x.tolist(), y.tolist(), strict=True))
+        roots = lambda p, q: dict(zip(*(v.tolist() for v in components.spanning_links(p, q)), strict=True))
+        assert roots(a, b) == roots(x, y) and len(x) == len(roots(a, b))
+
+
+def test_near_copies_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    rows, alike = [], []
+    for k in range(60):
+        text = [words[i] for i in rng.integers(0, len(words), 300)]
+        copy = list(text)
+        for at in rng.choice(300, 4, replace=False):
+            copy[at] = "other"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    rows += [(900, None), (901, ""), (None, "no id"), (902, "two words"), (903, "Two  words"), (904, "three short words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(simhash.similar_components(docs).collect())
+    assert all(found[2 * k] == found[2 * k + 1] == 2 * k for k in range(60))
+    assert found[901] == 900 and found[903] == 902 and found[904] == 904 and len(found) == 125
+    assert simhash.drop_near_duplicates(docs).count() == 64
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
