@@ -31,7 +31,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, over five-word shingles."""
+    """One document of each group of near copies: SimHash over five-word shingles, a similarity of about 0.8 or more."""
     return simhash.drop_near_duplicates(docs, width=5).select(COLUMNS)
 
 
