@@ -58,11 +58,13 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, bet
     """FTRL-proximal (McMahan et al. 2013) over documents as sets of buckets; each coordinate has a rate of its own."""
     if not len(rows):
         return SparseLogistic(np.empty(0, np.int64), np.empty(0, np.float32), 0.0)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    buckets, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(r) for r in rows])
-    known = df >= MIN_DOCS
-    docs = [x[known[x]] for x in np.split(inverse, ends[:-1])]
+    df = np.zeros(1 << HASH_BITS, np.int32)
+    for r in rows:
+        df[r] += 1
+    buckets = np.flatnonzero(df >= MIN_DOCS)
+    place = np.zeros(1 << HASH_BITS, np.int32)
+    place[buckets] = np.arange(len(buckets))
+    docs = [place[r[df[r] >= MIN_DOCS]] for r in rows]
     z, n = np.zeros(len(buckets)), np.zeros(len(buckets))
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias, bias_n = float(np.log(share / (1 - share))), 1.0
@@ -113,7 +115,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     got = rows.select("label", "text", "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(run, "label int, buckets array<int>").toArrow()
-    sets = [np.asarray(x.values, np.int64) for x in got["buckets"]]
+    sets = [x.values.to_numpy() for x in got["buckets"]]
     return fit_ftrl(sets, got["label"].to_numpy().astype(np.float64))
 
 
