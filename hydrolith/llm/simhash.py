@@ -17,6 +17,8 @@ SUBTRIE_ROWS = 256
 SEED = 42
 #: The long fingerprint of the similarity search: so many slices, each with a trie of its own, of so many bits.
 SLICES, SLICE_BITS = 24, 32
+#: Rows of a slice that one task joins at once: most slices of 32 bits need no second split at this size.
+SLICE_ROWS = 4096
 #: Buckets that shingles are summed up in before the projection, and how many of them a shingle stands in.
 BUCKETS, SPREAD = 1024, 4
 
@@ -229,7 +231,7 @@ def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, differing: float = 1 / 6, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, differing: float = 1 / 6, budget: int = 2, subtrie_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows (doc_id, component_id), one for each row of docs with an id: near copies at a shingle similarity of about 0.8 or more.
 
     A similarity of 0.8 moves a seventh of the bits of a SimHash, far beyond what one 64-bit trie can be searched for,
