@@ -51,7 +51,8 @@ BLOCK_BYTES = 1 << 20
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+    """(bytes, offsets) of a string column; null counts as empty. Memory that earlier batches freed goes back first."""
+    pa.default_memory_pool().release_unused()
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

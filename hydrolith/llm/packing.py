@@ -16,7 +16,8 @@ from hydrolith.llm.common import doc_blocks, materialize, text_buffers
 GROUP_ITEMS = 4096
 #: Fewest groups of the first round, so that small inputs use the cluster too.
 LEAST_GROUPS = 16
-CACHE_PARTS, CACHE_MATCHES = 700_000, 500_000
+#: Most texts that a worker remembers the ids of; a worker outlives its stage, and so does what it remembers.
+CACHE_PARTS, CACHE_MATCHES = 300_000, 100_000
 
 
 class PieceEncoder:
@@ -46,23 +47,32 @@ class PieceEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        # ids of parts by the text after their space, and of pattern matches; a plain word is kept as a part alone
         self.parts: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
+    def _ids(self, match: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(match.encode().decode("latin1").translate(self.byte_chars))]).tobytes()
+
     def _match(self, match: str) -> bytes:
         found = self.matches.get(match)
         if found is None:
-            ids = [t.id for t in self.model.tokenize(match.encode().decode("latin1").translate(self.byte_chars))]
-            found = self.matches[match] = array("I", ids).tobytes()
+            found = self.matches[match] = self._ids(match)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        found = self.parts.get(word)
+        if found is None:
+            found = self.parts[word] = self._ids(" " + word)
         return found
 
     def _part(self, part: str) -> bytes:
         if any(a in part for a in self.added):
             return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         if part[:1] == " " and part[1:].isalpha():
-            return self._match(part)
+            return self._word(part[1:])
         if part[:1] == " " and part[-1] in ".,;:!?" and part[1:-1].isalpha():
-            return self._match(part[:-1]) + self._match(part[-1])
+            return self._word(part[1:-1]) + self._match(part[-1])
         return b"".join(map(self._match, self.pattern.findall(part)))
 
     def encode(self, text: str) -> bytes:
