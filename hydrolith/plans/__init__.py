@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables; importing the package registers all of them."""
 
-from hydrolith.plans import catalog, serving  # noqa: F401
+from hydrolith.plans import catalog, serving, stations  # noqa: F401
