@@ -41,10 +41,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place."""
+    """Pieces of at most 2048 tokens with their sequence and place. Workers keep little of it beside the other stages' needs."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), remembered=300_000)
 
 
 STAGES = [

@@ -16,8 +16,9 @@ from hydrolith.llm.common import doc_blocks, materialize, text_buffers
 GROUP_ITEMS = 4096
 #: Fewest groups of the first round, so that small inputs use the cluster too.
 LEAST_GROUPS = 16
-#: Most texts that a worker remembers the ids of; a worker outlives its stage, and so does what it remembers.
-CACHE_PARTS, CACHE_MATCHES = 300_000, 100_000
+#: Most texts between spaces, and a third as many pattern matches, that a worker remembers the ids of. A worker outlives
+#: its stage, and so does what it remembers: some 250 bytes each.
+REMEMBERED = 700_000
 
 
 class PieceEncoder:
@@ -29,13 +30,14 @@ class PieceEncoder:
     as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import re
 
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -76,9 +78,9 @@ class PieceEncoder:
         return b"".join(map(self._match, self.pattern.findall(part)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.parts) > CACHE_PARTS:
+        if len(self.parts) > self.remembered:
             self.parts.clear()
-        if len(self.matches) > CACHE_MATCHES:
+        if len(self.matches) > self.remembered // 3:
             self.matches.clear()
         first, *rest = self.cut.split(text) if self.uneven.search(text) else text.split(" ")
         known = list(map(self.parts.get, rest))
@@ -89,19 +91,19 @@ class PieceEncoder:
         return self._part(first) + b"".join(known)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def _encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, remembered: int) -> PieceEncoder:
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = PieceEncoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and then end_id, cut if over the capacity.
 
     A longer document is cut into pieces of exactly `capacity` ids, but for the first, which takes what is left over.
@@ -110,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, remembered)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             view, names = memoryview(data), batch.column(0).to_pylist()
@@ -240,10 +242,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3, group_items:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """All documents, tokenised, cut and packed: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null text counts as empty and gives a piece of one token. Null ids and repeated rows are packed like others. Very
     long texts give many full pieces. An empty table gives an empty result. Other columns of docs are not read.
     """
-    return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)
+    return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, remembered), capacity)
