@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolith.llm.common import NO_ID, materialize, mix, text_buffers, word_blocks
-from hydrolith.llm.components import connected_components, spanning_forest, spanning_links
+from hydrolith.llm.components import connected_components, spanning_links
 
 BITS = 64
 #: Fingerprints of a subtrie that one task joins; a larger subtrie is split on further bits first.
@@ -19,6 +19,8 @@ SEED = 42
 SLICES, SLICE_BITS = 24, 32
 #: Rows of a slice that one task joins at once: most slices of 32 bits need no second split at this size.
 SLICE_ROWS = 4096
+#: Pairs of sketches that are compared at once.
+PAIRS_AT_ONCE = 1 << 16
 #: Buckets that shingles are summed up in before the projection, and how many of them a shingle stands in.
 BUCKETS, SPREAD = 1024, 4
 
@@ -121,17 +123,40 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS, free_bits: tuple[int, ...] = tuple(range(BITS)), forest=spanning_links) -> DataFrame:
+def _join_subtries(classes: DataFrame, task, schema: str, budget: int, subtrie_rows: int, free_bits: tuple[int, ...]) -> DataFrame:
+    """Rows that `task` makes of the Arrow batches (group, fp, rep) of all subtries, sorted by group; see near_links."""
+    parts = budget + 1
+    out, level = None, 0
+    pending = [(classes.select("fp", "rep"), free_bits)]
+    while pending:
+        rows, free = pending.pop()
+        options = _masks(free, parts)
+        fixed = [_signed(((1 << BITS) - 1) ^ sum(1 << (BITS - 1 - k) for k in rest)) for rest in options]
+        keyed = rows.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("top"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(fixed)])).alias("at")).select("fp", "rep", "at.top", "at.value")
+        sizes = materialize(keyed.groupBy("top", "value").agg(F.count("*").alias("n")).where("n > 1"), "subtries")
+        keyed = keyed.join(sizes, ["top", "value"])
+        small = F.col("n") <= subtrie_rows if len(options[0]) > 8 else F.lit(True)
+        ready = keyed.where(small).select(F.xxhash64(F.lit(level), "top", "value").alias("g"), "fp", "rep")
+        ready = ready.repartition("g").sortWithinPartitions("g")
+        made = ready.mapInArrow(task, schema)
+        out = made if out is None else out.union(made)
+        if len(options[0]) > 8:
+            for (k,) in sizes.where(F.col("n") > subtrie_rows).select("top").distinct().collect():
+                pending.append((materialize(keyed.where((F.col("top") == k) & (F.col("n") > subtrie_rows)).select("fp", "rep"), "hot-subtrie"), options[k]))
+        level += 1
+    return out
+
+
+def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS, free_bits: tuple[int, ...] = tuple(range(BITS))) -> DataFrame:
     """Links (a, b) between the representatives of distinct fingerprints that differ in at most `budget` bits.
 
     classes: (fp bigint, rep bigint), fp distinct. Two fingerprints within the budget agree on one of budget + 1 blocks
     of bits at least, so each block is taken in turn as the top of the trie, where no error is allowed; every
     fingerprint goes to the subtrie below its block's value. A subtrie with more rows than `subtrie_rows` is split the
     same way on its remaining bits, until so few bits are free that it is small by itself. Links of one subtrie are
-    returned as a spanning forest (by `forest`), so a group of near copies returns no more links than it has members.
-    Bits other than `free_bits` must agree.
+    returned as stars, so a group of near copies returns no more links than it has members. Bits other than `free_bits`
+    must agree.
     """
-    parts = budget + 1
 
     def join(batches):
         for group, fp, rep in _groups(batches):
@@ -139,27 +164,112 @@ def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_
             order = np.lexsort((keys, group))
             starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
             i, j = trie_links(keys[order], starts, budget)
-            a, b = forest(rep[order][i], rep[order][j])
+            a, b = spanning_links(rep[order][i], rep[order][j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    out = None
-    pending = [(classes.select("fp", "rep"), free_bits)]
-    while pending:
-        rows, free = pending.pop()
-        options = _masks(free, parts)
-        fixed = [_signed(((1 << BITS) - 1) ^ sum(1 << (BITS - 1 - k) for k in rest)) for rest in options]
-        keyed = rows.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("top"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(fixed)])).alias("at")).select("fp", "rep", "at.top", "at.value")
-        sizes = materialize(keyed.groupBy("top", "value").agg(F.count("*").alias("n")).where("n > 1"), "subtries")
-        keyed = keyed.join(sizes, ["top", "value"])
-        small = F.col("n") <= subtrie_rows if len(options[0]) > 8 else F.lit(True)
-        ready = keyed.where(small).select(F.xxhash64("top", "value").alias("g"), "fp", "rep")
-        ready = ready.repartition("g").sortWithinPartitions("g")
-        links = ready.mapInArrow(join, "a bigint, b bigint")
-        out = links if out is None else out.union(links)
-        if len(options[0]) > 8:
-            for (k,) in sizes.where(F.col("n") > subtrie_rows).select("top").distinct().collect():
-                pending.append((materialize(keyed.where((F.col("top") == k) & (F.col("n") > subtrie_rows)).select("fp", "rep"), "hot-subtrie"), options[k]))
-    return out
+    return _join_subtries(classes, join, "a bigint, b bigint", budget, subtrie_rows, free_bits)
+
+
+def near_groups(classes: DataFrame, budget: int, subtrie_rows: int, free_bits: tuple[int, ...]) -> DataFrame:
+    """Rows (g, fp): the fingerprints of each subtrie g that have another one of it within the budget; as near_links."""
+
+    def join(batches):
+        for group, fp, _ in _groups(batches):
+            keys = fp.astype(np.int64).view(np.uint64)
+            order = np.lexsort((keys, group))
+            group, keys = group[order], keys[order]
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            at = np.unique(np.concatenate(trie_links(keys, starts, budget)))
+            yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int64()), pa.array(keys[at].view(np.int64), pa.int64())], ["g", "fp"])
+
+    return _join_subtries(classes, join, "g bigint, fp bigint", budget, subtrie_rows, free_bits)
+
+
+class _Verified:
+    """Components of nodes whose sketches differ in at most `limit` bits; only pairs that it is given are compared."""
+
+    def __init__(self, sketches: np.ndarray, limit: int):
+        self.sketches, self.limit = sketches, limit
+        self.label = np.arange(len(sketches))
+
+    def try_pairs(self, x: np.ndarray, y: np.ndarray) -> None:
+        apart = self.label[x] != self.label[y]
+        x, y = x[apart], y[apart]
+        close = np.bitwise_count(self.sketches[x] ^ self.sketches[y]).sum(axis=1, dtype=np.int64) <= self.limit
+        if close.any():
+            child, parent = spanning_links(self.label[x[close]], self.label[y[close]])
+            to = np.arange(len(self.label))
+            to[child] = parent
+            self.label = to[self.label]
+
+    def try_all(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        """All pairs of xs with ys but those already joined. One node's component grows first, so that a group of
+        near copies takes few comparisons a member."""
+        self.try_pairs(np.full(len(ys), xs[0]), ys)
+        self.try_pairs(np.full(len(xs), ys[0]), xs)
+        both = np.concatenate([xs, ys])
+        labels, n = np.unique(self.label[both], return_counts=True)
+        most = labels[np.argmax(n)]  # a label is a node of its component
+        for own, other in ((xs, ys), (ys, xs)):
+            rest = own
+            while len(rest := rest[self.label[rest] != self.label[most]]):
+                x, rest = rest[0], rest[1:]
+                for lo in range(0, len(other), PAIRS_AT_ONCE):
+                    part = other[lo : lo + PAIRS_AT_ONCE]
+                    self.try_pairs(np.full(len(part), x), part)
+
+
+def verified_links(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, sketches: np.ndarray, budget: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join what these pairs join: of one group, fp within the budget, sketches within `limit` bits.
+
+    Rows of an equal fp are compared with each other only in a group that has no other fp. No pair is left out but
+    those that compared pairs have joined already.
+    """
+    keys = fp.astype(np.int64).view(np.uint64)
+    order = np.lexsort((keys, group))
+    group, keys, rep = group[order], keys[order], rep[order]
+    nodes, first, node = np.unique(rep, return_index=True, return_inverse=True)
+    found = _Verified(sketches[order][first].view(np.uint64), limit)
+    at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])))
+    size = np.diff(np.append(at, len(keys)))
+    starts = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1]))
+    alone = starts[np.diff(np.append(starts, len(at))) == 1]
+    i, j = trie_links(keys[at], starts, budget)
+    i, j = np.append(i, alone), np.append(j, alone)
+    n = size[i] * size[j]
+    few = np.flatnonzero(n <= 256)
+    ends = np.cumsum(n[few])
+    lo = 0
+    while lo < len(few):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        part = few[lo:hi]
+        pair = np.repeat(part, n[part])
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+        found.try_pairs(node[at[i[pair]] + k // size[j[pair]]], node[at[j[pair]] + k % size[j[pair]]])
+        lo = hi
+    for k in np.flatnonzero(n > 256):
+        found.try_all(node[at[i[k]] : at[i[k]] + size[i[k]]], node[at[j[k]] : at[j[k]] + size[j[k]]])
+    child = np.flatnonzero(found.label != np.arange(len(nodes)))
+    return nodes[child], nodes[found.label[child]]
+
+
+def _sketch_groups(batches):
+    """Record batches (group, fp, rep, sketch), sorted by group, as arrays that hold whole groups."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        cols.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if held and (last or held[-1][0][-1] != cols[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in cols], strict=True)]
+            held = []
+        elif last:
+            yield [c[:last] for c in cols]
+        held.append([c[last:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
@@ -237,21 +347,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A similarity of 0.8 moves a seventh of the bits of a SimHash, far beyond what one 64-bit trie can be searched for,
     so the fingerprint is long and each slice of it has a trie of its own: a pair is a candidate if some slice of
     SLICE_BITS differs in `budget` bits or fewer, which at 0.8 happens in one slice of eight. Candidates are linked if
-    at most a share `differing` of all bits differ. Equal slices are joined to their smallest id, and each subtrie gives
-    a spanning forest of the pairs that it finds, so large groups of near copies give links in proportion to their
-    members. Rows that share an id are one node; null and empty texts are copies of each other.
+    at most a share `differing` of all bits differ. Slices are searched first; then the documents of each slice value
+    that has a candidate, all of them, meet with their whole sketches in its subtrie, and only verified links are cut
+    to stars there. So large groups of near copies give links in proportion to their members, and no true link is given
+    up for a false one. Rows that share an id are one node; null and empty texts are copies of each other.
     """
+    limit = int(differing * SLICES * SLICE_BITS)
     table = materialize(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width), "long-fingerprints")
     classes = materialize(table.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "sketches")
     halves = F.flatten(F.transform("sketch", lambda x: F.array(F.shiftrightunsigned(x, SLICE_BITS), x.bitwiseAND(F.lit((1 << SLICE_BITS) - 1)))))
     slices = classes.select("rep", F.posexplode(halves).alias("slice", "bits")).select("rep", F.shiftleft(F.col("slice").cast("bigint"), SLICE_BITS).bitwiseOR(F.col("bits")).alias("fp"))
-    least = materialize(slices.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "slices")
-    equal = slices.join(least.where("n > 1").select("fp", F.col("rep").alias("b")), "fp").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    close = near_links(least, budget, subtrie_rows, tuple(range(BITS - SLICE_BITS, BITS)), spanning_forest)
-    pairs = materialize(close.where("a <> b").union(equal).distinct(), "candidates")
-    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    found = connected_components(both.where(apart <= int(differing * SLICES * SLICE_BITS)).select("a", "b"))
+    distinct = materialize(slices.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "slices")
+    near = near_groups(distinct, budget, subtrie_rows, tuple(range(BITS - SLICE_BITS, BITS)))
+    near = materialize(near.union(distinct.where("n > 1").select(F.xxhash64(F.lit("equal"), "fp").alias("g"), "fp")), "near-slices")
+
+    def join(batches):
+        for group, fp, rep, sketches in _sketch_groups(batches):
+            a, b = verified_links(group, fp, rep, sketches, budget, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    members = near.join(slices, "fp").join(classes, "rep").select("g", "fp", "rep", "sketch")
+    links = members.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint")
+    found = connected_components(links)
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select("sketch", F.coalesce("component", "rep").alias("component_id"))
     return table.join(materialize(known, "sketch-components"), "sketch").select("doc_id", "component_id")
 

@@ -363,3 +363,56 @@ def test_near_copies_of_long_texts(spark):
     assert found[901] == 900 and found[903] == 902 and found[904] == 904 and len(found) == 125
     assert simhash.drop_near_duplicates(docs).count() == 64
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def similar_by_force(sketches, budget=2, limit=128):
+    """Component of each row: linked if a slice differs in `budget` bits or fewer and the whole in `limit` or fewer."""
+    halves = np.ascontiguousarray(sketches.astype(">i8")).view(">u4")
+    label = np.arange(len(sketches))
+    for i in range(len(sketches)):
+        bits = np.bitwise_count(halves ^ halves[i]).astype(int)
+        for j in np.flatnonzero((bits.min(axis=1) <= budget) & (bits.sum(axis=1) <= limit)):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return label.tolist()
+
+
+@pytest.mark.parametrize("slice_rows", [4, 4096])
+def test_no_true_link_is_given_up_for_a_false_one(spark, monkeypatch, slice_rows):
+    # hubs of small ids share one slice (equal, or a bit or two apart) with both copies of each pair and nothing else
+    rng = np.random.default_rng(12)
+    n, words = 30, simhash.SLICES
+    hubs, lefts, rights = (rng.integers(0, 1 << 32, (n, words), dtype=np.uint64) for _ in range(3))
+    hubs[:, 3] = hubs[0, 3]  # so that one slice value has many members
+    for k in range(n):
+        at = 3 if k % 2 else k % words
+        lefts[k, at] = hubs[k, at]
+        flips = np.array([sum(1 << int(b) for b in rng.choice(32, 5, replace=False)) for _ in range(words)], np.uint64)
+        flips[at] = (0, 1, 3)[k % 3]
+        rights[k] = lefts[k] ^ flips
+    halves = np.concatenate([hubs, lefts, rights])
+    sketches = halves.astype(">u4").view(">i8").astype(np.int64)
+    rows = [(i, x) for i, x in enumerate(sketches.tolist())]
+    monkeypatch.setattr(simhash, "long_fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, sketch array<bigint>"))
+    found = dict(simhash.similar_components(spark.createDataFrame([(0, "")], "doc_id long, text string"), subtrie_rows=slice_rows).collect())
+    assert [found[i] for i in range(3 * n)] == similar_by_force(sketches)
+    assert all(found[2 * n + k] == found[n + k] == n + k for k in range(n))
+
+
+def test_verified_links_of_large_classes():
+    rng = np.random.default_rng(13)
+    for spread in (30, 70, 110):  # bits from a centre: near copies, a chain of them, strangers
+        centres = rng.integers(0, 1 << 63, (3, 12), dtype=np.int64)
+        sketches = np.repeat(centres, 60, axis=0)
+        for row in sketches:
+            for b in rng.choice(np.arange(64, 768), spread, replace=False):
+                row[b // 64] ^= np.int64(1) << np.int64(b % 64) if b % 64 < 63 else np.int64(-(1 << 63))
+        sketches[:, 0] = 5
+        n = len(sketches)
+        rep = rng.permutation(n)
+        for fp in (np.zeros(n, np.int64), np.arange(n) % 2):
+            a, b = simhash.verified_links(np.zeros(n, np.int64), fp, rep, sketches, 2, 128)
+            apart = np.bitwise_count((sketches[:, None] ^ sketches[None]).view(np.uint64)).sum(axis=2)
+            allowed = (apart <= 128) & ((fp[:, None] != fp[None]) | (fp.max() == 0))
+            x, y = np.nonzero(allowed)
+            roots = lambda p, q: dict(zip(*(v.tolist() for v in components.spanning_links(p, q)), strict=True))
+            assert roots(a, b) == roots(rep[x], rep[y]) and len(a) <= n
