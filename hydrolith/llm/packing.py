@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from array import array
 
@@ -14,6 +15,7 @@ from hydrolith.llm.common import doc_blocks, materialize, text_buffers
 
 #: Documents that one task packs at once, about.
 GROUP_ITEMS = 4096
+LOG = logging.getLogger(__name__)
 #: Fewest groups of the first round, so that small inputs use the cluster too.
 LEAST_GROUPS = 16
 #: Most texts between spaces, and a third as many pattern matches, that a worker remembers the ids of. A worker outlives
@@ -209,7 +211,7 @@ def _pack_group(capacity: int, round_no: int, slack: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3, group_items: int = GROUP_ITEMS, slack: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3, group_items: int = GROUP_ITEMS, slack: int | None = None, report: list[dict[str, int]] | None = None) -> DataFrame:
     """pieces with (sequence_id, offset): each piece's sequence of at most `capacity` tokens and its place there.
 
     pieces: (doc_id, piece, start, length, ids_crc32), length from 1 to capacity. Full pieces are sequences of their
@@ -217,11 +219,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3, group_items:
     its bin count held against its dual-feasible lower bound. What lies in bins with gaps is exchanged: dealt anew to
     groups of the same size and packed again, for at most `rounds` rounds, the last of which closes all bins. An empty
     table gives an empty result; equal rows are packed one by one.
+
+    Each round's sums over its groups are logged and appended to `report`: groups, certified (bins equal to the bound),
+    bins, bound, and closed (bins that are final). A last entry has all sequences and the least that the total length needs.
     """
+    report = [] if report is None else report
     slack = capacity // 64 if slack is None else slack
     keyed = materialize(pieces.select("*", F.monotonically_increasing_id().alias("item")), "pieces")
     done = [keyed.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("item") + (1 << 61)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     rest = keyed.where(F.col("length") < capacity)
+    total, sequences = keyed.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_if(F.col("length") == capacity)).first()
     for k in range(rounds):
         n = rest.count()
         if not n:
@@ -232,10 +239,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3, group_items:
         schema = ", ".join(f"{c} {t}" for c, t in rest.dtypes) + ", sequence_id bigint, offset bigint, bound bigint, bins bigint"
         packed = dealt.groupBy("g").applyInArrow(_pack_group(capacity, -k - 2 if last else k, slack), schema)
         packed = materialize(packed, f"packed-{k}")
+        sums = packed.where("bins > 0 or offset = 0").agg(F.count_if(F.expr("bins > 0")).alias("groups"), F.count_if(F.expr("bins > 0 and bins = bound")).alias("certified"), F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.count_if(F.expr("offset = 0")).alias("closed")).first().asDict()
+        LOG.info("packing round %d: %s", k, sums)
+        report.append(sums)
+        sequences += sums["closed"]
         done.append(packed.where("sequence_id is not null").select(done[0].columns))
         if last:
             break
         rest = packed.where("sequence_id is null").select(keyed.columns)
+    report.append({"sequences": sequences, "least": -(-total // capacity)})
+    LOG.info("packing: %s", report[-1])
     out = done[0]
     for part in done[1:]:
         out = out.union(part)

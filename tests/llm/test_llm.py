@@ -416,3 +416,19 @@ def test_verified_links_of_large_classes():
             x, y = np.nonzero(allowed)
             roots = lambda p, q: dict(zip(*(v.tolist() for v in components.spanning_links(p, q)), strict=True))
             assert roots(a, b) == roots(rep[x], rep[y]) and len(a) <= n
+
+
+def test_packing_reports_its_bounds(spark):
+    rng = np.random.default_rng(14)
+    lengths = np.concatenate([rng.integers(1, 200, 3000), rng.integers(1100, 1400, 600), np.full(50, 2048)]).tolist()
+    pieces = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], packing.PIECE)
+    report = []
+    got = packing.pack(pieces, group_items=200, report=report).toPandas()
+    *rounds, last = report
+    assert last == {"sequences": got["sequence_id"].nunique(), "least": -(-sum(lengths) // 2048)}
+    assert sum(r["closed"] for r in rounds) + 50 == last["sequences"]
+    assert all(r["bound"] <= r["bins"] and 0 <= r["certified"] <= r["groups"] and r["closed"] <= r["bins"] for r in rounds)
+    least = 50 + packing.bin_lower_bound(np.array(lengths[:-50]), 2048)
+    assert least <= last["sequences"] <= 1.02 * least + 1
+    report = []
+    assert packing.pack(pieces.limit(0), report=report).count() == 0 and report == [{"sequences": 0, "least": 0}]
