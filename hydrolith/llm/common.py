@@ -16,23 +16,57 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="hydrolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Tables written to the shared folder. Those still there go when the JVM ends; drop() deletes them sooner."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage: write df as Parquet and read it again."""
+        path = f"{shared_dir(self.spark)}/hydrolith/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        place, system = _place(self.spark, path)
+        system.deleteOnExit(place)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables, which nothing may read any more."""
+        for path in self.paths:
+            place, system = _place(self.spark, path)
+            system.delete(place, True)
+        self.paths = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again. The files go when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hydrolith/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has: `name`, with underscores after it as needed. Case is ignored, as Spark does."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
@@ -40,6 +74,22 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0)) % modulus
 
 
+def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int) -> DataFrame:
+    """(doc_id, label) of at most `most` documents outside the held-out fifth, picked by hash of the id.
+
+    Null labels, and documents whose rows disagree, are left out.
+    """
+    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0))
+    one = one.groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most")
+    return materialize(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("label").cast("int").alias("label")), "labelled")
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, label, text) of the documents of a labelled sample, one for each id: its smallest text, null as empty."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 # --- Arrow text columns as byte buffers ---------------------------------------------------------------------------
 
 SPACE = np.zeros(256, dtype=bool)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import materialize
+from hydrolith.llm.common import Scratch
 
 
 def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +69,26 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links: two bigint columns, any order, repeats and self-links allowed, nulls ignored. Every round is a join and an
     aggregation that cuts links to stars; nothing is gathered to the driver but two numbers a round.
     """
+    spark = links.sparkSession
     pairs = links.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
-    edges = materialize(pairs.mapInArrow(_contract, "a bigint, b bigint").distinct(), "links")
+    held = Scratch(spark)
+    edges = held.write(pairs.mapInArrow(_contract, "a bigint, b bigint").distinct(), "links")
     before = None
     while True:
+        turn, superseded = Scratch(spark), held
         # large-star: every larger neighbour of u links to the smallest of u and its neighbours
         both = edges.union(edges.select("b", "a"))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large-star")
+        least = turn.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large-star")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.distinct(), "large-links")
+        large = turn.write(large.distinct(), "large-links")
         # small-star: u and its smaller neighbours link to the smallest of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "small-star")
+        least = turn.write(down.groupBy("a").agg(F.min("b").alias("m")), "small-star")
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        held = Scratch(spark)
+        edges = held.write(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        turn.drop()
+        superseded.drop()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

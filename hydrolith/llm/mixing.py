@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import materialize
+from hydrolith.llm.common import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents in one range of a running sum, about.
+#: Documents in one range of a running sum, about; so many ranges are summed up at once in turn.
 RANGE_ROWS = 2048
-LEAST_RANGES = 64
+LEAST_RANGES = 512
+#: Buckets of one histogram of finish times, and the most entries that the last step of the cut sorts.
+BUCKETS, LAST_ENTRIES = 4096, 8192
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -33,6 +35,42 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     return tried.withColumn("target", F.when(F.col("full"), F.lit(cap) * F.col("source_size")).otherwise(first["level"] * F.col("weight")).cast("double")).drop("level", "full")
 
 
+def sums_before(rows: DataFrame, keys: list[str], at: str, value: str, name: str) -> DataFrame:
+    """rows with `name`: the sum of `value` over the rows of the same keys with a smaller `at` (a whole number, once for each keys).
+
+    Two levels: sums of RANGE_ROWS neighbours are added up first, so one task orders a 2048th of a key's rows.
+    """
+    block = F.floor(F.col(at) / RANGE_ROWS)
+    held = rows.withColumn("_block", block)
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = held.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before(*keys).orderBy("_block")), F.lit(0)))
+    inside = F.coalesce(F.sum(value).over(before(*keys, "_block").orderBy(at)), F.lit(0))
+    return held.withColumn("_inside", inside).join(blocks.drop("_sum"), [*keys, "_block"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_block", "_start", "_inside")
+
+
+def cut_at_budget(entries: DataFrame, budget: float) -> tuple[float, float, int] | None:
+    """(lo, hi, taken) of the finish times `at` where the running sum of `size` passes the budget; None if it never does.
+
+    All entries below lo fit and are `taken` in all; the cut lies from lo to hi, which hold LAST_ENTRIES entries or
+    fewer, or one single time. Each step reads a histogram of BUCKETS sums of the bucket that the step before found.
+    """
+    lo, hi = entries.agg(F.min("at"), F.max("at")).first()
+    taken = 0
+    while lo is not None:
+        bucket = F.least(F.lit(BUCKETS - 1), ((F.col("at") - lo) * (BUCKETS / (hi - lo))).cast("int")) if hi > lo else F.lit(0)
+        steps = entries.where(F.col("at").between(lo, hi)).groupBy(bucket.alias("bucket")).agg(F.sum("size"), F.count("*"), F.min("at"), F.max("at")).collect()
+        for _, size, n, first, last in sorted(steps):
+            if taken + size > budget:
+                break
+            taken += size
+        else:
+            return None
+        lo, hi = first, last
+        if n <= LAST_ENTRIES or lo == hi:
+            return lo, hi, taken
+    return None
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, row_col: str | None = None) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, virtual_finish, taken), one for each row of docs.
 
@@ -40,8 +78,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     finish time is the running size of its source divided by the source's target, in `cap` passes over the source. All
     (document, pass) entries are ordered by finish time over all sources and taken until the next one would pass the
     total budget; taken is the size times the passes taken. So sources advance in step and end together, each within a
-    document of its target. Running sums are two-level: ranges of about RANGE_ROWS documents, then rows of a range, so
-    no source is gathered in one task. Ties go by id, then size; rows that agree in both are alike. A null source is a
+    document of its target. Running sums go by ranges of about RANGE_ROWS documents and then rows of a range, so no source
+    is gathered in one task; rows that share an id are in one range. Ties go by id, then size; rows that agree in both are alike. A null source is a
     source of its own, the last. Null ids and empty texts take part. An empty table gives an empty result.
     """
     sized = docs.select(
@@ -61,8 +99,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # running size of each source in shuffled order
     place = (F.coalesce(F.conv(F.substring("key", 1, 8), 16, 10), F.lit("0")).cast("double") * ranges / float(1 << 32)).cast("bigint")
     sized = sized.withColumn("range", place)
-    ahead = Window.partitionBy(*own).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy(*own, "range").agg(F.sum("size").alias("in_range")).withColumn("start", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)))
+    starts = sums_before(sized.groupBy(*own, "range").agg(F.sum("size").alias("in_range")), own, "range", "in_range", "start")
     starts = starts.join(F.broadcast(sources) if sources.count() <= 4096 else sources, own).select(*own, "range", "start", "source_size", "target")
     inside = Window.partitionBy(*own, "range").orderBy("key", "doc_id", "size", "item").rowsBetween(Window.unboundedPreceding, 0)
     run = sized.join(starts, [*own, "range"]).withColumn("reached", F.col("start") + F.sum("size").over(inside))
@@ -71,26 +108,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # cut of the finish order at the budget
     entries = run.select("item", "doc_id", *own, "key", "size", F.posexplode("finish").alias("pass", "at")).where("size > 0 and at is not null")
-    latest = entries.agg(F.max("at")).first()[0] or 1.0
-    entries = entries.withColumn("slot", F.least(F.lit(ranges - 1).cast("bigint"), (F.col("at") * (ranges / latest)).cast("bigint")))
-    slots = entries.groupBy("slot").agg(F.sum("size").alias("in_slot"))
     budget = share * total
-    level = slots.withColumn("upto", F.sum("in_slot").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = level.where(F.col("upto").cast("double") > budget).agg(F.min(F.struct("slot", (F.col("upto") - F.col("in_slot")).alias("taken")))).first()[0]
+    cut = cut_at_budget(entries, budget)
     if cut is None:
-        last_at = None
+        passes = F.aggregate("finish", F.lit(0), lambda a, x: a + F.when(x.isNotNull(), 1).otherwise(0))
+        out = run.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * passes).otherwise(0).cast("bigint"))
     else:
+        lo, hi, before = cut
         order = Window.orderBy("at", *own, "key", "doc_id", "size", "pass", "item").rowsBetween(Window.unboundedPreceding, 0)
-        fits = entries.where(F.col("slot") == cut["slot"]).withColumn("upto", F.sum("size").over(order) + cut["taken"]).where(F.col("upto").cast("double") <= budget)
-        last_at = fits.select("item", "pass")
-    if last_at is None:
-        taken = F.when(F.col("size") > 0, F.col("size") * F.aggregate("finish", F.lit(0), lambda a, x: a + F.when(x.isNotNull(), 1).otherwise(0)))
-        out = run.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("bigint"))
-    else:
-        edge = ranges / latest
-        slot_of = lambda x: F.least(F.lit(ranges - 1).cast("bigint"), (x * edge).cast("bigint"))
-        sure = F.aggregate("finish", F.lit(0), lambda a, x: a + F.when(slot_of(x) < cut["slot"], 1).otherwise(0))
-        more = last_at.groupBy("item").agg(F.count("*").alias("more"))
+        fits = entries.where(F.col("at").between(lo, hi)).withColumn("upto", F.sum("size").over(order) + before).where(F.col("upto").cast("double") <= budget)
+        more = fits.groupBy("item").agg(F.count("*").alias("more"))
+        sure = F.aggregate("finish", F.lit(0), lambda a, x: a + F.when(x < lo, 1).otherwise(0))
         out = run.join(more, "item", "left").withColumn("taken", (F.col("size") * (sure + F.coalesce("more", F.lit(0)))).cast("bigint"))
     return out.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", F.element_at("finish", 1).alias("virtual_finish"), "taken", *([F.col("item").alias(row_col)] if row_col else []))
 
@@ -130,11 +158,12 @@ FROM queue q LEFT JOIN chosen c ON q.doc_id = c.doc_id AND q.source IS NOT DISTI
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kinds) -> DataFrame:
-    """docs with each row as often as the mix takes it, all columns kept. Rows without words are never taken.
+    """docs with each row as often as the mix takes it, all columns kept, whatever their names. Rows without words are never taken.
 
-    Rows are numbered in a written copy of docs, so that each meets its own decision even where ids repeat.
+    Rows are numbered in a written copy of docs, so that each meets its own decision even where ids repeat or are null.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    mixed = mix_sources(numbered, id_col, text_col, source_col, row_col="_row", **kinds).where("taken > 0")
-    times = mixed.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return numbered.join(times, "_row").withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    row, times = fresh("_row", docs), fresh("_times", docs)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    mixed = mix_sources(numbered, id_col, text_col, source_col, row_col=row, **kinds).where("taken > 0")
+    often = mixed.select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return numbered.join(often, row).withColumn(times, F.explode(F.sequence(F.lit(1), times))).select([F.col(f"`{c}`") for c in docs.columns])

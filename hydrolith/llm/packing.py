@@ -18,79 +18,106 @@ GROUP_ITEMS = 4096
 LOG = logging.getLogger(__name__)
 #: Fewest groups of the first round, so that small inputs use the cluster too.
 LEAST_GROUPS = 16
-#: Most texts between spaces, and a third as many pattern matches, that a worker remembers the ids of. A worker outlives
-#: its stage, and so does what it remembers: some 250 bytes each.
-REMEMBERED = 700_000
+#: Most texts between spaces that a worker remembers the ids of, and the longest of them, in characters: some 250 bytes
+#: each, 400 at most. A worker outlives its stage, and so does what it remembers.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 
 
 class PieceEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, as the tokenizers library gives them.
 
-    Byte-level BPE with the usual word pattern never joins bytes across a space that stands before a visible
-    character, so texts are cut there and equal parts are encoded once. New parts are cut on by the pattern itself, and
-    each new pattern match is encoded by the library's BPE model; parts that hold an added token are left to the library
-    as a whole.
+    Byte-level BPE with the usual word pattern never joins bytes across a space that stands between two other visible
+    characters, so texts are cut there and equal parts are encoded once. A part that is a space and letters is one match
+    of the pattern, one of .,;:!? behind it another, and so are one line break and letters behind that: these go straight
+    to the library's BPE model. Which characters are letters is asked of the library itself. All other parts are left to the library as they are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import re
 
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.remembered = remembered
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # str.isspace and the pattern's white space differ in rare characters: a cut before any of them is avoided
-        blank = r"\s\x1c-\x1f\x85᠎​⁠﻿"
-        self.cut = re.compile(f"(?<=.) (?=[^{blank}])", re.DOTALL)
-        self.uneven = re.compile(f"^ | [{blank}]| $")
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        # white space by any definition: texts that hold a cut beside it are split by the slower pattern
+        blank = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff"
+        self.cut = re.compile(f"(?<=[^{blank}]) (?=[^{blank}])")
+        self.uneven = re.compile(f"^ |[{blank}] | [{blank}]| $")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        # ids of parts by the text after their space, and of pattern matches; a plain word is kept as a part alone
+        simple = self.whole.normalizer is None and all(t.content == "<|endoftext|>" for t in self.whole.get_added_tokens_decoder().values())
+        letters = self._letters() if simple else ""
+        self.plain = re.compile(f"([{letters}]+)([.,;:!?]?)(?:(\n[{letters}]+)([.,;:!?]?))?" if letters else "(?!)()()()")
+        # ids of parts by the text after their space, or with the line break before them: those met lately, and before
         self.parts: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m) for m in ".,;:!?"} if letters else {}
+
+    def _letters(self) -> str:
+        """A character class of all characters below U+10000 that the library's pattern joins with letters on both sides."""
+        import re
+
+        found: list[list[int]] = []
+        points = [c for c in range(65, 0x10000) if not 0xD800 <= c < 0xE000]
+        for k in range(0, len(points), 8192):
+            some = points[k : k + 8192]
+            text = "".join(f" a{chr(c)}a" for c in some)
+            pieces = {piece[1] for piece in self.whole.pre_tokenizer.pre_tokenize_str(text)}
+            for i, c in enumerate(some):
+                if (4 * i, 4 * i + 4) in pieces:
+                    if found and found[-1][1] == c - 1:
+                        found[-1][1] = c
+                    else:
+                        found.append([c, c])
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in found)
 
     def _ids(self, match: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(match.encode().decode("latin1").translate(self.byte_chars))]).tobytes()
-
-    def _match(self, match: str) -> bytes:
-        found = self.matches.get(match)
-        if found is None:
-            found = self.matches[match] = self._ids(match)
-        return found
-
-    def _word(self, word: str) -> bytes:
-        found = self.parts.get(word)
-        if found is None:
-            found = self.parts[word] = self._ids(" " + word)
-        return found
-
-    def _part(self, part: str) -> bytes:
-        if any(a in part for a in self.added):
-            return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if part[:1] == " " and part[1:].isalpha():
-            return self._word(part[1:])
-        if part[:1] == " " and part[-1] in ".,;:!?" and part[1:-1].isalpha():
-            return self._word(part[1:-1]) + self._match(part[-1])
-        return b"".join(map(self._match, self.pattern.findall(part)))
+        shown = "\u0120" + match[1:] if match[0] == " " and match.isascii() else match.encode().decode("latin1").translate(self.byte_chars)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _whole(self, part: str) -> bytes:
+        return array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(part) <= REMEMBERED_CHARS:
+            self.parts[part] = ids
+        return ids
+
+    def _letters_ids(self, word: str) -> bytes:
+        """Ids of letters after a space, or after a line break that stands before them."""
+        ids = self.parts.get(word) or self.older.get(word)
+        return ids or self._keep(word, self._ids("\n") + self._ids(word[1:]) if word[0] == "\n" else self._ids(" " + word))
+
+    def _part(self, rest: str) -> bytes:
+        """Ids of a space and `rest`."""
+        ids = self.older.get(rest)
+        if ids is None:
+            plain = self.plain.fullmatch(rest)
+            if plain is None:
+                ids = self._whole(" " + rest)
+            else:
+                word, mark, second, end = plain.groups()
+                ids = self._letters_ids(word)
+                if mark:
+                    ids += self.marks[mark]
+                if second:
+                    ids += self._letters_ids(second)
+                    if end:
+                        ids += self.marks[end]
+        return self._keep(rest, ids)
 
     def encode(self, text: str) -> bytes:
-        if len(self.parts) > self.remembered:
-            self.parts.clear()
-        if len(self.matches) > self.remembered // 3:
-            self.matches.clear()
+        if 2 * len(self.parts) > self.remembered:
+            self.parts, self.older = {}, self.parts
         first, *rest = self.cut.split(text) if self.uneven.search(text) else text.split(" ")
         known = list(map(self.parts.get, rest))
         if None in known:
             for k, ids in enumerate(known):
                 if ids is None:
-                    known[k] = self.parts[rest[k]] = self.parts.get(rest[k]) or self._part(" " + rest[k])
-        return self._part(first) + b"".join(known)
+                    known[k] = self.parts.get(rest[k]) or self._part(rest[k])
+        return self._whole(first) + b"".join(known)
 
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}

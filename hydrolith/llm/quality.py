@@ -8,29 +8,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import remainder
-from hydrolith.llm.toxicity import labelled_sample
+from hydrolith.llm.common import fresh, labelled_sample, labelled_texts, remainder
 
 #: Most labelled documents that the rules are fitted on, picked by hash of the id.
 MAX_TRAIN_DOCS = 12000
 
 
 def text_statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text as built-in expressions; empty and null texts give zeros."""
+    """General statistics of a whole text as built-in expressions; empty and null texts give zeros."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"[ \t-\r]+"), lambda w: w != "")
-    n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
+    words = F.split(t, r"[ \t-\r]+")
+    n_words = F.size(words).cast("double")
     lines = F.split(t, "\n")
     share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / chars
     return {
         "log_chars": F.log1p(F.length(t).cast("double")),
-        "word_length": F.regexp_count(t, F.lit(r"\S")) / n_words,
+        "chars_per_word": F.length(t) / n_words,
         "upper": share(r"\p{Lu}"),
         "digits": share(r"\p{N}"),
-        "stops": share(r"[.,;:?]"),
-        "marks": share(r"[^\p{L}\p{N}\s.,;:?|]"),
-        "bars": share(r"\|"),
+        "marks": share(r"[^\p{L}\p{N}\s]"),
         "distinct_words": F.size(F.array_distinct(words)) / n_words,
         "lines_per_word": F.size(lines) / n_words,
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
@@ -146,34 +143,48 @@ def lasso_logistic(x: np.ndarray, labels: np.ndarray, penalty: float = 0.002, st
 
 
 def fit_rules(values: dict[str, np.ndarray], labels: np.ndarray, penalty: float = 0.002) -> RuleEnsemble:
-    if len(labels) < 2 or labels.min() == labels.max():
+    """The lasso over the trees' rules. The intercept alone, the log odds of the share of ones kept from 0.01 to 0.99, where
+    there are no labels, labels of one class only, or no tree finds a split (few rows, or statistics that are all alike)."""
+    rules = tree_rules(values, labels) if len(labels) > 1 and labels.min() < labels.max() else []
+    if not rules:
         share = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
         return RuleEnsemble(intercept=float(np.log(share / (1 - share))))
-    rules = tree_rules(values, labels)
     w, b = lasso_logistic(np.stack([r.holds(values) for r in rules], axis=1), labels, penalty)
     keep = np.flatnonzero(np.abs(w) > 1e-6)
     return RuleEnsemble([rules[k] for k in keep], [float(w[k]) for k in keep], b)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", max_train_docs: int = MAX_TRAIN_DOCS) -> RuleEnsemble:
-    """Fit on a sample of at most max_train_docs labelled documents; no label of the held-out fifth is read."""
-    sample = labelled_sample(labels, label_col, label_id_col, max_train_docs)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    """Fit on a sample of at most max_train_docs labelled documents; no label of the held-out fifth is read.
+
+    Statistics reach the driver, one row a document: rows that share an id count once, by their smallest text. Null ids
+    and null labels are left out; too few labels give the intercept alone, see fit_rules. Other columns are not read.
+    """
+    rows = labelled_texts(docs, labelled_sample(labels, label_col, label_id_col, max_train_docs), id_col, text_col)
     stats = text_statistics(F.col("text"))
     got = rows.select("doc_id", "label", *[c.alias(n) for n, c in stats.items()]).orderBy("doc_id").toArrow()
     return fit_rules({n: got[n].to_numpy() for n in stats}, got["label"].to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with (score, predicted), all columns and rows kept; one projection, no shuffle and no Python."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted", "_stats")]
-    stats = docs.select(*kept, F.struct(*[c.alias(n) for n, c in text_statistics(F.col(text_col)).items()]).alias("_stats"))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin("_stats")))
-    return stats.withColumn("score", score).drop("_stats").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """docs with (score, predicted); one projection, no shuffle and no Python.
+
+    All rows stay, and all columns but those of docs that are named score or predicted, which the new ones replace.
+    Null and empty texts are scored by their zero statistics; whole texts are read, however long.
+    """
+    inner = fresh("_stats", docs)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
+    stats = docs.select(*kept, F.struct(*[c.alias(n) for n, c in text_statistics(F.col(f"`{text_col}`")).items()]).alias(inner))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin(inner)))
+    return stats.withColumn("score", score).drop(inner).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of docs. Null and empty texts are scored by their zero statistics; without labels every score is 0.5."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Rows (doc_id, held_out, score, predicted), one for each row of docs; other columns are not read.
+
+    Null and empty texts are scored by their zero statistics, repeated rows each, whole texts however long; a null id is
+    held out. Without labels every score is 0.5. An empty table gives an empty result.
+    """
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scored = score_quality(narrow, fit_quality(narrow, labels))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from hydrolith.llm.common import doc_blocks, text_buffers
 
-#: Most distinct words whose counts a worker remembers.
-CACHE_WORDS = 400_000
+#: Most distinct words whose counts a worker remembers, and the longest that it remembers, in characters: some 60 MB at most.
+CACHE_WORDS, CACHED_CHARS = 400_000, 32
 
 
 class PieceCounter:
@@ -55,8 +55,12 @@ class PieceCounter:
             known.clear()
         cut = [[t] if self.MARK in t or not t else split(t) for t in texts]
         new = list({w for words in cut for w in words if w not in known})
-        known.update(zip(new, self.encode_lengths(new), strict=True))
-        return [sum(map(known.__getitem__, words)) for words in cut]
+        lengths = dict(zip(new, self.encode_lengths(new), strict=True))
+        known.update((w, n) for w, n in lengths.items() if len(w) <= CACHED_CHARS)
+        long = {w: n for w, n in lengths.items() if len(w) > CACHED_CHARS}
+        if not long:
+            return [sum(map(known.__getitem__, words)) for words in cut]
+        return [sum(known[w] if w in known else long[w] for w in words) for words in cut]
 
 
 _counters: dict[str, PieceCounter] = {}

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import Words, materialize, mix, remainder, word_blocks
+from hydrolith.llm.common import Words, labelled_sample, labelled_texts, materialize, mix, remainder, word_blocks
 
 #: log2 of the number of hash buckets.
 HASH_BITS = 22
 #: Most labelled documents that the model is fitted on, picked by hash of the id.
 MAX_TRAIN_DOCS = 6000
+#: Most characters that these documents have together.
+MAX_TRAIN_CHARS = 32_000_000
 #: A feature must stand in so many of them.
 MIN_DOCS = 3
 
@@ -90,19 +92,24 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, bet
     return SparseLogistic(buckets[keep], w[keep].astype(np.float32), bias)
 
 
-def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int) -> DataFrame:
-    """(doc_id, label) of at most `most` documents outside the held-out fifth, picked by hash of the id.
-
-    Null labels, and documents whose rows disagree, are left out.
+def fit_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    label_id_col: str = "doc_id",
+    max_train_docs: int = MAX_TRAIN_DOCS,
+    max_train_chars: int = MAX_TRAIN_CHARS,
+) -> SparseLogistic:
+    """Fit on a sample of at most max_train_docs labelled documents of max_train_chars characters together.
+
+    No label of the held-out fifth is read. Rows that share an id count once, by their smallest text; null ids and labels
+    are left out. In the order of the ids' hashes a document is left out if it would take the total over
+    max_train_chars, so what reaches the driver is bounded in bytes too. No documents: weightless, every score is 0.5.
     """
-    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 5) != 0))
-    one = one.groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most")
-    return materialize(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("label").cast("int").alias("label")), "labelled")
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", max_train_docs: int = MAX_TRAIN_DOCS) -> SparseLogistic:
-    """Fit on a sample of at most max_train_docs labelled documents; no label of the held-out fifth is read."""
     sample = labelled_sample(labels, label_col, label_id_col, max_train_docs)
+    rows = labelled_texts(docs, sample, id_col, text_col)
 
     def run(batches):
         for batch in batches:
@@ -113,17 +120,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 sets += np.split((pair & ((1 << HASH_BITS) - 1)).astype(np.int32), np.searchsorted(pair >> HASH_BITS, np.arange(1, len(words.counts))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["label", "buckets"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("label", "text", "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(run, "label int, buckets array<int>").toArrow()
+    rows = materialize(rows.select("doc_id", "label", "text", F.length("text").alias("chars")), "labelled-texts")
+    total, over = 0, []
+    for doc_id, chars in rows.select("doc_id", "chars").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + chars > max_train_chars:
+            over.append(doc_id)
+        else:
+            total += chars
+    if over:
+        rows = rows.where(~F.col("doc_id").isin(over))
+    got = rows.orderBy("doc_id").select("label", "text").mapInArrow(run, "label int, buckets array<int>").toArrow()
     sets = [x.values.to_numpy() for x in got["buckets"]]
     return fit_ftrl(sets, got["label"].to_numpy().astype(np.float64))
 
 
 def score_toxicity(docs: DataFrame, model: SparseLogistic, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with (score, predicted). Whole texts are scored; null and empty texts get the intercept's score. All columns and rows stay."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    at = docs.columns.index(text_col)
+    """docs with (score, predicted).
+
+    Whole texts are scored, however long; null and empty texts get the intercept's score. All rows stay, and all columns
+    but those of docs that are named score or predicted, which the new ones replace.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names) + ", score double"
+    at = names.index(text_col)
 
     def run(batches):
         table = model.table()
@@ -131,14 +150,19 @@ def score_toxicity(docs: DataFrame, model: SparseLogistic, id_col: str = "doc_id
             parts = [model.margins(words, table) for _, _, words in word_blocks(batch.column(at))]
             margin = np.concatenate(parts) if parts else np.empty(0)
             score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(score, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kept = docs.select([F.col(f"`{c}`") for c in names])
+    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of docs; an empty docs or labels table is no error: without labels every score is 0.5."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Rows (doc_id, held_out, score, predicted), one for each row of docs; other columns are not read.
+
+    Repeated rows are scored each, whole texts however long; a null id is held out. An empty docs or labels table is no
+    error: without labels every score is 0.5.
+    """
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = fit_toxicity(narrow, labels)
     scored = score_toxicity(narrow, model)
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
