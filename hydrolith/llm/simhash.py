@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import NO_ID, materialize, mix, text_buffers, word_blocks
+from hydrolith.llm.common import NO_ID, Scratch, fresh, materialize, mix, text_buffers, word_blocks
 from hydrolith.llm.components import connected_components, spanning_links
 
 BITS = 64
@@ -19,6 +19,10 @@ SEED = 42
 SLICES, SLICE_BITS = 24, 32
 #: Rows of a slice that one task joins at once: most slices of 32 bits need no second split at this size.
 SLICE_ROWS = 4096
+#: Members of a group of equal or near slices whose sketches meet in one task, at most.
+SKETCH_ROWS = 65536
+#: Texts of a group of candidates that meet in one task, and their characters, at most.
+GROUP_ROWS, GROUP_CHARS = 2048, 48_000_000
 #: Pairs of sketches that are compared at once.
 PAIRS_AT_ONCE = 1 << 16
 #: Buckets that shingles are summed up in before the projection, and how many of them a shingle stands in.
@@ -296,7 +300,7 @@ def shingle_sets(words, width: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(width):
         # words that stand k places on in the same document
         ahead = np.zeros(len(h), np.uint64)
-        ahead[: len(h) - k] = h[k:]
+        ahead[: max(len(h) - k, 0)] = h[k:]
         ahead[at + k >= counts[doc]] = 0
         total += ahead * np.uint64(2 * k + 0x9E3779B97F4A7C15)
     starts = (at == 0) | (at + width <= counts[doc])
@@ -341,47 +345,135 @@ def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, differing: float = 1 / 6, budget: int = 2, subtrie_rows: int = SLICE_ROWS) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of docs with an id: near copies at a shingle similarity of about 0.8 or more.
+def in_blocks(members: DataFrame, most: int, weight: Column | int = 1) -> DataFrame:
+    """members with the groups g of a weight over `most` cut into blocks, so that each two members of a group still meet.
+
+    The members of a cut group are dealt to blocks by hash of rep and go to the groups of each two blocks; g is anew.
+    """
+    sizes = members.groupBy("g").agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight).alias("weight"))
+    sizes = sizes.select("g", F.ceil(F.col("weight") * 2 / most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.when(F.col("blocks") <= 2, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own))
+    dealt = members.join(sizes, "g").withColumn("other", F.explode(other))
+    return dealt.withColumn("g", F.when(F.col("other") < 0, F.col("g")).otherwise(F.xxhash64("g", F.least(own, "other"), F.greatest(own, "other")))).drop("blocks", "other")
+
+
+def similar_sets(doc: np.ndarray, shingle: np.ndarray, n: int, sketches: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+    """Label of each of n documents: joined are those with a shingle similarity (Jaccard) of at least `similarity`.
+
+    doc, shingle: the distinct shingles of each document, ascending. Only pairs whose sketches differ in `limit` bits or
+    fewer are compared, and no two that compared pairs have joined already. A label is a document of its component.
+    """
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    size = np.diff(ends)
+    label = np.arange(n)
+    sketches = sketches.view(np.uint64)
+    for i in range(n - 1):
+        later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        later = later[np.bitwise_count(sketches[later] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= limit]
+        own = shingle[ends[i] : ends[i + 1]]
+        later = later[(size[later] > 0) & (np.minimum(size[later], len(own)) >= similarity * np.maximum(size[later], len(own)))]
+        if not len(later) or not len(own):
+            continue
+        at = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in later])
+        theirs = shingle[at]
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[later]) - size[later])
+        for j in later[both >= similarity * (len(own) + size[later] - both) - 1e-9]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+    return label
+
+
+def similar_rows(numbered: DataFrame, row: str, text_col: str, width: int = 5, similarity: float = 0.8, differing: float = 0.181, budget: int = 2, subtrie_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows (row, component): the rows of `numbered`, a written table whose bigint column `row` is unique, with the smallest row that near copies lead to.
 
     A similarity of 0.8 moves a seventh of the bits of a SimHash, far beyond what one 64-bit trie can be searched for,
     so the fingerprint is long and each slice of it has a trie of its own: a pair is a candidate if some slice of
-    SLICE_BITS differs in `budget` bits or fewer, which at 0.8 happens in one slice of eight. Candidates are linked if
-    at most a share `differing` of all bits differ. Slices are searched first; then the documents of each slice value
-    that has a candidate, all of them, meet with their whole sketches in its subtrie, and only verified links are cut
-    to stars there. So large groups of near copies give links in proportion to their members, and no true link is given
-    up for a false one. Rows that share an id are one node; null and empty texts are copies of each other.
+    SLICE_BITS differs in `budget` bits or fewer and the whole in a share `differing` or less, which 95 of 100 pairs at
+    0.8 meet. Candidates form groups; the texts of a group then meet in one task, where pairs within `differing` are
+    linked if their sets of shingles are as similar as asked. Groups over GROUP_ROWS rows or GROUP_CHARS characters are
+    compared by the slices' groups instead, and these in blocks, so no group is gathered whole. Rows of equal
+    fingerprints are copies: they are compared by one of them.
     """
     limit = int(differing * SLICES * SLICE_BITS)
-    table = materialize(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width), "long-fingerprints")
-    classes = materialize(table.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "sketches")
+    held = Scratch(numbered.sparkSession)
+    table = held.write(long_fingerprints(numbered, row, text_col, width), "long-fingerprints")
+    classes = held.write(table.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "sketches")
     halves = F.flatten(F.transform("sketch", lambda x: F.array(F.shiftrightunsigned(x, SLICE_BITS), x.bitwiseAND(F.lit((1 << SLICE_BITS) - 1)))))
     slices = classes.select("rep", F.posexplode(halves).alias("slice", "bits")).select("rep", F.shiftleft(F.col("slice").cast("bigint"), SLICE_BITS).bitwiseOR(F.col("bits")).alias("fp"))
-    distinct = materialize(slices.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "slices")
+    distinct = held.write(slices.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "slices")
     near = near_groups(distinct, budget, subtrie_rows, tuple(range(BITS - SLICE_BITS, BITS)))
-    near = materialize(near.union(distinct.where("n > 1").select(F.xxhash64(F.lit("equal"), "fp").alias("g"), "fp")), "near-slices")
+    near = held.write(near.union(distinct.where("n > 1").select(F.xxhash64(F.lit("equal"), "fp").alias("g"), "fp")), "near-slices")
 
     def join(batches):
         for group, fp, rep, sketches in _sketch_groups(batches):
             a, b = verified_links(group, fp, rep, sketches, budget, limit)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    members = near.join(slices, "fp").join(classes, "rep").select("g", "fp", "rep", "sketch")
-    links = members.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint")
+    members = near.join(slices, "fp").select("g", "fp", "rep")
+    dealt = in_blocks(members, SKETCH_ROWS).join(classes, "rep").select("g", "fp", "rep", "sketch")
+    alike = connected_components(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint"))
+    chars = numbered.select(F.col(row).alias("rep"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
+    nodes = held.write(alike.select(F.col("node").alias("rep"), "component").join(chars, "rep"), "alike")
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
+    sized = held.write(nodes.join(sizes, "component").withColumn("large", (F.col("n") > GROUP_ROWS) | (F.col("all_chars") > GROUP_CHARS)), "alike-sized")
+    tasks = sized.where("not large").select(F.xxhash64(F.lit("component"), "component").alias("g"), "rep")
+    large = sized.where("large").select("rep", "chars")
+    share = F.lit(1.0 / GROUP_ROWS) + F.col("chars") / F.lit(float(GROUP_CHARS))
+    hot = in_blocks(members.select("g", "rep").distinct().join(large, "rep").select("g", "rep", "chars"), 1, share).select("g", "rep")
+    tasks = tasks.union(hot)
+    wanted = tasks.join(classes, "rep").join(numbered.select(F.col(row).alias("rep"), F.col(text_col).cast("string").alias("text")), "rep")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        text, rep = group["text"].combine_chunks(), group["rep"].to_numpy()
+        sketches = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group["sketch"].chunks]).reshape(len(rep), -1)
+        docs, shingles = [], []
+        for first, _, words in word_blocks(text):
+            d, h = shingle_sets(words, width)
+            docs.append(d + first)
+            shingles.append(h)
+        label = similar_sets(np.concatenate(docs), np.concatenate(shingles), len(rep), sketches, limit, similarity)
+        child = np.flatnonzero(label != np.arange(len(rep)))
+        return pa.table({"a": pa.array(rep[child], pa.int64()), "b": pa.array(rep[label[child]], pa.int64())})
+
+    links = wanted.select("g", "rep", "sketch", "text").groupBy("g").applyInArrow(compare, "a bigint, b bigint")
     found = connected_components(links)
-    known = classes.join(found, F.col("rep") == F.col("node"), "left").select("sketch", F.coalesce("component", "rep").alias("component_id"))
-    return table.join(materialize(known, "sketch-components"), "sketch").select("doc_id", "component_id")
+    known = classes.join(found, F.col("rep") == F.col("node"), "left").select("sketch", F.coalesce("component", "rep").alias("component"))
+    out = materialize(table.join(known, "sketch").select(F.col("doc_id").alias("row"), "component"), "similar-rows")
+    held.drop()
+    return out
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    row = fresh("_row", docs)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, subtrie_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of docs: near copies at a shingle similarity of 0.8 or more, see similar_rows.
+
+    component_id is the smallest doc_id that links lead to. Rows are compared each by itself, also where ids repeat; rows
+    with a null id take part, and a component of only such rows has a null component_id. Null and empty texts, and texts
+    without words, are copies of each other; a text of fewer words than `width` is one shingle. An empty table gives an
+    empty result. Other columns are not read.
+    """
+    numbered, row = _numbered(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    found = similar_rows(numbered, row, "text", width, similarity, subtrie_rows=subtrie_rows)
+    named = materialize(numbered.select(row, "doc_id").join(found, F.col(row) == F.col("row")).select("doc_id", "component"), "named")
+    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """docs with one document of each component of similar_components: the one with the smallest doc_id, all columns kept.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of similar_rows, all columns kept, whatever their names.
 
-    Rows that repeat a kept doc_id are cut to one. Rows without an id are all kept, as nothing names them.
+    The row with the smallest doc_id stays, null ids last; among rows that share it, the one whose text has the smallest
+    hash. Rows that share an id but no text are different documents. Nulls, empty texts and tables as in similar_components.
     """
-    found = similar_components(docs, id_col, text_col, width)
-    keep = found.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("is_kept")).where("is_kept")
-    keep = materialize(keep.select(F.col("doc_id").alias("_kept_id"), F.col("n_rows").alias("_n_rows")), "kept")
-    kept = docs.join(keep, docs[id_col].cast("bigint") == keep["_kept_id"])
-    once = kept.where("_n_rows = 1").select(*[docs[c] for c in docs.columns])
-    again = kept.where("_n_rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col])
-    return once.union(again).union(docs.where(F.col(id_col).isNull()))
+    numbered, row = _numbered(docs)
+    ids = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
+    found = similar_rows(numbered.select(F.col(row).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), "row", "text", width, similarity)
+    best = ids.join(found, "row").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row")).alias("best"))
+    kept = fresh("_kept", numbered)
+    return numbered.join(best.select(F.col("best.row").alias(kept)), F.col(row) == F.col(kept), "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

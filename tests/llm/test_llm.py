@@ -84,11 +84,30 @@ def test_piece_encoder_is_exact(seed):
     rng = random.Random(seed)
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "'s", "'", "!!", "...", " ", "　", "\x1c", "<|endoftext|>", "the", "|", "日本", "́", "😀", "_", " the", "​"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(700)] + ["", " ", "'sthe a", "a  b", "a   b"]
+    texts += ["".join(chr(c) for c in rng.choices([*range(32, 127), *range(161, 0xD800), *range(0xE000, 0x11000)], k=20)) for _ in range(300)]
     encoder = packing.PieceEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
     whole = [x.ids for x in encoder.whole.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == whole
 
 
+def test_piece_encoder_on_every_character():
+    encoder = packing.PieceEncoder(str(public_tokenizers.path("byte_bpe_50k.json")), remembered=3000)
+    points = [c for c in range(1, 0x10800) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4096):
+        texts = [f"ab{c}1 x {c}'s9{c}! {c} a{c}b, {c}a. \n{c} z.\nb{c}" for c in map(chr, points[k : k + 4096])]
+        whole = encoder.whole.encode_batch(texts, add_special_tokens=False)
+        assert all(np.frombuffer(encoder.encode(t), "<u4").tolist() == w.ids for t, w in zip(texts, whole, strict=True))
+
+
+def test_caches_are_bounded_on_text_without_spaces():
+    text = "".join(chr(0x4E00 + k % 3000) for k in range(20000))
+    encoder = packing.PieceEncoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    counter = tokens.PieceCounter(str(public_tokenizers.path("piece_bpe_32k.model")))
+    for cut in range(50):
+        assert encoder.encode("a " + text[cut:]) and counter.counts([text[cut:], "a " + text[cut:]])
+    assert max(map(len, encoder.parts), default=0) <= packing.REMEMBERED_CHARS and max(map(len, counter.known), default=0) <= tokens.CACHED_CHARS
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -204,6 +223,75 @@ def test_classifiers_learn(spark):
         assert held.agg(F.avg((F.col("predicted") == F.col(column)).cast("int"))).first()[0] > 0.97
 
 
+def test_rules_without_a_split_are_an_intercept():
+    for n in (2, 6, 9, 12):
+        labels_ = np.arange(n) % 2
+        for values in (np.zeros(n), np.arange(n, dtype=float)):
+            model = quality.fit_rules({"x": values, "y": np.ones(n)}, labels_.astype(float))
+            assert np.isfinite(model.intercept)
+    assert quality.fit_rules({"x": np.empty(0)}, np.empty(0)).intercept == 0
+
+
+def test_compiled_rules_are_the_rules(spark):
+    rng = np.random.default_rng(5)
+    values = {n: rng.integers(0, 20, 400) / 4 for n in "abc"}
+    labels_ = ((values["a"] > 2) & (values["b"] <= 3) | (values["c"] > 4.5)).astype(float)
+    model = quality.fit_rules(values, labels_)
+    margin = model.intercept + sum(w * r.holds(values) for r, w in zip(model.rules, model.weights, strict=True))
+    assert ((margin > 0) == labels_).mean() > 0.97 and len(model.rules) > 2
+    table = spark.createDataFrame([tuple(float(values[n][k]) for n in "abc") for k in range(400)], "a double, b double, c double")
+    got = table.select(model.margin("s")) if "s" in table.columns else table.select(F.struct("a", "b", "c").alias("s")).select(model.margin("s"))
+    assert np.allclose([r[0] for r in got.collect()], margin)
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(6)
+    x = rng.random((500, 8)) < 0.4
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2.0 * x[:, 0] - 1.5 * x[:, 1])))).astype(float)
+    w, b = quality.lasso_logistic(x, y, penalty=0.01, steps=4000)
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 500
+    assert np.all(np.abs(slope) <= 0.01 + 1e-3) and np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-3)
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(1, 8))) for _ in range(80)]
+    y = np.array([float(3 in r) for r in rows])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    got = toxicity.fit_ftrl(rows, y, alpha, beta, l1, l2, epochs=2)
+    z, n = Counter(), Counter()
+    seen = Counter(int(i) for r in rows for i in r)
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    bias, bias_n = np.log(share / (1 - share)), 1.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(80):
+            used = [int(i) for i in rows[k] if seen[int(i)] >= toxicity.MIN_DOCS]
+            w = {i: weight(i) for i in used}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y[k]
+            for i in used:
+                step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
+                z[i] += g - step * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= alpha * g / np.sqrt(bias_n)
+    want = {i: weight(i) for i in seen if weight(i)}
+    assert dict(zip(got.buckets.tolist(), got.weights.tolist(), strict=True)) == pytest.approx(want, abs=1e-5) and got.intercept == pytest.approx(bias)
+
+
+def test_clashing_names_and_repeated_training_rows(spark):
+    rows = [(1, "alpha beta", 9, "s"), (1, "alpha", 9, "s"), (2, None, 9, "s"), (None, "x", 9, "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, Score int, _stats string").withColumn("predicted", F.lit("p")).withColumn("_times", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("source", F.lit("a"))
+    marks = labels(spark, [(1, 1, 1), (2, 0, 0)])
+    for model, score in ((quality.fit_quality(table, marks), quality.score_quality), (toxicity.fit_toxicity(table, marks), toxicity.score_toxicity)):
+        got = score(table, model)
+        assert got.columns == ["doc_id", "text", "_stats", "_times", "_row", "source", "score", "predicted"] and got.where("_stats = 's' and score between 0 and 1").count() == 4
+    assert mixing.apply_mix(table).columns == table.columns
+    few = toxicity.fit_toxicity(table, labels(spark, [(i, 1, i % 2) for i in range(9)]), max_train_chars=6)
+    assert len(few.buckets) == 0
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "[~INST] ~ [~~SYS]", "", None, "plain\n[", "<s", "a</s>b😀", "[SAYS][ROLE]"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["system", "user", "assistant", "tool[SAYS]", None, "user", "assistant", "assistant"], said, strict=True))]
@@ -360,42 +448,75 @@ def test_near_copies_of_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = dict(simhash.similar_components(docs).collect())
     assert all(found[2 * k] == found[2 * k + 1] == 2 * k for k in range(60))
-    assert found[901] == 900 and found[903] == 902 and found[904] == 904 and len(found) == 125
+    assert found[901] == 900 and found[903] == 902 and found[904] == 904 and found[None] is None and len(found) == 126
     assert simhash.drop_near_duplicates(docs).count() == 64
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def similar_by_force(sketches, budget=2, limit=128):
-    """Component of each row: linked if a slice differs in `budget` bits or fewer and the whole in `limit` or fewer."""
-    halves = np.ascontiguousarray(sketches.astype(">i8")).view(">u4")
-    label = np.arange(len(sketches))
-    for i in range(len(sketches)):
-        bits = np.bitwise_count(halves ^ halves[i]).astype(int)
-        for j in np.flatnonzero((bits.min(axis=1) <= budget) & (bits.sum(axis=1) <= limit)):
-            label[label == max(label[i], label[j])] = min(label[i], label[j])
-    return label.tolist()
+def similar_by_force(texts, similarity=0.8):
+    """Smallest position that links of five-word shingle sets lead to, for each text."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if k == b else k for k in label]
+    return label
 
 
-@pytest.mark.parametrize("slice_rows", [4, 4096])
-def test_no_true_link_is_given_up_for_a_false_one(spark, monkeypatch, slice_rows):
-    # hubs of small ids share one slice (equal, or a bit or two apart) with both copies of each pair and nothing else
+@pytest.mark.parametrize("group_rows,sketch_rows,slice_rows", [(2048, 65536, 4096), (6, 16, 4)])
+def test_no_true_link_is_given_up_for_a_false_one(spark, monkeypatch, group_rows, sketch_rows, slice_rows):
+    # hubs of small ids share a long passage with both copies of each pair, not enough to be copies of them
     rng = np.random.default_rng(12)
-    n, words = 30, simhash.SLICES
-    hubs, lefts, rights = (rng.integers(0, 1 << 32, (n, words), dtype=np.uint64) for _ in range(3))
-    hubs[:, 3] = hubs[0, 3]  # so that one slice value has many members
-    for k in range(n):
-        at = 3 if k % 2 else k % words
-        lefts[k, at] = hubs[k, at]
-        flips = np.array([sum(1 << int(b) for b in rng.choice(32, 5, replace=False)) for _ in range(words)], np.uint64)
-        flips[at] = (0, 1, 3)[k % 3]
-        rights[k] = lefts[k] ^ flips
-    halves = np.concatenate([hubs, lefts, rights])
-    sketches = halves.astype(">u4").view(">i8").astype(np.int64)
-    rows = [(i, x) for i, x in enumerate(sketches.tolist())]
-    monkeypatch.setattr(simhash, "long_fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, sketch array<bigint>"))
-    found = dict(simhash.similar_components(spark.createDataFrame([(0, "")], "doc_id long, text string"), subtrie_rows=slice_rows).collect())
-    assert [found[i] for i in range(3 * n)] == similar_by_force(sketches)
-    assert all(found[2 * n + k] == found[n + k] == n + k for k in range(n))
+    words = np.array([f"w{k}" for k in range(4000)])
+    draw = lambda n: words[rng.integers(0, len(words), n)].tolist()
+    passage, hubs, lefts, rights = draw(250), [], [], []
+    for k in range(30):
+        hubs.append([*passage, *draw(90)])
+        left = [*passage, *draw(80 + k)]
+        lefts.append(left)
+        rights.append([*left[:100], "new", *left[101:300], "other", *left[301:]] if k % 3 else [*left[:-20], *draw(20)])
+    texts = [" ".join(t) for t in (*hubs, *lefts, *rights)] + ["", "  ", "one two", "One  two", "one two three"]
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(simhash, "SKETCH_ROWS", sketch_rows)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(simhash.similar_components(table, subtrie_rows=slice_rows).collect())
+    want = similar_by_force(texts)
+    assert all(want[got[i]] == want[i] for i in got)  # nothing is joined that is not alike
+    pairs = [(30 + k, 60 + k) for k in range(30) if want[60 + k] == want[30 + k]]
+    assert len(pairs) >= 25 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert got[91] == 90 and got[93] == 92 and got[94] == 94
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    x, y = "alpha beta gamma delta " * 30, "one two three four five six " * 20
+    rows = [(1, x, "k", 1), (1, y, "k", 2), (2, x, "k", 3), (None, y, "k", 4), (None, "left alone here", "k", 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _row string, _kept int")
+    got = sorted((r["doc_id"] or 0, r["text"], r["_row"]) for r in simhash.drop_near_duplicates(table).collect())
+    assert got == sorted([(0, "left alone here", "k"), (1, x, "k"), (1, y, "k")])
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.similar_components(table).select("doc_id", "component_id").collect() if r["component_id"])
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_shingles_of_small_batches(width):
+    import itertools
+
+    for counts in itertools.product(range(3), repeat=3):
+        for extra in range(4):
+            texts = [" ".join(f"w{i}" for i in range(n)) for n in (*counts, extra)]
+            data = "".join(texts).encode()
+            words = Words(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+            doc, shingle = simhash.shingle_sets(words, width)
+            assert np.bincount(doc, minlength=4).tolist() == [len({tuple(t.split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))}) if t else 0 for t in texts]
+            features, _ = toxicity.hashed_features(words)
+            assert np.bincount(features, minlength=4).tolist() == [2 * n + max(n - 1, 0) + max(n - 2, 0) for n in words.counts]
+            tokens_, context, owner = lm.sequences(words, np.arange(len(words.hashes)))
+            assert len(tokens_) == len(owner) == len(words.hashes) + 4 and context.shape[1] == len(tokens_)
 
 
 def test_verified_links_of_large_classes():
