@@ -1,7 +1,8 @@
 """Corpus pipeline: quality filter, toxicity filter, near-duplicate removal, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again for the next.
-All but the last return the columns of documents.
+All but the last return the columns of documents; further columns of docs are not read. Null texts count as empty, rows
+that repeat or share a doc_id are documents each, an empty table gives an empty result: see each operator for the details.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHash over five-word shingles, a similarity of about 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, width=5).select(COLUMNS)
+    """One document of each group of near copies: candidates by SimHash, linked at a similarity of five-word shingles of 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, width=5, similarity=0.8).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +42,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place. Workers keep little of it beside the other stages' needs."""
+    """Pieces of at most 2048 tokens with their sequence and place."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), remembered=300_000)
+    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [
