@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours with a hash-prefix forest over shards of the vectors."""
+"""Approximate nearest neighbours with a forest of hash prefixes over shards of the vectors."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from hydrolith.llm.common import materialize
 
-#: Vectors in a shard, about, and the fewest shards, so that small tables use the cluster too.
-SHARD_ROWS, LEAST_SHARDS = 16384, 8
-#: Queries that meet a shard in one task, at most about.
-QUERY_ROWS = 4096
-TREES, HASH_BITS = 24, 32
+#: Vectors in a shard, about; queries that meet a shard in one task, about; and about as many tasks at least for small tables.
+SHARD_ROWS, QUERY_ROWS, LEAST_TASKS = 16384, 8192, 8
+#: Fewest queries of a task, so that few queries don't copy the vectors.
+LEAST_QUERIES = 64
+#: Trees of a forest, symbols of a hash string, and the most directions that a symbol chooses from.
+TREES, SYMBOLS, DIRECTIONS = 40, 3, 64
 
 
 def usable(vector: str) -> Column:
@@ -35,106 +36,136 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(n, -1)
 
 
+def symbols_of(along: np.ndarray, count: int) -> np.ndarray:
+    """The `count` directions, or their opposites (numbered after them), that each row of projections points along most, best first."""
+    size = np.abs(along)
+    out = np.empty((*along.shape[:-1], count), np.int64)
+    for s in range(count):
+        best = size.argmax(axis=-1)[..., None]
+        out[..., s] = (best + (np.take_along_axis(along, best, axis=-1) < 0) * along.shape[-1])[..., 0]
+        np.put_along_axis(size, best, -1, axis=-1)
+    return out
+
+
+def meeting_chances(directions: int, symbols: int, seed: int = 23, pairs: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """(cosines, chances) by simulation: chances[i, l] is how likely one of two vectors at cosines[i] shows the other at level l of PrefixForest."""
+    rng = np.random.default_rng(seed)
+    cosines = np.linspace(-0.2, 1, 49)
+    x, noise = rng.normal(size=(2, pairs, directions))
+    own = symbols_of(x, symbols)
+    order = np.argsort(np.concatenate([-x, x], axis=1), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(2 * directions)[None], axis=1)
+    chances = np.empty((len(cosines), symbols - 1 + 2 * directions))
+    for i, c in enumerate(cosines):
+        theirs = symbols_of(c * x + np.sqrt(max(1 - c * c, 0)) * noise, symbols)
+        same = np.cumprod(own == theirs, axis=1).mean(axis=0)
+        children = np.cumsum(np.bincount(place[np.arange(pairs), theirs[:, 0]], minlength=2 * directions)) / pairs
+        chances[i] = np.concatenate([same[:0:-1], children])
+    return cosines, chances
+
+
 class PrefixForest:
     """Trees of long hash strings; a tree is the sorted array of its strings, a node the range that shares a prefix.
 
-    A string has one bit for the side of each of HASH_BITS random hyperplanes through the mean. A query goes down each
-    tree to the longest prefix that some stored string shares. Then all trees go up together, one bit at a time, and what
-    joins the widened ranges becomes a candidate. Two vectors at an angle a share a prefix of x bits with probability
-    (1 - a / pi)^x, so once the k-th best candidate so far is known, the chance that a vector as near as it shares the
-    prefix in no tree is known as well; the query ends when that falls below 1 - recall.
+    Each tree has random orthogonal directions; a string names those that the vector, less the mean, points along most,
+    or against, the most pronounced first. A query goes down each tree to the longest prefix that some stored string shares. Then all
+    trees go up together, one symbol at a time, and what joins the widened ranges becomes a candidate. From the first
+    symbol they go on to the root by its other children, in the order of the query's own directions. How likely two
+    vectors at an angle share a symbol is known by simulation, so once the k-th best candidate so far is, the chance that
+    no tree has shown a vector as near as it is known as well; the query ends when that falls below 1 - recall.
     """
 
-    def __init__(self, vectors: np.ndarray, planes: np.ndarray, centre: np.ndarray):
-        self.vectors, self.planes, self.centre = vectors, planes, centre
-        keys = self.hash(vectors)
-        self.order = np.argsort(keys, axis=0, kind="stable")
+    def __init__(self, vectors: np.ndarray, turns: np.ndarray, centre: np.ndarray, chances: tuple[np.ndarray, np.ndarray]):
+        """turns: (TREES, components, directions)."""
+        self.vectors, self.turns, self.centre, self.chances = vectors, turns, centre, chances
+        self.symbols, self.depth = 2 * turns.shape[2], min(SYMBOLS, turns.shape[2])
+        keys = np.concatenate([self.strings(vectors[i : i + 1024])[0] for i in range(0, len(vectors), 1024)] or [np.empty((0, TREES), np.int64)])
+        self.order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, axis=0)
-        self.length = np.linalg.norm(vectors - centre, axis=1)
+        self.usual = float(np.median(np.linalg.norm(vectors - centre, axis=1))) if len(vectors) else 0.0
+        self.compared = 0
 
-    def hash(self, x: np.ndarray) -> np.ndarray:
-        bits = ((x - self.centre).astype(np.float32) @ self.planes > 0).reshape(len(x), TREES, HASH_BITS)
-        return (np.packbits(bits, axis=2).view(">u4")[:, :, 0]).astype(np.int64)
+    def strings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash string as a number, projections) of each vector and tree."""
+        along = np.einsum("nd,tdk->ntk", (x - self.centre).astype(np.float32), self.turns, optimize=True)
+        found = symbols_of(along, self.depth)
+        return found @ self.symbols ** np.arange(self.depth - 1, -1, -1), along
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the positions and distances of its k nearest candidates; position own[q] is no candidate."""
-        n, keys = len(self.vectors), self.hash(queries)
-        lo = np.empty((HASH_BITS + 1, len(queries), TREES), np.int64)
-        hi = np.empty_like(lo)
-        for t in range(TREES):
-            for x in range(HASH_BITS + 1):
-                free = (1 << (HASH_BITS - x)) - 1
-                lo[x, :, t] = np.searchsorted(self.keys[:, t], keys[:, t] & ~free, side="left")
-                hi[x, :, t] = np.searchsorted(self.keys[:, t], keys[:, t] | free, side="right")
+        n, out = len(self.vectors), []
         reach = np.linalg.norm(queries - self.centre, axis=1)
-        out = []
-        for q, point in enumerate(queries):
-            seen = np.zeros(n, bool)
-            if own[q] >= 0:
-                seen[own[q]] = True
-            ids, dist = np.empty(0, np.int64), np.empty(0)
-            sizes = (hi[:, q] - lo[:, q]).sum(axis=1)
-            x = int(np.flatnonzero(sizes)[-1])
-            before: tuple | None = None
-            while True:
-                parts = []
-                for t in range(TREES):
-                    a, b = lo[x, q, t], hi[x, q, t]
-                    if before is None:
-                        parts.append(self.order[a:b, t])
-                    else:
-                        c, d = before[0][t], before[1][t]
-                        if d <= c:
-                            parts.append(self.order[a:b, t])
-                        elif a < c or b > d:
-                            parts += [self.order[a:c, t], self.order[d:b, t]]
-                before = (lo[x, q], hi[x, q])
-                new = np.concatenate(parts) if parts else np.empty(0, np.int64)
-                mark = np.zeros(n, bool)
-                mark[new] = True
-                new = np.flatnonzero(mark & ~seen)
-                if len(new):
-                    seen[new] = True
-                    gap = self.vectors[new] - point
-                    ids, dist = np.append(ids, new), np.append(dist, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
-                    if len(ids) > 4 * k:
-                        keep = np.argpartition(dist, k - 1)
-                        keep = keep[dist[keep] <= dist[keep[k - 1]]]
-                        ids, dist = ids[keep], dist[keep]
-                if x == 0 or (len(dist) >= k and self._missed(np.partition(dist, k - 1)[k - 1], reach[q], x) <= 1 - recall):
-                    break
-                widened = np.flatnonzero(sizes[:x] > sizes[x])
-                x = int(widened[-1]) if len(widened) else 0
-            out.append((ids, dist))
+        starts = np.stack([np.searchsorted(self.keys[:, t], np.arange(self.symbols + 1) * self.symbols ** (self.depth - 1)) for t in range(TREES)])
+        for q0 in range(0, len(queries), 256):
+            keys, along = self.strings(queries[q0 : q0 + 256])
+            ranges = []
+            for s in range(self.depth, 1, -1):
+                low = keys // self.symbols ** (self.depth - s) * self.symbols ** (self.depth - s)
+                ends = [(np.searchsorted(self.keys[:, t], low[:, t]), np.searchsorted(self.keys[:, t], low[:, t] + self.symbols ** (self.depth - s))) for t in range(TREES)]
+                ranges.append(np.array(ends).transpose(2, 0, 1))
+            children = np.argsort(np.concatenate([-along, along], axis=2), axis=2)
+            for q in range(len(keys)):
+                point, at = queries[q0 + q], q0 + q
+                seen = np.zeros(n, bool)
+                if own[at] >= 0:
+                    seen[own[at]] = True
+                ids, dist = np.empty(0, np.int64), np.empty(0)
+                for level in range(self.depth - 1 + self.symbols):
+                    if level < self.depth - 1:  # prefixes of several symbols
+                        spans = ranges[level][q]
+                    else:  # the query's own child of the root, then the others
+                        child = children[q, :, level - self.depth + 1]
+                        spans = np.stack([starts[np.arange(TREES), child], starts[np.arange(TREES), child + 1]], axis=1)
+                    mark = np.zeros(n, bool)
+                    for t in np.flatnonzero(spans[:, 1] > spans[:, 0]):
+                        mark[self.order[spans[t, 0] : spans[t, 1], t]] = True
+                    new = np.flatnonzero(mark & ~seen)
+                    if len(new):
+                        seen[new] = True
+                        self.compared += len(new)
+                        gap = self.vectors[new] - point
+                        ids, dist = np.append(ids, new), np.append(dist, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+                        if len(ids) > 4 * k:
+                            keep = np.argpartition(dist, k - 1)
+                            keep = keep[dist[keep] <= dist[keep[k - 1]]]
+                            ids, dist = ids[keep], dist[keep]
+                    if len(dist) >= k and self._missed(np.partition(dist, k - 1)[k - 1], reach[at], level) <= 1 - recall:
+                        break
+                out.append((ids, dist))
         return out
 
-    def _missed(self, far: float, reach: float, x: int) -> float:
-        """Chance that a stored vector at distance `far`, of the usual length, shares no x-bit prefix with the query."""
-        other = float(np.median(self.length)) if not hasattr(self, "_usual") else self._usual
-        self._usual = other
-        if reach <= 0 or other <= 0:
+    def _missed(self, far: float, reach: float, level: int) -> float:
+        """Chance that no tree has shown a stored vector at distance `far`, of the usual length, by this level."""
+        if reach <= 0 or self.usual <= 0:
             return 1.0
-        cos = (reach**2 + other**2 - far**2) / (2 * reach * other)
-        return (1 - (1 - np.arccos(np.clip(cos, -1, 1)) / np.pi) ** x) ** TREES
+        cosine = (reach**2 + self.usual**2 - far**2) / (2 * reach * self.usual)
+        cosines, chances = self.chances
+        return (1 - float(np.interp(cosine, cosines, chances[:, level]))) ** TREES
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, seed: int = 17) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.93, seed: int = 17) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest vectors found for each query by Euclidean distance.
 
-    The vectors are dealt by hash to shards of about SHARD_ROWS; each shard has a forest of its own over all its
-    rows, each block of queries visits every shard, and the best of all shards are ranked, ties by smaller id. `recall`
-    is the chance at which a shard's search ends. Vectors that are null, zero, of another length than most, or hold null
-    or non-finite components take no part, as rows with a null id; rows that repeat an id count as one candidate, by
-    its nearest vector, and as one query, by any. Fewer candidates than k give fewer rows; no candidates, none.
+    The vectors are dealt by hash to shards of about SHARD_ROWS, the queries to blocks of about QUERY_ROWS; each block
+    meets each shard in one task, where a forest over all the shard's rows is searched, and the best of all shards are
+    ranked, ties by smaller id. `recall` is the chance at which a shard's search ends. Vectors that are null, zero, of
+    another length than most, or hold null or non-finite components take no part, as rows with a null id; rows that
+    repeat an id count as one candidate, by its nearest vector, and as one query, by its smallest vector. Fewer
+    candidates than k give fewer rows; no candidates, none. Other columns are not read.
     """
     length = usual_length(vectors.where(usable(vector_col)), vector_col)
-    pick = lambda df: df.where(usable(vector_col) & (F.size(vector_col) == length) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    base, asked = pick(vectors), pick(queries).dropDuplicates(["id"])
+    pick = lambda df: df.where(usable(vector_col) & (F.size(vector_col) == length) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
+    base, asked = pick(vectors), pick(queries).groupBy("id").agg(F.min("v").alias("v"))
     n, m = base.count(), asked.count()
     schema = "query_id bigint, vec_id bigint, score double"
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_ROWS))
+    shards = max(1, -(-n // SHARD_ROWS))
+    blocks = max(1, -(-m // QUERY_ROWS), min(-(-LEAST_TASKS // shards), m // LEAST_QUERIES))
     centre = np.array([x or 0.0 for x in base.agg(*[F.avg(F.col("v")[i]) for i in range(length)]).first()]) if length and n else np.zeros(length)
-    planes = np.random.default_rng(seed).normal(size=(length, TREES * HASH_BITS)).astype(np.float32)
+    directions = max(1, min(length, DIRECTIONS))
+    rng = np.random.default_rng(seed)
+    turns = np.linalg.qr(rng.normal(size=(TREES, max(length, 1), directions)))[0].astype(np.float32)
+    chances = meeting_chances(directions, min(SYMBOLS, directions))
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     left = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), block.alias("block"), "id", "v")
@@ -146,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             ids, asked_ids = rows["id"].to_numpy(), wanted["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            forest = PrefixForest(matrix(rows["v"])[order], planes, centre)
+            forest = PrefixForest(matrix(rows["v"])[order], turns, centre, chances)
             first, last = np.searchsorted(ids, asked_ids, "left"), np.searchsorted(ids, asked_ids, "right")
             own = np.where(last > first, first, -1)
             for q, (at, dist) in enumerate(forest.search(matrix(wanted["v"]), own, k + int((last - first).max()), recall)):
