@@ -11,7 +11,7 @@ from hydrolith.llm.ann import matrix, usable, usual_length
 from hydrolith.llm.common import materialize
 from hydrolith.llm.components import connected_components, spanning_links
 
-#: Distinct vectors in a cell, about; most cells (centres are broadcast); most vectors that the centres are fitted on.
+#: Distinct vectors in a cell, about; most cells (their centres and sizes are broadcast); most vectors that the centres are fitted on.
 CELL_ROWS, MAX_CELLS, FIT_ROWS = 2048, 16384, 32768
 #: Rows of each side of one block product.
 BLOCK = 2048
@@ -38,28 +38,32 @@ class Cells:
     """Which cells a vector lies in or may have a partner in.
 
     Its home is the nearest centre. If x (home a) and y (home b) have a cosine of at least c, they are at most
-    d = sqrt(2 - 2c) apart, the plane between a and b separates them, and one of the two is within d / 2 of it. So a
-    vector visits each cell whose plane is within d / 2, and each pair meets in the home of one of the two: no link is
-    lost.
+    d = sqrt(2 - 2c) apart, the plane between a and b separates them, and one of the two is within d / 2 of it. So if
+    each vector visits all cells whose plane is within d / 2, each pair meets in the home of one of the two. The gap
+    of a pair mostly lies along the plane, though: in n components it is a step of about d / sqrt(n) towards it. A
+    vector therefore visits the cells whose plane is within `deviations` times half of that, d / 2 at most; infinite
+    deviations lose no pair.
     """
 
-    def __init__(self, centres: np.ndarray, cosine: float):
+    def __init__(self, centres: np.ndarray, cosine: float, deviations: float):
         self.centres = centres
-        apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
-        self.apart = apart
-        self.reach = np.sqrt(2 - 2 * cosine) / 2 + 1e-6
-
-    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(home of each row, whether it lies in or visits each cell)."""
-        s = x @ self.centres.T
-        home = s.argmax(axis=1)
-        near = (s[np.arange(len(x)), home][:, None] - s) <= self.reach * self.apart[home]
-        near[np.arange(len(x)), home] = True
-        return home, near
-
-    def visits(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
-        gap = np.einsum("ij,ij->i", x, self.centres[home] - self.centres[other])
-        return gap <= self.reach * self.apart[home, other]
+        self.reach = np.sqrt(2 - 2 * cosine) / 2 * min(1.0, deviations / np.sqrt(centres.shape[1])) + 1e-6
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home of each row; row and cell of each visit, ascending)."""
+        homes, rows, cells = [], [], []
+        step = max(1, (1 << 22) // len(self.centres))
+        for i in range(0, len(x), step):
+            s = x[i : i + step] @ self.centres.T
+            home = s.argmax(axis=1)
+            gap = s[np.arange(len(s)), home][:, None] - s
+            row, cell = np.nonzero(gap <= 2 * self.reach)  # centres are at most 2 apart
+            apart = np.linalg.norm(self.centres[home[row]] - self.centres[cell], axis=1)
+            near = (gap[row, cell] <= self.reach * apart) & (home[row] != cell)
+            homes.append(home)
+            rows.append(row[near] + i)
+            cells.append(cell[near])
+        return tuple(np.concatenate(c) if c else np.empty(0, np.int64) for c in (homes, rows, cells))
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -76,84 +80,70 @@ def close_pairs(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray
     return i, j
 
 
-def embedding_components(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept), one for each row of vectors.
+def embedding_components(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = CELL_ROWS, block: int = BLOCK, deviations: float = 3.0) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept), one for each row of vectors; other columns are not read.
 
-    n_links counts the other rows at a cosine of at least `cosine`; component_id is the smallest vec_id reachable by
-    links; kept is true for that one. Equal vectors are one class and compared once. Centres are fitted on at most
-    FIT_ROWS distinct vectors, picked by hash; all vectors are compared. A cell is cut into blocks of at most `block` rows
-    and each pair of blocks is one product; links of a product come back as counts and a spanning forest. Vectors that
-    are null, zero, of another length than most, or hold null or non-finite components link with nothing and are kept,
-    as rows with a null id (kept: false). Rows that share an id are one node.
+    n_links counts the other rows found at a cosine of at least `cosine`, none below it; component_id is the smallest
+    vec_id reachable by links; kept is true for that one. Equal vectors are one class and compared once. Centres are
+    fitted on at most FIT_ROWS distinct vectors, picked by hash; all vectors are compared, within their cell and with
+    those near its planes, see Cells for what `deviations` finds. A cell is cut into blocks of at most `block` rows and
+    each pair of blocks is one product; links of a product come back as counts and a spanning forest. Vectors that are
+    null, zero, of another length than most, or hold null or non-finite components link with nothing and are kept, as rows
+    with a null id (kept: false). Rows that share an id are one node. An empty table gives an empty result.
     """
     length = usual_length(vectors.where(usable(vector_col)), vector_col)
     good = usable(vector_col) & (F.size(vector_col) == length) & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(good, F.col(vector_col)).alias("v"))
     rows = rows.withColumn("k1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("k2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), F.col("v"))))
-    classes = rows.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").cast("array<double>").alias("v"))
+    classes = rows.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = materialize(classes, "vectors")
+    element = dict(classes.dtypes)["v"]
     total = classes.count()
     fit = classes.select("v").orderBy("k1", "k2").limit(FIT_ROWS).toArrow()["v"] if total else None
     cells = max(1, min(MAX_CELLS, round(total / cell_rows)))
     centres = spherical_kmeans(_unit(matrix(fit)), cells) if fit is not None else np.zeros((1, max(length, 1)))
-    place = Cells(centres, cosine)
-
-    def sizes(batches):
-        for batch in batches:
-            home, near = place.of(_unit(matrix(pa.chunked_array([batch.column(0)]))))
-            at_home = np.bincount(home, minlength=len(centres))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), pa.array(at_home), pa.array(near.sum(axis=0) - at_home)], ["cell", "homes", "guests"])
-
-    blocks = np.zeros((2, len(centres)), np.int64)
-    for cell, homes, guests in classes.select("v").mapInArrow(sizes, "cell bigint, homes bigint, guests bigint").groupBy("cell").agg(F.sum("homes"), F.sum("guests")).collect():
-        blocks[:, cell] = -(-homes // block), -(-guests // (2 * block))
+    place = Cells(centres, cosine, deviations)
 
-    def deal(batches):
-        """Each vector goes to every product of its home cell's blocks that its block is in, and to its block of each cell it visits."""
+    def visit(batches):
+        """Each vector's home and the cells that it visits, decided here once for all that follows."""
         for batch in batches:
-            v = matrix(pa.chunked_array([batch.column(2)]))
-            home, near = place.of(_unit(v))
-            rep = batch.column(0).to_numpy()
-            salt = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            row, cell = np.nonzero(near)
-            guest = home[row] != cell
-            own = salt[row] % np.maximum(np.where(guest, blocks[1, cell], blocks[0, cell]), 1)
-            out: list[list[np.ndarray]] = []
-            for r, c, g, b in zip(row.tolist(), cell.tolist(), guest.tolist(), own.tolist(), strict=True):
-                hb, gb = int(blocks[0, c]), int(blocks[1, c])
-                if g:
-                    out += [(r, c, i, hb + b, 1) for i in range(hb)]
-                else:
-                    out += [(r, c, min(i, b), max(i, b), int(i < b)) for i in range(hb)] + [(r, c, b, hb + i, 0) for i in range(gb)]
-            if not out:
-                continue
-            r, c, i, j, side = np.array(out, np.int64).T
-            for s in range(0, len(r), 8192):
-                part = slice(s, s + 8192)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (c, i, j, side, rep[r], batch.column(1).to_numpy()[r], home[r])] + [batch.column(2).take(pa.array(r[part]))], ["cell", "i", "j", "side", "rep", "n", "home", "v"])
+            home, row, cell = place.of(_unit(matrix(pa.chunked_array([batch.column(2)]))))
+            ends = np.searchsorted(row, np.arange(len(home) + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell))], ["rep", "n", "v", "home", "visits"])
+
+    placed = materialize(classes.select("rep", "n", "v").mapInArrow(visit, f"rep bigint, n bigint, v {element}, home bigint, visits array<bigint>"), "placed")
+    at_home = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("homes"))
+    guests = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("guests"))
+    sizes = at_home.join(guests, "cell", "left").select("cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.coalesce("guests", F.lit(0)) / (2 * block)).cast("int").alias("gb"))
+    # a resident goes to every product of its cell that its block is in, a guest to those of its block with the residents'
+    stays = placed.select("*", F.explode(F.concat(F.array("home"), "visits")).alias("cell")).join(F.broadcast(sizes), "cell")
+    guest = F.col("cell") != F.col("home")
+    own = F.pmod(F.xxhash64("rep"), F.when(guest, F.col("gb")).otherwise(F.col("hb"))).cast("int")
+    homes = F.sequence(F.lit(0), F.col("hb") - 1)
+    product = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    among = F.transform(homes, lambda i: product(F.least(i, own), F.greatest(i, own), i < own))
+    with_guests = F.when(F.col("gb") > 0, F.transform(F.sequence(F.lit(0), F.col("gb") - 1), lambda i: product(own, F.col("hb") + i, F.lit(0)))).otherwise(F.slice(among, 1, 0))
+    as_guest = F.transform(homes, lambda i: product(i, F.col("hb") + own, F.lit(1)))
+    dealt = stays.withColumn("p", F.explode(F.when(guest, as_guest).otherwise(F.concat(among, with_guests)))).select("cell", "p.i", "p.j", "p.side", "rep", "n", "home", "visits", "v")
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
+        side, cell = table["side"].to_numpy(), table["cell"][0].as_py()
         v, rep, n, home = matrix(table["v"]), table["rep"].to_numpy(), table["n"].to_numpy(), table["home"].to_numpy()
         left = np.flatnonzero(side == 0)
         within = table["i"][0] == table["j"][0]
         right = left if within else np.flatnonzero(side == 1)
         a, b, reps, counts = [], [], [], []
         if len(left) and len(right):
+            calls = [set(c) for c in table["visits"].to_pylist()] if not within and home[right[0]] != cell else None
             for s in range(0, len(left), 1024):
                 i, j = close_pairs(v[left[s : s + 1024]], v[right], cosine)
                 i, j = left[s + i], right[j]
                 if within:
                     i, j = i[i < j], j[i < j]
-                else:
-                    # a pair that meets in both homes counts in the lower cell
-                    both = np.flatnonzero(home[i] != home[j])
-                    if len(both):
-                        x = _unit(v[i[both]])
-                        drop = (home[i[both]] > home[j[both]]) & place.visits(x, home[i[both]], home[j[both]])
-                        keep = np.ones(len(i), bool)
-                        keep[both[drop]] = False
-                        i, j = i[keep], j[keep]
+                elif calls is not None:
+                    # a resident i and a guest j: if i visits j's home too, the pair counts in the lower of the two cells
+                    keep = np.array([home[y] > cell or home[y] not in calls[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[keep], j[keep]
                 if len(i):
                     x, y = spanning_links(rep[i], rep[j])
                     a.append(x)
@@ -165,7 +155,6 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, id_col: str =
         x, y, z, w = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (a, b, reps, counts))
         return pa.table({"a": pa.array(np.concatenate([x, z]), pa.int64()), "b": pa.array(np.concatenate([y, z]), pa.int64()), "n": pa.array(np.concatenate([np.zeros(len(x), np.int64), w]), pa.int64())})
 
-    dealt = classes.select("rep", "n", "v").mapInArrow(deal, "cell bigint, i bigint, j bigint, side bigint, rep bigint, n bigint, home bigint, v array<double>")
     found = materialize(dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a bigint, b bigint, n bigint"), "embedding-links")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("a <> b")).withColumnRenamed("node", "rep")
