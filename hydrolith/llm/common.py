@@ -143,18 +143,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of some whole documents: per document the number, per word a 64-bit hash, the hash of its stem, and its tail.
+    """Words of some whole documents: per document the number, per word a 64-bit hash, its tail, and the hash of its stem.
 
-    A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. `stems` hashes the first
-    `STEM` bytes, `tails` packs the last three bytes.
+    A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. `tails` packs the last three
+    bytes; `stems`, if asked for, hashes the first `STEM` bytes.
     """
 
     STEM = 5
 
-    def __init__(self, data: np.ndarray, cuts: np.ndarray):
+    def __init__(self, data: np.ndarray, cuts: np.ndarray, stems: bool = False):
         """data: bytes of consecutive documents, document i at cuts[i]:cuts[i + 1]."""
+        self.stems = np.empty(0, np.uint64)
         if len(data) > 8 * BLOCK_BYTES and len(cuts) == 2:
-            parts = [Words(data[a:b], np.array([0, b - a])) for a, b in _segments(data)]
+            parts = [Words(data[a:b], np.array([0, b - a]), stems) for a, b in _segments(data)]
             self.counts = np.array([sum(int(p.counts[0]) for p in parts)])
             self.hashes, self.stems, self.tails = (np.concatenate([getattr(p, k) for p in parts]) for k in ("hashes", "stems", "tails"))
             return
@@ -168,7 +169,7 @@ class Words:
         starts_at = np.flatnonzero(begins)
         self.counts = np.diff(np.searchsorted(starts_at, cuts))
         if not len(where):
-            self.hashes = self.stems = np.empty(0, np.uint64)
+            self.hashes = np.empty(0, np.uint64)
             self.tails = np.empty(0, np.int64)
             return
         low = LOWER[data[where]]
@@ -177,8 +178,9 @@ class Words:
         k = np.arange(len(where)) - np.repeat(first, lens)
         values = _BYTE[low] * _power_table(int(lens.max()))[k]
         self.hashes = mix(np.add.reduceat(values, first) + lens.astype(np.uint64))
-        values[k >= self.STEM] = 0
-        self.stems = mix(np.add.reduceat(values, first) + np.uint64(0x5EED))
+        if stems:
+            values[k >= self.STEM] = 0
+            self.stems = mix(np.add.reduceat(values, first) + np.uint64(0x5EED))
         last = first + lens - 1
         tail = low[last].astype(np.int64)
         for back in (1, 2):
@@ -197,9 +199,9 @@ def _segments(data: np.ndarray):
         a = b + 1 if b < len(data) else b
 
 
-def word_blocks(column: pa.Array):
+def word_blocks(column: pa.Array, stems: bool = False):
     """(first, last, Words) for each block of documents of a string column."""
     data, offsets = text_buffers(column)
     for i, j in doc_blocks(offsets):
         lo, hi = int(offsets[i]), int(offsets[j])
-        yield i, j, Words(data[lo:hi], np.asarray(offsets[i : j + 1] - lo))
+        yield i, j, Words(data[lo:hi], np.asarray(offsets[i : j + 1] - lo), stems)

@@ -114,7 +114,7 @@ def fit_toxicity(
     def run(batches):
         for batch in batches:
             sets: list[np.ndarray] = []
-            for _, _, words in word_blocks(batch.column(1)):
+            for _, _, words in word_blocks(batch.column(1), stems=True):
                 doc, bucket = hashed_features(words)
                 pair = np.unique((doc << HASH_BITS) | bucket)
                 sets += np.split((pair & ((1 << HASH_BITS) - 1)).astype(np.int32), np.searchsorted(pair >> HASH_BITS, np.arange(1, len(words.counts))))
@@ -147,7 +147,7 @@ def score_toxicity(docs: DataFrame, model: SparseLogistic, id_col: str = "doc_id
     def run(batches):
         table = model.table()
         for batch in batches:
-            parts = [model.margins(words, table) for _, _, words in word_blocks(batch.column(at))]
+            parts = [model.margins(words, table) for _, _, words in word_blocks(batch.column(at), stems=True)]
             margin = np.concatenate(parts) if parts else np.empty(0)
             score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "score"])

@@ -352,7 +352,7 @@ def test_nearest_recall(spark):
 @pytest.mark.parametrize("cell_rows,block", [(2048, 2048), (40, 16)])
 def test_embedding_components(spark, cell_rows, block):
     x, rows, bad = odd_vectors()
-    got = {r["vec_id"]: r for r in embed_dedup.embedding_components(vectors(spark, rows + bad), cell_rows=cell_rows, block=block).collect()}
+    got = {r["vec_id"]: r for r in embed_dedup.embedding_components(vectors(spark, rows + bad), cell_rows=cell_rows, block=block, deviations=float("inf")).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     close = u @ u.T >= 0.95
     label = np.arange(400)
@@ -368,6 +368,31 @@ def test_embedding_components(spark, cell_rows, block):
     assert embed_dedup.drop_near_vectors(vectors(spark, rows)).count() == len(set(label.tolist()))
 
 
+def test_embedding_links_found_by_default(spark):
+    x, rows, _ = odd_vectors()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    found = embed_dedup.embedding_components(vectors(spark, rows), cell_rows=20, block=64).collect()
+    n = {r["vec_id"]: r["n_links"] for r in found}
+    assert all(n[k] <= want[k] for k in n) and sum(n.values()) >= 0.95 * want.sum()
+
+
+def test_forest_compares_fewer_than_all():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 48))
+    x[::3] = x[1::3] + rng.normal(size=(1000, 48)) * 0.3
+    turns = np.linalg.qr(np.random.default_rng(1).normal(size=(ann.TREES, 48, 48)))[0].astype(np.float32)
+    forest = ann.PrefixForest(x, turns, x.mean(axis=0), ann.meeting_chances(48, ann.SYMBOLS))
+    asked = np.arange(0, 3000, 60)
+    got = forest.search(x[asked], asked, 10, 0.93)
+    near = [set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in asked]
+    best = [set(ids[np.argsort(dist)[:10]].tolist()) for ids, dist in got]
+    assert sum(len(a & b) for a, b in zip(near, best, strict=True)) >= 0.9 * 10 * len(asked)
+    assert forest.compared < 0.6 * 3000 * len(asked)
+    # the search goes through the trees: the nearest copy shares a prefix with its query
+    assert all(q + 1 in b for q, b in zip(asked, best, strict=True))
+
+
 def test_lm_scores(spark, odd, none, monkeypatch):
     texts = {i: (t or "").encode().lower().split() for i, t, _ in ROWS}
     got = lm.lm_scores(odd).collect()
@@ -388,11 +413,57 @@ def test_lm_scores(spark, odd, none, monkeypatch):
     assert sorted((r["doc_id"] or 0, r["n_known"], round(r["base_score"], 6)) for r in rare) == sorted((r["doc_id"] or 0, r["n_known"], round(r["base_score"], 6)) for r in got)
 
 
-def test_lm_is_normalised():
-    share = np.full(lm.UNITS, 1 / lm.UNITS)
-    model = lm.LogBilinear.fresh(share)
-    context = np.tile(np.array([[3], [lm.UNITS], [7]]), (1, lm.UNITS))
-    assert abs((10 ** model.log10_probs(np.arange(lm.UNITS), context)).sum() - 1) < 1e-4
+def lm_vocabulary(spark, texts, monkeypatch, classes=None):
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    return lm.build_vocabulary(lm.word_counts(table))
+
+
+def test_lm_is_normalised(spark, monkeypatch):
+    """The probabilities of all words of the model and of the units that are no class add up to 1."""
+    monkeypatch.setattr(lm, "MIN_COUNT", 2)
+    texts = [" ".join(f"w{i}x{k % 7}" for i in range(300)) for k in range(14)]
+    vocabulary, total, _ = lm_vocabulary(spark, texts, monkeypatch)
+    assert vocabulary.n_words == 2100 and total == 14 * 301
+    model = lm.LogBilinear.fresh(vocabulary)
+    words = np.arange(vocabulary.n_words)
+    units = np.append(vocabulary.units(words, np.zeros(2100, np.int64)), [0, *range(1 + lm.TOP_WORDS + lm.CLASSES, lm.UNITS)])
+    own = np.append(words, np.full(1 + lm.TAILS, -1))
+    context = np.tile(np.array([[3], [2100 + lm.TAILS], [70]]), (1, len(own)))
+    got = 10 ** model.log10_probs(lm.Tokens(units, own, context, own * 0), vocabulary)
+    assert abs(got.sum() - 1) < 1e-3
+    # against an explicit softmax over units and over a class
+    h = sum(model.into[c] * model.scale[k] for k, c in enumerate((3, 2100 + lm.TAILS, 70)))
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    first = soft(model.unit_out @ h + model.unit_bias)
+    word = 900
+    c = vocabulary.class_of[word]
+    a, b = vocabulary.class_starts[c : c + 2]
+    second = soft(model.word_out[a:b] @ h + model.word_bias[a:b])
+    assert abs(got[word] - first[1 + lm.TOP_WORDS + c] * second[word - a]) < 1e-6
+
+
+def test_lm_words_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    hashes[:900] = np.unique(hashes[0] + np.arange(900, dtype=np.uint64))  # many in one place
+    hashes = rng.permutation(np.unique(hashes))
+    table = lm.WordTable(hashes)
+    assert np.array_equal(table.look_up(hashes), np.arange(len(hashes))) and (table.look_up(hashes + np.uint64(1 << 40)) == -1).mean() > 0.9
+
+
+def test_lm_learns_what_follows(spark, monkeypatch):
+    """Held-out text of a chain: far better than the counts alone, and near the chain's own entropy."""
+    rng = np.random.default_rng(4)
+    follow = {i: rng.integers(0, 400, 3) for i in range(400)}
+    rows = []
+    for k in range(900):
+        word, text = int(rng.integers(400)), []
+        for _ in range(80):
+            text.append(f"w{word}{'abcdefgh'[word % 8]}")
+            word = int(rng.choice(follow[word]))
+        rows.append((k, " ".join(text), "a"))
+    got = lm.lm_scores(docs(spark, rows)).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert got[2] / got[0] > got[1] / got[0] + 0.25
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -510,13 +581,14 @@ def test_shingles_of_small_batches(width):
         for extra in range(4):
             texts = [" ".join(f"w{i}" for i in range(n)) for n in (*counts, extra)]
             data = "".join(texts).encode()
-            words = Words(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+            words = Words(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), stems=True)
             doc, shingle = simhash.shingle_sets(words, width)
             assert np.bincount(doc, minlength=4).tolist() == [len({tuple(t.split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))}) if t else 0 for t in texts]
             features, _ = toxicity.hashed_features(words)
             assert np.bincount(features, minlength=4).tolist() == [2 * n + max(n - 1, 0) + max(n - 2, 0) for n in words.counts]
-            tokens_, context, owner = lm.sequences(words, np.arange(len(words.hashes)))
-            assert len(tokens_) == len(owner) == len(words.hashes) + 4 and context.shape[1] == len(tokens_)
+            none = lm.Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0), 0, np.empty(0), np.ones(lm.UNITS), np.zeros(lm.UNITS))
+            found = lm.sequences(words, none, none.look_up(words)[0])
+            assert len(found.unit) == len(found.doc) == len(words.hashes) + 4 and found.context.shape == (lm.CONTEXT, len(found.unit))
 
 
 def test_verified_links_of_large_classes():
