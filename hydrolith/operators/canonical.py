@@ -32,6 +32,69 @@ def resolve(rows: DataFrame, key: list[str], order: list[str], raw: str = "value
     return out.withColumn("usable", F.col("value").isNotNull() & usable_flags(F.col("quality_flags")))
 
 
+def observations(quality: DataFrame, key: list[str]) -> DataFrame:
+    """One canonical row for each key of the quality rows that no reason excludes.
+
+    quality: the key, batch, row, field, dataset, sha, retrieved_us, value_raw, parsed_value, parse_status, quality_flags,
+    excluded and further columns, which come from the earliest capture. Flags are the union over all captures; a conflict
+    has no value and lists the signatures that differ; provenance lists the captures in order. A key's captures, as many as
+    it was captured, are one array; nothing else is gathered.
+    """
+    order = ["retrieved_us", "batch", "row", "field"]
+    rows = quality.where("excluded is null").withColumn("value_signature", signature("value_raw"))
+    other = [c for c in quality.columns if c not in (*key, *order, "dataset", "sha", "excluded", "quality_flags")]
+    g = rows.groupBy(*key).agg(
+        F.min_by(F.struct(*other, "retrieved_us"), F.struct(*order)).alias("rep"),
+        F.array_sort(F.collect_set("value_signature")).alias("signatures"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("quality_flags")))).alias("flags"),
+        F.array_sort(F.collect_set("dataset")).alias("datasets"),
+        F.array_sort(F.collect_list(F.struct(*order, "sha", "dataset", "value_signature"))).alias("provenance"),
+    )
+    n, conflict = F.size("provenance"), F.size("signatures") > 1
+    status = F.when(conflict, "CONFLICT").when(n > 1, "IDENTICAL").otherwise("UNIQUE")
+    added = F.when(conflict, F.array(F.lit("DUPLICATE_CONFLICT"))).when(n > 1, F.array(F.lit("DUPLICATE_IDENTICAL"))).otherwise(F.array().cast("array<string>"))
+    numbers = F.size(F.filter("signatures", lambda s: s.startswith("NUMERIC:")))
+    reason = F.when(conflict, F.when(numbers == F.size("signatures"), "NUMERIC_VALUES_DIFFER").when(numbers > 0, "MARKER_VS_NUMERIC").otherwise("MARKERS_DIFFER"))
+    value = F.when(~conflict, F.col("rep.parsed_value"))
+    flags = F.array_sort(F.array_union("flags", added))
+    kept = [c for c in other if c not in ("value_raw", "parsed_value", "parse_status", "value_signature")]
+    return g.select(
+        *key,
+        *[F.col("rep")[c].alias(c) for c in kept],
+        value.alias("value"),
+        F.when(~conflict, F.col("rep.value_raw")).alias("value_raw"),
+        F.when(~conflict, F.col("rep.parse_status")).alias("parse_status"),
+        flags.alias("quality_flags"),
+        (value.isNotNull() & usable_flags(flags)).alias("usable"),
+        status.alias("duplicate_status"),
+        n.alias("duplicate_count"),
+        reason.alias("conflict_reason"),
+        F.when(conflict, F.col("signatures")).otherwise(F.array().cast("array<string>")).alias("conflicting_values"),
+        F.col("rep.retrieved_us").alias("first_retrieved_us"),
+        "datasets",
+        "provenance",
+    )
+
+
+def in_canonical_order(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows range-partitioned and sorted by key, as files of a dataset are written."""
+    return rows.repartitionByRange(*key).sortWithinPartitions(*key)
+
+
+def layered(layers: dict[str, DataFrame], key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of all layers joined by key, keys that some layer lacks or has more than once with the first such layer's problem)."""
+    names = list(layers)
+    counted = [df.groupBy(*key).agg(F.count("*").alias(f"n_{n}")) for n, df in layers.items()]
+    both = counted[0]
+    for c in counted[1:]:
+        both = both.join(c, key, "full")
+    problem = F.coalesce(*[F.when(F.col(f"n_{n}").isNull(), f"MISSING_IN_{n}").when(F.col(f"n_{n}") > 1, f"REPEATED_IN_{n}") for n in names])
+    out = layers[names[0]]
+    for n in names[1:]:
+        out = out.join(layers[n], key)
+    return out, both.select(*key, problem.alias("problem")).where("problem is not null")
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """(orphans on the left, orphans on the right, repeated keys) of two layers that should match row by row."""
     a = left.groupBy(*key).agg(F.count("*").alias("l"))

@@ -24,7 +24,7 @@ def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_mi
     threshold, by missing data (an unusable row, or a longer step to the next exceeding one), or at the window's edge.
     The index counts on over windows.
     """
-    rows = observation_windows(series, gap_minutes).join(F.broadcast(thresholds), "sensor")
+    rows = observation_windows(series, gap_minutes).join(thresholds, "sensor")
     own = Window.partitionBy("sensor", "threshold_type", "window").orderBy("t")
     rows = rows.withColumn("over", F.col("usable") & (F.col("value") >= F.col("threshold")))
     rows = rows.withColumns({

@@ -21,10 +21,11 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, righ
     return both.where("_side = 1").select("_l.*", *[F.col("_r")[c].alias(c) for c in carry])
 
 
-def paired(left: DataFrame, right: DataFrame, on: list[str], shared: list[str]) -> DataFrame:
-    """Inner join in which right's `shared` columns win; keys are made unique first, the largest row staying."""
-    a = left.groupBy(*on).agg(F.max(F.struct(*[c for c in left.columns if c not in on])).alias("a"))
-    b = right.groupBy(*on).agg(F.max(F.struct(*[c for c in right.columns if c not in on])).alias("b"))
+def paired(left: DataFrame, right: DataFrame, on: list[str], shared: list[str], order: str | None = None) -> DataFrame:
+    """Inner join in which right's `shared` columns win; keys are made unique first: the last row by `order` stays, or the largest."""
+    last = lambda df: F.max_by(F.struct(*[c for c in df.columns if c not in on]), F.struct(*[c for c in (order,) if c], *[c for c in df.columns if c not in on and c != order]))
+    a = left.groupBy(*on).agg(last(left).alias("a"))
+    b = right.groupBy(*on).agg(last(right).alias("b"))
     left_only = [F.col("a")[c].alias(c) for c in left.columns if c not in on and c not in shared]
     return a.join(b, on).select(*on, *left_only, *[F.col("b")[c].alias(c) for c in right.columns if c not in on])
 

@@ -16,7 +16,7 @@ def horizon_labels(series: DataFrame, thresholds: DataFrame, horizons: tuple[int
     origins = series.where("usable").select("sensor", "t", "value").withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
     origins = origins.withColumn("target_t", F.col("t") + F.col("horizon").cast("bigint") * MINUTE)
     future = series.where("usable").select("sensor", F.col("t").alias("target_t"), F.col("value").alias("target"))
-    rows = origins.join(future, ["sensor", "target_t"], "left").join(F.broadcast(thresholds), "sensor")
+    rows = origins.join(future, ["sensor", "target_t"], "left").join(thresholds, "sensor")
     known = F.col("target").isNotNull()
     return rows.select(
         "sensor", F.col("t").alias("origin_us"), "horizon", "threshold_type",

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolith.functions.core import percent_of, round6
+from hydrolith.functions.core import MINUTE, percent_of, round6
 
 
 def needed(q: float, tail: int = 5) -> int:
@@ -75,3 +75,29 @@ def errors(rows: DataFrame, by: list[str], truth: str, predicted: str) -> DataFr
 def coverage(rows: DataFrame, by: list[str]) -> DataFrame:
     """Slot-weighted coverage of a grid: usable over expected slots."""
     return rows.groupBy(*by).agg(F.count("*").alias("expected"), F.count_if(F.col("state") == "USABLE").alias("usable"), percent_of(F.count_if(F.col("state") == "USABLE"), F.count("*")).alias("coverage_pct"))
+
+
+def interval_day(t: Column, interval_minutes: int, offset_minutes: int = 0) -> Column:
+    """Day of the start of the interval that ends at t: rain that falls up to midnight is that day's."""
+    return F.floor((t + (offset_minutes - interval_minutes) * MINUTE) / (1440 * MINUTE))
+
+
+def persistence_pairs(series: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(sensor, horizon, t, predicted, truth): the level at t as the forecast of the usable one at exactly t + horizon."""
+    good = series.where("usable")
+    asked = good.select("sensor", "t", F.col("value").alias("predicted"), F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
+    asked = asked.withColumn("target_t", F.col("t") + F.col("horizon").cast("bigint") * MINUTE)
+    return asked.join(good.select("sensor", F.col("t").alias("target_t"), F.col("value").alias("truth")), ["sensor", "target_t"]).drop("target_t")
+
+
+def station_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Mean absolute error, root mean square error and bias of predicted against truth."""
+    e = F.col("predicted") - F.col("truth")
+    return pairs.groupBy(*by).agg(F.count("*").alias("n"), round6(F.avg(F.abs(e))).alias("mae"), round6(F.sqrt(F.avg(e * e))).alias("rmse"), round6(F.avg(e)).alias("bias"))
+
+
+def overall_errors(pairs: DataFrame, by: list[str], station: str) -> DataFrame:
+    """Over all stations: the error weighed by samples, and the mean of the stations' root mean square errors."""
+    e = F.col("predicted") - F.col("truth")
+    s = pairs.groupBy(*by, station).agg(F.count("*").alias("k"), F.avg(F.abs(e)).alias("m"), F.sqrt(F.avg(e * e)).alias("r"))
+    return s.groupBy(*by).agg(F.sum("k").alias("n"), round6(F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("mae"), round6(F.avg("r")).alias("mean_station_rmse"))

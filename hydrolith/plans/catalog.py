@@ -345,11 +345,12 @@ def weather_asof(spark, sf_dir):
     return joins.as_of(e.select("event_id", "user_id", "ts"), f, ["user_id"], "ts", "at", ["forecast_id", "forecast_value"]).select("event_id", "forecast_id", "forecast_value")
 
 
-@_query("""SELECT a.t, a.value AS rain, b.value AS level, b.user_id FROM (SELECT * FROM obs WHERE sensor = 'view') a JOIN (SELECT * FROM obs WHERE sensor = 'click') b USING (t)""")
+@_query("""WITH e AS (SELECT event_type, epoch_us(date_trunc('hour', ts)) AS t, last(value ORDER BY event_id) AS v, last(user_id ORDER BY event_id) AS user_id, max(event_id) AS event_id FROM events GROUP BY 1, 2)
+SELECT t, a.v AS rain, b.v AS level, b.user_id, b.event_id FROM (SELECT * FROM e WHERE event_type = 'view') a JOIN (SELECT * FROM e WHERE event_type = 'click') b USING (t)""")
 def paired_site(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    rain = o.where("sensor = 'view'").select("t", F.col("value").alias("rain"), "user_id")
-    return joins.paired(rain, o.where("sensor = 'click'").select("t", F.col("value").alias("level"), "user_id"), ["t"], ["user_id"])
+    e = table(spark, sf_dir, "events").withColumn("t", core.floor_to(core.micros(F.col("ts")), HOUR))
+    side = lambda kind, name: e.where(F.col("event_type") == kind).select("t", F.col("value").alias(name), "user_id", "event_id")
+    return joins.paired(side("view", "rain"), side("click", "level"), ["t"], ["user_id", "event_id"], order="event_id")
 
 
 @_query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -440,12 +441,22 @@ def url_query_param(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract(u, "^https?://([^/]+)", 1), F.lit("")).alias("host"), core.url_parameter(u, "id").alias("id"))
 
 
-@_query()
+@_query("""SELECT page_id::VARCHAR AS page_id, k AS row_no, line AS source_line, CASE WHEN k % 4 = 0 THEN NULL ELSE 's' || page_id || '_' || k END AS link_id, 'Station ' || k AS name, CASE WHEN k % 3 = 0 THEN '-9999' ELSE (page_id % 50)::VARCHAR END AS value_raw,
+  CASE WHEN k % 5 = 0 THEN 'CELL_COUNT' WHEN k % 7 = 0 THEN 'UNKNOWN_DISTRICT' WHEN k % 4 = 0 THEN 'NO_LINK_ID' END AS quarantine FROM (SELECT page_id, unnest(generate_series(1, 12)) AS k, unnest(generate_series(3, 14)) AS line FROM pages WHERE page_id % 3 <> 0)
+UNION ALL SELECT page_id::VARCHAR, NULL, NULL, NULL, NULL, NULL, 'HEADER_DIFFERS' FROM pages WHERE page_id % 3 = 0""")
 def html_listing(spark, sf_dir):
-    return readers.table_rows(table(spark, sf_dir, "pages"))
-
-
-@_query()
+    k = lambda x: x.cast("string")
+    page = table(spark, sf_dir, "pages").select("page_id")
+    row = lambda i: F.concat(
+        F.lit("\n<tr><td data-th='No'>"), k(i), F.lit("</td><td>"), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("<a href='g?stationid=s"), k(F.col("page_id")), F.lit("_"), k(i), F.lit("&x=1'>g</a>"))),
+        F.lit("</td><td> Station \t "), k(i), F.lit(" </td><td>"), F.when(i % 7 == 0, "Elsewhere").otherwise("Timur"), F.lit("</td><td>"), F.when(i % 3 == 0, "-9999").otherwise(k(F.col("page_id") % 50)), F.lit("</td>"), F.when(i % 5 == 0, "<td>more</td>").otherwise(""), F.lit("</tr>"))
+    head = F.concat(F.lit("<table>\n<tr><th>No</th><th>Graf</th><th>Nama</th><th>Daerah</th><th>"), F.when(F.col("page_id") % 3 == 0, "Lain").otherwise("Nilai"), F.lit("</th></tr>"))
+    html = F.concat(head, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), row), ""), F.lit("\n</table>"))
+    return readers.listing_rows(page.withColumn("html", html), ["No", "Graf", "Nama", "Daerah", "Nilai"], ["Timur"])
+
+
+@_query("""SELECT s_suppkey, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17]), 1) || h[18:20], h[21:32]) AS sensor_id
+FROM (SELECT s_suppkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || ('sensor/' || s_suppkey)::BLOB) AS h FROM supplier)""")
 def uuid5_ids(spark, sf_dir):
     name = F.concat(F.lit("sensor/"), F.col("s_suppkey").cast("string"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", core.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", name).alias("sensor_id"))

@@ -133,7 +133,7 @@ def calendar_rollup(spark, sf_dir):
 SELECT sensor, threshold_type, eligible, exceeding, round(100.0::DOUBLE * exceeding / eligible, 2) AS exceeding_pct, coalesce(e.episodes, 0) AS episodes, e.longest_minutes FROM x LEFT JOIN (SELECT sensor, threshold_type, count(*) AS episodes, max(duration_minutes) AS longest_minutes FROM eps GROUP BY 1, 2) e USING (sensor, threshold_type)""")
 def exceedance_analysis(spark, sf_dir):
     obs, limits = observations(spark, sf_dir), cuts(spark, sf_dir)
-    rows = obs.where("usable").join(F.broadcast(limits), "sensor").groupBy("sensor", "threshold_type").agg(F.count("*").alias("eligible"), F.count_if(F.col("value") >= F.col("threshold")).alias("exceeding"))
+    rows = obs.where("usable").join(limits, "sensor").groupBy("sensor", "threshold_type").agg(F.count("*").alias("eligible"), F.count_if(F.col("value") >= F.col("threshold")).alias("exceeding"))
     runs = islands.episodes(obs, limits, HOUR, 720).groupBy("sensor", "threshold_type").agg(F.count("*").alias("n"), F.max("duration_minutes").alias("longest_minutes"))
     joined = rows.join(runs, ["sensor", "threshold_type"], "left")
     return joined.select("sensor", "threshold_type", "eligible", "exceeding", core.percent_of(F.col("exceeding"), F.col("eligible")).alias("exceeding_pct"), F.coalesce("n", F.lit(0)).alias("episodes"), "longest_minutes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,50 +25,104 @@ def forecast_rows(payloads: DataFrame, body: str = "body") -> DataFrame:
 
 
 class _Cells(HTMLParser):
+    """Rows of cells, with the first link of each row and its line in the source."""
+
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[list[str]] = []
-        self.link = ""
+        self.rows: list[tuple[int, list[str], list[str]]] = []
         self.open = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "tr":
-            self.rows.append([])
+            self.rows.append((self.getpos()[0], [], []))
         elif tag in ("td", "th") and self.rows:
-            self.rows[-1].append("")
+            self.rows[-1][1].append("")
             self.open = True
+        elif tag == "a" and self.rows:
+            self.rows[-1][2].append(dict(attrs).get("href") or "")
 
     def handle_endtag(self, tag):
         if tag in ("td", "th"):
             self.open = False
 
     def handle_data(self, data):
-        if self.open and self.rows and self.rows[-1]:
-            self.rows[-1][-1] += data
+        if self.open and self.rows and self.rows[-1][1]:
+            self.rows[-1][1][-1] += data
 
 
 def table_rows(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """(key, row, cells) of every table row of HTML pages, cells with single spaces. Batches of pages go through Arrow."""
+    """(key, row, line, cells, link) of every table row of HTML pages, cells with single spaces; link is the first of the row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, text in zip(frame["key"], frame["html"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cells = _Cells()
                 cells.feed(text or "")
-                out += [(page, k, [" ".join(c.split()) for c in row]) for k, row in enumerate(cells.rows) if row]
-            yield pd.DataFrame(out, columns=["key", "row", "cells"])
-
-    got = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html")).mapInPandas(run, "key string, row int, cells array<string>")
+                for k, (line, row, links) in enumerate(cells.rows):
+                    if row:
+                        for col, v in zip(cols, (page, k, line, [" ".join(c.split()) for c in row], links[0] if links else None), strict=True):
+                            col.append(v)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "row", "line", "cells", "link"])
+
+    got = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html")).mapInArrow(run, "key string, row int, line int, cells array<string>, link string")
     return got.withColumnRenamed("key", key)
 
 
+def listing_rows(pages: DataFrame, headers: list[str], districts: list[str], html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, row_no, source_line, link_id, name, value_raw, quarantine) of listing pages (No, link, name, district, value).
+
+    A page whose first row is not the expected header is one row that says so. A row with another number of cells, an
+    unknown district, or no station in its link is set aside with that reason, its fields as they are.
+    """
+    rows = table_rows(pages, html, key)
+    first = rows.groupBy(key).agg(F.min_by("cells", "row").alias("head"))
+    good = F.col("head") == F.array(*map(F.lit, headers))
+    both = rows.where("row > 0").join(first, key).where(good)
+    cell = lambda k: F.try_element_at(F.col("cells"), F.lit(k))
+    link = F.nullif(F.regexp_extract("link", r"[?&]stationid=([^&#]*)", 1), F.lit(""))
+    reason = F.when(F.size("cells") != len(headers), "CELL_COUNT").when(~F.coalesce(cell(4).isin(*districts), F.lit(False)), "UNKNOWN_DISTRICT").when(link.isNull(), "NO_LINK_ID")
+    out = both.select(key, cell(1).try_cast("int").alias("row_no"), F.col("line").alias("source_line"), link.alias("link_id"), cell(3).alias("name"), cell(5).alias("value_raw"), reason.alias("quarantine"))
+    none = lambda t: F.lit(None).cast(t)
+    bad = pages.select(F.col(key).cast("string").alias(key)).join(first.where(good).select(key), key, "left_anti")
+    return out.union(bad.select(key, none("int"), none("int"), none("string"), none("string"), none("string"), F.lit("HEADER_DIFFERS")))
+
+
 def listing_quarantine(cells: Column, width: int, districts: list[str] | None = None, district_at: int = 3) -> Column:
     """Reason why a listing row is set aside, null for a good row."""
     reason = F.when(F.size(cells) != width, "CELL_COUNT").when(F.trim(cells[0]) == "", "NO_ROW_NUMBER")
     return reason.when(~cells[district_at].isin(*districts), "UNKNOWN_DISTRICT") if districts else reason
 
 
+def page_state(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, options, updated): the values of a page's select options, and the time in its footer."""
+    text = F.coalesce(F.col(html), F.lit(""))
+    return pages.select(key, F.regexp_extract_all(text, F.lit(r"<option[^>]*value=['\"]([^'\"]*)['\"]"), 1).alias("options"), F.nullif(F.regexp_extract(text, r"(\d{2}/\d{2}/\d{4} \d{2}:\d{2})", 1), F.lit("")).alias("updated"))
+
+
+def read_csv_digested(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, str]:
+    """(rows of the files, SHA-256 over their names and digests in order); a byte order mark is no part of the first header."""
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("sha"))
+    digest = files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha"))), lambda f: F.concat_ws(":", f["name"], f["sha"])), ","), 256)).first()[0]
+    rows = spark.read.option("header", True).option("nullValue", "").csv(paths)
+    clean = {c: c.lstrip("\ufeff") for c in rows.columns}
+    return rows.withColumnsRenamed(clean), digest
+
+
+def origin_matches(origin: str, name: str, digest: str) -> bool:
+    """Whether `<file>@sha256:<prefix>` names this file and the start of its digest; a prefix has 8 digits at least."""
+    file, _, prefix = origin.partition("@sha256:")
+    return file == name and len(prefix) >= 8 and digest.startswith(prefix)
+
+
+def station_context(spark: SparkSession, root: str, origin: str) -> dict[str, DataFrame] | None:
+    """The station master, if its sites file is the one that a dataset names as its origin, else None."""
+    _, digest = read_csv_digested(spark, [f"{root}/sites.csv"])
+    content = spark.read.format("binaryFile").load(f"{root}/sites.csv").select(F.sha2("content", 256)).first()[0]
+    return read_station_master(spark, root) if origin_matches(origin, "sites.csv", content) and digest else None
+
+
 def read_station_master(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """sites, sensors and thresholds, every column text, empty cells null."""
     return {n: spark.read.option("header", True).option("nullValue", "").csv(f"{root}/{n}.csv") for n in ("sites", "sensors", "thresholds")}

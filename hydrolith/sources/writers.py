@@ -26,13 +26,31 @@ def write_once(df: DataFrame, root: str, partition_by: tuple[str, ...] = ()) ->
     return path, True
 
 
+def write_named(df: DataFrame, root: str, name: str) -> bool:
+    """Write df as root/name once: the same content again is no change (False), other content under the name is an error."""
+    spark, path = df.sparkSession, f"{root}/{name}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        if content_version(spark.read.schema(df.schema).parquet(path)) != content_version(df):
+            raise ValueError(f"{path} holds other content")
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """One canonical JSON text a row: keys in order, nulls kept."""
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def append_manifest(spark: SparkSession, entries: DataFrame, path: str) -> None:
+def append_manifest(spark: SparkSession, entries: DataFrame, path: str, seen: str | None = None) -> str:
+    """Append entries and return the manifest's version. With `seen`, a manifest that has changed since that version is an error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    if seen is not None and (content_version(spark.read.parquet(path)) if there else "") != seen:
+        raise ValueError(f"{path} was changed by another writer")
     entries.write.mode("append").parquet(path)
+    return content_version(spark.read.parquet(path))
 
 
 def new_payloads(payloads: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,29 @@ def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
+def poll_into(store: str, key: list[str], time: str, retrieved: str, tolerance_minutes: int = 10) -> Callable[[DataFrame, int], None]:
+    """Work for each_poll: rows of a poll that are new by key go to store/rows, those from the future to store/future.
+
+    Late rows are taken like others and keys are known for ever: the store itself is asked, by an anti-join, not a watermark.
+    A poll writes the folder of its number, so that one that runs again after a failure replaces what it wrote.
+    """
+
+    def work(batch: DataFrame, poll: int) -> None:
+        spark = batch.sparkSession
+        rows = future_split(batch, time, retrieved, tolerance_minutes).dropDuplicates(key)
+        try:
+            before = spark.read.parquet(f"{store}/rows").where(F.col("poll") != poll).select(key)
+            rows = rows.join(before, key, "left_anti")
+        except AnalysisException:  # nothing is stored yet
+            pass
+        rows = rows.persist()
+        rows.where("not is_future").drop("is_future").write.mode("overwrite").parquet(f"{store}/rows/poll={poll}")
+        rows.where("is_future").drop("is_future").write.mode("overwrite").parquet(f"{store}/future/poll={poll}")
+        rows.unpersist()
+
+    return work
+
+
 def each_poll(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], interval: str = "5 minutes"):
     """Run `work` on every micro-batch; the checkpoint makes a poll's number and its files repeat after a failure."""
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
