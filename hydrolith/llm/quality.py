@@ -8,30 +8,32 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import fresh, labelled_sample, labelled_texts, remainder
+from hydrolith.llm.common import labelled_sample, labelled_texts, remainder
 
 #: Most labelled documents that the rules are fitted on, picked by hash of the id.
 MAX_TRAIN_DOCS = 12000
 
 
-def text_statistics(text: Column) -> dict[str, Column]:
-    """General statistics of a whole text as built-in expressions; empty and null texts give zeros."""
+STATISTICS = ("log_chars", "chars_per_word", "upper", "digits", "marks", "distinct_words", "lines_per_word", "distinct_lines")
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once a row: as the element of an array that a lambda goes over, it is not inlined."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def text_statistics(text: Column) -> Column:
+    """Struct of general statistics of a whole text, STATISTICS, from built-in expressions; a null text is an empty one."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.split(t, r"[ \t-\r]+")
-    n_words = F.size(words).cast("double")
-    lines = F.split(t, "\n")
-    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / chars
-    return {
-        "log_chars": F.log1p(F.length(t).cast("double")),
-        "chars_per_word": F.length(t) / n_words,
-        "upper": share(r"\p{Lu}"),
-        "digits": share(r"\p{N}"),
-        "marks": share(r"[^\p{L}\p{N}\s]"),
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "lines_per_word": F.size(lines) / n_words,
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
-    }
+    pieces = F.struct(t.alias("text"), F.split(t, r"[ \t-\r]+").alias("words"), F.split(t, "\n").alias("lines"))
+
+    def measured(p: Column) -> Column:
+        length, n_words, n_lines = F.length(p["text"]).cast("double"), F.size(p["words"]).cast("double"), F.size(p["lines"]).cast("double")
+        share = lambda pattern: F.regexp_count(p["text"], F.lit(pattern)) / F.greatest(length, F.lit(1.0))
+        values = (F.log1p(length), length / n_words, share(r"\p{Lu}"), share(r"\p{N}"), share(r"[^\p{L}\p{N}\s]"), F.size(F.array_distinct(p["words"])) / n_words, n_lines / n_words, F.size(F.array_distinct(p["lines"])) / n_lines)
+        return F.struct(*[v.cast("double").alias(n) for n, v in zip(STATISTICS, values, strict=True)])
+
+    return once(pieces, measured)
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,11 @@ class Rule:
 
     terms: tuple[tuple[str, bool, float], ...]
 
-    def column(self, of: str = "stats") -> Column:
+    def column(self, of: Column) -> Column:
+        """Whether the rule holds for a struct of statistics."""
         out = F.lit(True)
         for name, above, at in self.terms:
-            value = F.col(of)[name]
+            value = of[name]
             out = out & ((value > at) if above else (value <= at))
         return out
 
@@ -63,7 +66,7 @@ class RuleEnsemble:
     weights: list[float] = field(default_factory=list)
     intercept: float = 0.0
 
-    def margin(self, of: str = "stats") -> Column:
+    def margin(self, of: Column) -> Column:
         out = F.lit(float(self.intercept))
         for rule, weight in zip(self.rules, self.weights, strict=True):
             out = out + F.when(rule.column(of), F.lit(float(weight))).otherwise(F.lit(0.0))
@@ -161,9 +164,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     and null labels are left out; too few labels give the intercept alone, see fit_rules. Other columns are not read.
     """
     rows = labelled_texts(docs, labelled_sample(labels, label_col, label_id_col, max_train_docs), id_col, text_col)
-    stats = text_statistics(F.col("text"))
-    got = rows.select("doc_id", "label", *[c.alias(n) for n, c in stats.items()]).orderBy("doc_id").toArrow()
-    return fit_rules({n: got[n].to_numpy() for n in stats}, got["label"].to_numpy().astype(np.float64))
+    got = rows.select("doc_id", "label", text_statistics(F.col("text")).alias("s")).select("doc_id", "label", "s.*").orderBy("doc_id").toArrow()
+    return fit_rules({n: got[n].to_numpy() for n in STATISTICS}, got["label"].to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -172,11 +174,9 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text",
     All rows stay, and all columns but those of docs that are named score or predicted, which the new ones replace.
     Null and empty texts are scored by their zero statistics; whole texts are read, however long.
     """
-    inner = fresh("_stats", docs)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
-    stats = docs.select(*kept, F.struct(*[c.alias(n) for n, c in text_statistics(F.col(f"`{text_col}`")).items()]).alias(inner))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin(inner)))
-    return stats.withColumn("score", score).drop(inner).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = once(text_statistics(F.col(f"`{text_col}`")), lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin(s))))
+    return docs.select(*kept, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

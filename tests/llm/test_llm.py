@@ -240,7 +240,7 @@ def test_compiled_rules_are_the_rules(spark):
     margin = model.intercept + sum(w * r.holds(values) for r, w in zip(model.rules, model.weights, strict=True))
     assert ((margin > 0) == labels_).mean() > 0.97 and len(model.rules) > 2
     table = spark.createDataFrame([tuple(float(values[n][k]) for n in "abc") for k in range(400)], "a double, b double, c double")
-    got = table.select(model.margin("s")) if "s" in table.columns else table.select(F.struct("a", "b", "c").alias("s")).select(model.margin("s"))
+    got = table.select(quality.once(F.struct("a", "b", "c"), model.margin))
     assert np.allclose([r[0] for r in got.collect()], margin)
 
 
