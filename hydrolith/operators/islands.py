@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolith.functions.core import MINUTE, minutes_between, round6
-
-def by_time():
-    return Window.partitionBy("sensor").orderBy("t")
+from hydrolith.operators import blocks
 
 
 def observation_windows(series: DataFrame, gap_minutes: int = 1440) -> DataFrame:
     """series with `window`, from 1: a new one starts where the gap to the row before is longer than gap_minutes."""
-    starts = (F.col("t") - F.lag("t").over(by_time()) > gap_minutes * MINUTE).cast("int")
-    return series.withColumn("window", 1 + F.sum(F.coalesce(starts, F.lit(0))).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = blocks.lagged(series, ["sensor"], ["t"], blocks.by_time(), {"_p": "t"})
+    starts = F.coalesce((F.col("t") - F.col("_p") > gap_minutes * MINUTE).cast("int"), F.lit(0))
+    rows = blocks.running(rows, ["sensor"], [F.col("t")], blocks.by_time(), {"window": starts})
+    return rows.withColumn("window", F.col("window") + 1).drop("_p")
 
 
 def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_minutes: int = 1440) -> DataFrame:
@@ -25,17 +25,12 @@ def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_mi
     The index counts on over windows.
     """
     rows = observation_windows(series, gap_minutes).join(thresholds, "sensor")
-    own = Window.partitionBy("sensor", "threshold_type", "window").orderBy("t")
-    rows = rows.withColumn("over", F.col("usable") & (F.col("value") >= F.col("threshold")))
-    rows = rows.withColumns({
-        "follows": F.coalesce(F.lag("over").over(own), F.lit(False)) & (F.col("t") - F.lag("t").over(own) <= step_minutes * MINUTE),
-        "next_t": F.lead("t").over(own),
-        "next_over": F.lead("over").over(own),
-        "next_usable": F.lead("usable").over(own),
-    })
-    rows = rows.where("over")
-    all_rows = Window.partitionBy("sensor", "threshold_type").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("episode", F.sum((~F.col("follows")).cast("int")).over(all_rows))
+    key = ["sensor", "threshold_type", "window"]
+    rows = rows.withColumn("over", F.col("usable") & (F.col("value") >= F.col("threshold"))).withColumn("_back", -F.col("t"))
+    rows = blocks.lagged(rows, key, ["t"], blocks.by_time(), {"_p": "t", "_p_over": "over"})
+    rows = blocks.lagged(rows, key, ["_back"], -blocks.by_time(), {"next_t": "t", "next_over": "over", "next_usable": "usable"})
+    rows = rows.withColumn("follows", F.coalesce("_p_over", F.lit(False)) & (F.col("t") - F.col("_p") <= step_minutes * MINUTE)).where("over")
+    rows = blocks.running(rows, ["sensor", "threshold_type"], [F.col("t")], blocks.by_time(), {"episode": (~F.col("follows")).cast("int")})
     reason = F.when(F.col("next_t").isNull(), "WINDOW_EDGE").when(F.col("next_over") | ~F.col("next_usable"), "INTERRUPTED_BY_MISSING_DATA").otherwise("ENDED_BELOW_THRESHOLD")
     return rows.groupBy("sensor", "threshold_type", "threshold", "episode").agg(
         F.min("t").alias("start_us"),
@@ -49,10 +44,9 @@ def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_mi
 
 def change_pairs(series: DataFrame, step_minutes: int) -> DataFrame:
     """Each eligible row after the first, with the change from the eligible row before, or the reason of the break."""
-    seen = series.withColumn("skipped", F.sum((~F.col("usable")).cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    good = seen.where("usable")
-    prev = lambda c: F.lag(c).over(by_time())
-    out = good.withColumns({"from_t": prev("t"), "change": round6(F.col("value") - prev("value")), "between": F.col("skipped") - prev("skipped")}).where("from_t is not null")
+    seen = blocks.running(series, ["sensor"], [F.col("t")], blocks.by_time(), {"skipped": (~F.col("usable")).cast("int")})
+    good = blocks.lagged(seen.where("usable"), ["sensor"], ["t"], blocks.by_time(), {"from_t": "t", "from_value": "value", "from_skipped": "skipped"})
+    out = good.withColumns({"change": round6(F.col("value") - F.col("from_value")), "between": F.col("skipped") - F.col("from_skipped")}).where("from_t is not null")
     out = out.withColumn("break_reason", F.when(F.col("between") > 0, "NOT_USABLE_ROW_BETWEEN").when(F.col("t") - F.col("from_t") > step_minutes * MINUTE, "GAP_EXCEEDS_MAX"))
     pair = F.col("break_reason").isNull()
     hours = minutes_between(F.col("t"), F.col("from_t")) / 60.0
@@ -61,8 +55,8 @@ def change_pairs(series: DataFrame, step_minutes: int) -> DataFrame:
 
 def change_runs(pairs: DataFrame) -> DataFrame:
     """Maximal chains of pairs without a break: sensor, run, pairs, start, end."""
-    run = F.sum(F.col("break_reason").isNotNull().cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return pairs.withColumn("run", run).where("break_reason is null").groupBy("sensor", "run").agg(F.count("*").alias("pairs"), F.min("from_t").alias("start_us"), F.max("t").alias("end_us"))
+    runs = blocks.running(pairs, ["sensor"], [F.col("t")], blocks.by_time(), {"run": F.col("break_reason").isNotNull().cast("int")})
+    return runs.where("break_reason is null").groupBy("sensor", "run").agg(F.count("*").alias("pairs"), F.min("from_t").alias("start_us"), F.max("t").alias("end_us"))
 
 
 def slot_grid(series: DataFrame, cadence: int) -> DataFrame:
@@ -79,10 +73,9 @@ def slot_grid(series: DataFrame, cadence: int) -> DataFrame:
 
 def missing_runs(grid: DataFrame, cadence: int) -> DataFrame:
     """Maximal runs of usable, or of missing, slots of a grid, with their lengths and whether they touch an edge."""
-    usable = F.col("state") == "USABLE"
-    turn = F.coalesce((usable != F.lag(usable).over(by_time())).cast("int"), F.lit(0))
-    rows = grid.withColumn("usable", usable).withColumn("turn", turn)
-    rows = rows.withColumn("run", F.sum("turn").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = blocks.lagged(grid.withColumn("usable", F.col("state") == "USABLE"), ["sensor"], ["t"], blocks.by_time(), {"before": "usable"})
+    turn = F.coalesce((F.col("usable") != F.col("before")).cast("int"), F.lit(0))
+    rows = blocks.running(rows, ["sensor"], [F.col("t")], blocks.by_time(), {"run": turn})
     edges = grid.groupBy("sensor").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     runs = rows.groupBy("sensor", "run", "usable").agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("slots"), F.count_if(F.col("state") == "ABSENT_SLOT").alias("absent_slots"))
     return runs.join(edges, "sensor").select("sensor", "run", "usable", "start_us", "end_us", "slots", "absent_slots", ((F.col("slots") - 1) * cadence).alias("first_to_last_minutes"), (F.col("start_us") == F.col("first_t")).alias("at_start"), (F.col("end_us") == F.col("last_t")).alias("at_end"))
@@ -90,7 +83,9 @@ def missing_runs(grid: DataFrame, cadence: int) -> DataFrame:
 
 def merged_windows(spans: DataFrame, slack_minutes: int = 5) -> DataFrame:
     """Union of (sensor, a, b) intervals: those that overlap, or start at most slack_minutes after the furthest end so far, are one."""
-    w = Window.partitionBy("sensor").orderBy("a", "b")
-    reached = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("a") > reached + slack_minutes * MINUTE).cast("int"), F.lit(0))
-    return spans.withColumn("fresh", fresh).withColumn("merged", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("sensor", "merged").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("captures"))
+    day = blocks.by_time("a")
+    rows = blocks.running(spans, ["sensor"], [F.col("a"), F.col("b")], day, {"_upto": F.col("b")}, "max")
+    rows = blocks.lagged(rows, ["sensor"], ["a", "b"], day, {"reached": "_upto"})
+    new = F.coalesce((F.col("a") > F.col("reached") + slack_minutes * MINUTE).cast("int"), F.lit(0))
+    rows = blocks.running(rows, ["sensor"], [F.col("a"), F.col("b")], day, {"merged": new})
+    return rows.groupBy("sensor", "merged").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("captures"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolith.functions.core import MINUTE, minutes_between, round6
+from hydrolith.operators import blocks
 
 BLOCKS = 24
 
@@ -35,7 +36,7 @@ def at_lag(value: Column, minutes: int) -> Column:
 
 def rolling(series: DataFrame, windows: tuple[int, ...], cadence: int, least: float = 0.8, wet: float = 0.0, prefix: str = "rf_roll") -> DataFrame:
     """Usable rows with sum, max, wet count, coverage and wet flag of each window, null where coverage is under `least`."""
-    blocks = in_blocks(series, max(windows))
+    cut = in_blocks(series, max(windows))
     value = F.when(F.col("usable"), F.col("value"))
     out: dict[str, Column] = {}
     for m in windows:
@@ -50,7 +51,7 @@ def rolling(series: DataFrame, windows: tuple[int, ...], cadence: int, least: fl
         out[f"{name}_wet_count"] = F.when(gate, F.count(F.when(value > wet, 1)).over(w))
         out[f"{name}_coverage"] = cover
         out[f"{name}_is_wet"] = F.when(gate, (round6(total) > wet).cast("int"))
-    return blocks.withColumns(out).where("own and usable").drop("block", "own")
+    return cut.withColumns(out).where("own and usable").drop("block", "own")
 
 
 def lags(series: DataFrame, minutes: tuple[int, ...], prefix: str = "rf_lag") -> DataFrame:
@@ -61,9 +62,9 @@ def lags(series: DataFrame, minutes: tuple[int, ...], prefix: str = "rf_lag") ->
 
 def minutes_since(series: DataFrame, above: float, name: str = "rf_minutes_since_last_wet") -> DataFrame:
     """Usable rows with the minutes since the latest usable row over `above`, itself included, without limit of look-back."""
-    w = Window.partitionBy("sensor").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("usable") & (F.col("value") > above), F.col("t"))).over(w)
-    return series.withColumn(name, minutes_between(F.col("t"), last)).where("usable")
+    wet = F.when(F.col("usable") & (F.col("value") > above), F.col("t"))
+    rows = blocks.running(series, ["sensor"], [F.col("t")], blocks.by_time(), {"_last": wet}, "max")
+    return rows.withColumn(name, minutes_between(F.col("t"), F.col("_last"))).drop("_last").where("usable")
 
 
 def level_changes(series: DataFrame, windows: tuple[int, ...], cadence: int, least: float = 0.8, tolerance: float = 0.01) -> DataFrame:
