@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ OTHER, SAYS, CLOSE = "[ROLE]", "[SAYS]", "</s>"
 CONTROL = r"([\[<])(~*)(/?(?:SYS|INST|ANS|ROLE|SAYS|s)[\]>])"
 ESCAPED = r"([\[<])~(~*)(/?(?:SYS|INST|ANS|ROLE|SAYS|s)[\]>])"
 
-NO_TREE = -(1 << 63)
+#: Stands for a conversation without an id: no 64-bit id is as small.
+NO_TREE = Decimal(-(1 << 63) - 1)
 
 
 def escape(text: Column) -> Column:
@@ -67,7 +70,7 @@ def read_turns(formatted: Column) -> Column:
 def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """messages on the best root-to-leaf paths of each tree, with (branch, place): branch from 1, place from the root, 1.
 
-    messages: (tree bigint, node bigint, parent bigint, score double, ...), node unique within a tree; a parent that is
+    messages: (tree, node bigint, parent bigint, score double, ...), node unique within a tree; a parent that is
     null or not in the tree makes a root. A path's score is the sum over its nodes (null: 0); leaves are ranked by it,
     ties by smaller node. Ancestors are found by joining the table of jumps with itself, which doubles the jumps each
     round: a thread of 1,000 turns takes ten joins. Messages on a cycle of replies reach no root and are left out.
@@ -94,8 +97,12 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def conversation_messages(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A linear conversation as a reply tree: each row answers the one before it. Ties of turn go by role, then text; null turns first."""
-    rows = conversations.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_TREE)).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    """A linear conversation as a reply tree: each row answers the one before it. Ties of turn go by role, then text; null turns first.
+
+    Rows without an id are one conversation, the tree NO_TREE. Repeated rows are turns each; other columns are not read; an empty
+    table gives an empty result.
+    """
+    rows = conversations.select(F.coalesce(F.col(id_col).cast("bigint").cast("decimal(20,0)"), F.lit(NO_TREE)).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     node = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("bigint")
     rows = rows.withColumn("node", node)
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
@@ -121,7 +128,7 @@ def chat_digest(chats: DataFrame) -> DataFrame:
     learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))), "")
     out = chats.select("tree", F.size(turns).cast("bigint").alias("n_turns"), said.alias("said"), learnt.alias("learnt"), F.length("formatted").cast("bigint").alias("formatted_chars"))
     return out.select(
-        F.when(F.col("tree") != NO_TREE, F.col("tree")).alias("conv_id"),
+        F.when(F.col("tree") != F.lit(NO_TREE), F.col("tree").cast("bigint")).alias("conv_id"),
         "n_turns",
         F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
         F.length("learnt").cast("bigint").alias("loss_chars"),

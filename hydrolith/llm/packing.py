@@ -20,7 +20,7 @@ LOG = logging.getLogger(__name__)
 LEAST_GROUPS = 16
 #: Most texts between spaces that a worker remembers the ids of, and the longest of them, in characters: some 250 bytes
 #: each, 400 at most. A worker outlives its stage, and so does what it remembers.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+REMEMBERED, REMEMBERED_CHARS = 700_000, 48
 
 
 class PieceEncoder:
@@ -74,49 +74,51 @@ class PieceEncoder:
         return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in found)
 
     def _ids(self, match: str) -> bytes:
-        shown = "\u0120" + match[1:] if match[0] == " " and match.isascii() else match.encode().decode("latin1").translate(self.byte_chars)
+        shown = match.encode().decode("latin1").translate(self.byte_chars)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _whole(self, part: str) -> bytes:
         return array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
 
-    def _keep(self, part: str, ids: bytes) -> bytes:
-        if len(part) <= REMEMBERED_CHARS:
-            self.parts[part] = ids
-        return ids
-
     def _letters_ids(self, word: str) -> bytes:
         """Ids of letters after a space, or after a line break that stands before them."""
         ids = self.parts.get(word) or self.older.get(word)
-        return ids or self._keep(word, self._ids("\n") + self._ids(word[1:]) if word[0] == "\n" else self._ids(" " + word))
+        if ids is None:
+            ids = self._ids("\n") + self._ids(word[1:]) if word[0] == "\n" else self._ids(" " + word)
+            if len(word) <= REMEMBERED_CHARS:
+                self.parts[word] = ids
+        return ids
 
     def _part(self, rest: str) -> bytes:
-        """Ids of a space and `rest`."""
-        ids = self.older.get(rest)
-        if ids is None:
-            plain = self.plain.fullmatch(rest)
-            if plain is None:
-                ids = self._whole(" " + rest)
-            else:
-                word, mark, second, end = plain.groups()
-                ids = self._letters_ids(word)
-                if mark:
-                    ids += self.marks[mark]
-                if second:
-                    ids += self._letters_ids(second)
-                    if end:
-                        ids += self.marks[end]
-        return self._keep(rest, ids)
+        """Ids of a space and `rest`, which is not remembered."""
+        if self.marks and rest.isascii() and rest.isalpha():
+            return array("I", [t.id for t in self.model.tokenize("\u0120" + rest)]).tobytes()
+        plain = self.plain.fullmatch(rest)
+        if plain is None:
+            return self._whole(" " + rest)
+        word, mark, second, end = plain.groups()
+        ids = self._letters_ids(word)
+        if mark:
+            ids += self.marks[mark]
+        if second:
+            ids += self._letters_ids(second)
+            if end:
+                ids += self.marks[end]
+        return ids
 
     def encode(self, text: str) -> bytes:
         if 2 * len(self.parts) > self.remembered:
             self.parts, self.older = {}, self.parts
         first, *rest = self.cut.split(text) if self.uneven.search(text) else text.split(" ")
-        known = list(map(self.parts.get, rest))
+        parts, older = self.parts, self.older
+        known = list(map(parts.get, rest))
         if None in known:
             for k, ids in enumerate(known):
                 if ids is None:
-                    known[k] = self.parts.get(rest[k]) or self._part(rest[k])
+                    part = rest[k]
+                    ids = known[k] = older.get(part) or parts.get(part) or self._part(part)
+                    if len(part) <= REMEMBERED_CHARS:
+                        parts[part] = ids
         return self._whole(first) + b"".join(known)
 
 
