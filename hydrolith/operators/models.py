@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +78,55 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFra
     return model.transform(ready).select(*rows.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def calibrate(scored: DataFrame, score_col: str, label: str, least_positives: int = 10) -> DataFrame:
-    """(boundary, calibrated): isotonic curve of labels over scores; fewer positives than least_positives are refused."""
+def fit_calibration(scored: DataFrame, score_col: str, label: str, method: str = "isotonic", least_positives: int = 10) -> Model:
+    """Model that maps scores to calibrated probabilities: isotonic, or a sigmoid of the score. Fewer positives than least_positives are refused."""
     rows = scored.select(F.col(score_col).cast("double").alias("x"), F.col(label).cast("double").alias("label")).dropna()
-    if rows.agg(F.sum("label")).first()[0] is None or rows.where("label = 1").limit(least_positives).count() < least_positives:
+    if rows.where("label = 1").limit(least_positives).count() < least_positives:
         raise ValueError(f"at least {least_positives} positives are needed")
-    model = IsotonicRegression(featuresCol="x", labelCol="label").fit(rows)
-    points = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
-    return scored.sparkSession.createDataFrame(points, "boundary double, calibrated double")
+    if method == "isotonic":
+        return IsotonicRegression(featuresCol="x", labelCol="label").fit(rows)
+    steps = [VectorAssembler(inputCols=["x"], outputCol="_raw"), LogisticRegression(featuresCol="_raw", labelCol="label", standardization=False)]
+    return Pipeline(stages=steps).fit(rows)
+
+
+def calibrated(model: Model, rows: DataFrame, score_col: str) -> DataFrame:
+    """rows that have a score, with its calibrated probability; the curve stays in the model and is applied where the rows are."""
+    ready = rows.where(F.col(score_col).isNotNull()).withColumn("x", F.col(score_col).cast("double"))
+    out = model.transform(ready)
+    value = F.col("prediction") if isinstance(model, IsotonicRegressionModel) else vector_to_array("probability")[1]
+    return out.select(*rows.columns, value.alias("calibrated"))
+
+
+def fit_autoregression(rows: DataFrame, station: str, target: str, lags: list[str]) -> DataFrame:
+    """(station, n, coefficients): least squares of the target on its lags and a constant, the last coefficient.
+
+    The normal equations are sums, so a station's rows need nothing but partial aggregates; a station with fewer rows than
+    coefficients, or with lags that depend on each other, has null coefficients.
+    """
+    cols = [F.col(c).cast("double") for c in lags] + [F.lit(1.0)]
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    good = rows.dropna(subset=[target, *lags])
+    g = good.groupBy(station).agg(F.count("*").alias("n"), F.array(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).alias("xx"), F.array(*[F.sum(c * F.col(target)) for c in cols]).alias("xy"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, xx, xy in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                m = np.zeros((k, k))
+                for (i, j), v in zip(pairs, xx, strict=True):
+                    m[i, j] = m[j, i] = v
+                out.append(np.linalg.solve(m, xy).tolist() if n >= k and np.linalg.matrix_rank(m) == k else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], [station, "n", "coefficients"])
+
+    return g.mapInArrow(solve, f"`{station}` {dict(g.dtypes)[station]}, n bigint, coefficients array<double>")
+
+
+def fit_station_regressors(train: DataFrame, station: str, features: list[str], target: str, least_rows: int = 50, most_stations: int = 200, seed: int = 42) -> dict[str, PipelineModel]:
+    """A boosted regressor for each station with enough rows; each is fitted by all executors in turn. More stations than most_stations are refused."""
+    rows = train.dropna(subset=[target, *features])
+    enough = [r[0] for r in rows.groupBy(station).count().where(F.col("count") >= least_rows).orderBy(station).limit(most_stations + 1).collect()]
+    if len(enough) > most_stations:
+        raise ValueError(f"more than {most_stations} stations")
+    learner = GBTRegressor(featuresCol="_raw", labelCol=target, maxIter=20, maxDepth=3, seed=seed)
+    return {s: Pipeline(stages=[_assembled(features), learner]).fit(rows.where(F.col(station) == s)) for s in enough}

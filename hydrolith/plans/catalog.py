@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolith.functions import core
-from hydrolith.operators import canonical, islands, joins, labels, statistics, windows
+from hydrolith.operators import canonical, islands, joins, labels, models, statistics, windows
 from hydrolith.sources import readers
 from hydrolith.streaming import live
 
@@ -410,6 +410,15 @@ def ar_ols(spark, sf_dir):
     return m.groupBy("sensor").agg(F.count("*").alias("n"), core.round6(F.regr_slope("y", "x")).alias("slope"), core.round6(F.regr_intercept("y", "x")).alias("intercept"))
 
 
+@_query(f""", m AS (SELECT a.sensor, a.value AS y, b.value AS p, c.value AS q FROM obs a JOIN obs b ON a.sensor = b.sensor AND b.t = a.t - {60 * US} JOIN obs c ON a.sensor = c.sensor AND c.t = a.t - {120 * US} WHERE a.usable AND b.usable AND c.usable),
+k AS (SELECT sensor, count(*) AS n, covar_pop(y, p) AS yp, covar_pop(y, q) AS yq, covar_pop(p, q) AS pq, var_pop(p) AS pp, var_pop(q) AS qq, avg(y) AS my, avg(p) AS mp, avg(q) AS mq FROM m GROUP BY 1),
+s AS (SELECT *, (yp * qq - yq * pq) / (pp * qq - pq * pq) AS b1, (yq * pp - yp * pq) / (pp * qq - pq * pq) AS b2 FROM k) SELECT sensor, n, round(b1, 6) AS lag_60, round(b2, 6) AS lag_120, round(my - b1 * mp - b2 * mq, 4) AS constant FROM s""")
+def ar_two_lags(spark, sf_dir):
+    m = joins.complete_lags(observations(spark, sf_dir), (0, 60, 120)).select("sensor", *[F.col("inputs")[k].alias(n) for k, n in enumerate(("y", "p", "q"))])
+    fitted = models.fit_autoregression(m, "sensor", "y", ["p", "q"])
+    return fitted.select("sensor", "n", F.round(F.col("coefficients")[0], 6).alias("lag_60"), F.round(F.col("coefficients")[1], 6).alias("lag_120"), F.round(F.col("coefficients")[2], 4).alias("constant"))
+
+
 @_query("SELECT event_type, epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -215,4 +215,6 @@ def ml_boosted(spark, sf_dir):
 
 @_query()
 def calibration(spark, sf_dir):
-    return models.calibrate(_scored(spark, sf_dir, "logistic").where(F.col("t") <= SPLIT[1]), "score", "label")
+    rows = _scored(spark, sf_dir, "logistic")
+    model = models.fit_calibration(rows.where(F.col("t") <= SPLIT[1]), "score", "label")
+    return models.calibrated(model, rows, "score")
