@@ -23,6 +23,13 @@ def by_value(rows: DataFrame, value: str, blocks: int = 4096) -> Column:
     return -F.floor(F.col(value).cast("double") / (top / blocks)) if top else F.lit(0)
 
 
+def _meet(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null, which are keys like others here."""
+    named = others.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [rows[k].eqNullSafe(named[f"_k_{k}"]) for k in keys]
+    return rows.join(named, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def lagged(rows: DataFrame, by: list[str], order: list[str], block: Column, take: dict[str, str]) -> DataFrame:
     """rows with the columns `take` (new name to column) of the row before, in the order of `order`; null for a key's first."""
     cut = rows.withColumn("_block", block)
@@ -30,7 +37,7 @@ def lagged(rows: DataFrame, by: list[str], order: list[str], block: Column, take
     ends = cut.groupBy(*by, "_block").agg(F.max_by(kept, F.struct(*order)).alias("_end"))
     before = ends.select(*by, "_block", F.lag("_end").over(Window.partitionBy(*by).orderBy("_block")).alias("_before"))
     own = F.lag(kept).over(Window.partitionBy(*by, "_block").orderBy(*order))
-    both = cut.withColumn("_own", own).join(before, [*by, "_block"])
+    both = _meet(cut.withColumn("_own", own), before, [*by, "_block"])
     got = F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("_before"))
     return both.select(*rows.columns, *[got[n].alias(n) for n in take])
 
@@ -43,6 +50,6 @@ def running(rows: DataFrame, by: list[str], order: list[Column], block: Column,
     totals = cut.groupBy(*by, "_block").agg(*[fold(f"_v_{n}").alias(f"_t_{n}") for n in columns])
     ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_block", *[fold(f"_t_{n}").over(ahead).alias(f"_b_{n}") for n in columns])
-    both = cut.withColumns({f"_r_{n}": fold(f"_v_{n}").over(inner) for n in columns}).join(totals, [*by, "_block"])
+    both = _meet(cut.withColumns({f"_r_{n}": fold(f"_v_{n}").over(inner) for n in columns}), totals, [*by, "_block"])
     join = (lambda n: F.coalesce(F.col(f"_r_{n}") + F.coalesce(f"_b_{n}", F.lit(0)), F.col(f"_b_{n}"))) if kind == "sum" else (lambda n: F.greatest(f"_r_{n}", f"_b_{n}"))
     return both.select(*rows.columns, *[join(n).alias(n) for n in columns])

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydrolith.operators import blocks
 
-def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, carry: list[str]) -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, carry: list[str], block_minutes: int | None = None) -> DataFrame:
     """left with `carry` of the latest right row of the same key at or before left_time; null where there is none.
 
     Both sides are one stream ordered by key and time, so each row is shuffled once and nothing is paired off; of
-    right rows at one instant the one with the largest carried values counts.
+    right rows at one instant the one with the largest carried values counts. With block_minutes, for times in
+    microseconds, a key is cut into blocks of time, and each block starts from the last right row of those before.
     """
-    from pyspark.sql import Window
-
     r = right.select(*on, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*carry).alias("_r"))
     l = left.select(*on, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))  # noqa: E741
-    w = Window.partitionBy(*on).orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(w))
-    return both.where("_side = 1").select("_l.*", *[F.col("_r")[c].alias(c) for c in carry])
+    both = r.unionByName(l, allowMissingColumns=True)
+    block = F.lit(0) if block_minutes is None else blocks.by_time("_t", block_minutes)
+    both = blocks.running(both, on, [F.col("_t"), F.col("_side")], block, {"_best": F.when(F.col("_side") == 0, F.struct("_t", "_r"))}, "max")
+    return both.where("_side = 1").select("_l.*", *[F.col("_best")["_r"][c].alias(c) for c in carry])
 
 
 def paired(left: DataFrame, right: DataFrame, on: list[str], shared: list[str], order: str | None = None) -> DataFrame:

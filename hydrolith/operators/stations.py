@@ -14,7 +14,7 @@ def forecast_by_place(origins: DataFrame, forecasts: DataFrame, carry: list[str]
 
     Counts: the latest forecast for the same day, retrieved at or before the origin, whose lower-cased place holds the
     origin's or is held by it; without one, the latest of any place. Places are matched as distinct names, then both
-    look-ups are as-of joins on equal keys. A null or empty place matches none.
+    look-ups are as-of joins on equal keys, cut into hours. Distinct names are few beside rows. A null or empty place matches none.
     """
     name = lambda c: F.lower(F.trim(c))
     left = origins.withColumn("_place", name(F.col("place")))
@@ -23,7 +23,7 @@ def forecast_by_place(origins: DataFrame, forecasts: DataFrame, carry: list[str]
     theirs = right.select(F.col("_theirs").alias("_name")).where("_name <> ''").distinct()
     match = ours.join(theirs, F.col("_ours").contains(F.col("_name")) | F.col("_name").contains(F.col("_ours")))
     near = right.join(match, F.col("_theirs") == F.col("_name")).select(F.col("_ours").alias("_place"), "day", "_at", F.struct(*carry).alias("_near"))
-    got = as_of(as_of(left, near, ["_place", "day"], "at", "_at", ["_near"]), right.select("day", "_at", F.struct(*carry).alias("_any")), ["day"], "at", "_at", ["_any"])
+    got = as_of(as_of(left, near, ["_place", "day"], "at", "_at", ["_near"], 60), right.select("day", "_at", F.struct(*carry).alias("_any")), ["day"], "at", "_at", ["_any"], 60)
     found = F.coalesce("_near", "_any")
     return got.select(*origins.columns, *[found[c].alias(c) for c in carry], F.when(found.isNotNull(), F.col("_near").isNotNull()).alias("place_matched"))
 
