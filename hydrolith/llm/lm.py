@@ -16,14 +16,14 @@ from hydrolith.llm.common import Words, materialize, remainder, word_blocks
 TOP_WORDS, CLASSES, TAILS = 31, 96, 16
 UNITS = 1 + TOP_WORDS + CLASSES + TAILS
 #: A word has vectors of its own if it occurs so often, and most words that do, since the model is sent to every task.
-MIN_COUNT, MAX_WORDS = 8, TOP_WORDS + CLASSES * 192
+MIN_COUNT, MAX_WORDS = 8, TOP_WORDS + CLASSES * 256
 CONTEXT, DIM = 3, 16
 #: Most words whose counts are broadcast; the counts of all other words reach the texts by a join.
 HEAD_WORDS = 1 << 18
 #: Documents, about, that the common starting point is trained on before the pass over all of them, and by how many tasks.
 WARM_DOCS, WARM_TASKS = 4000, 4
 #: Characters that one task trains a model on, about.
-TASK_CHARS = 128_000_000
+TASK_CHARS = 32_000_000
 NOISE, BATCH, RATE = 24, 4096, 0.07
 #: Hash that stands for the end token, and its tail.
 END = np.uint64(0x0E0D_70CE_0000_0001)
