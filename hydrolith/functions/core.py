@@ -120,3 +120,22 @@ def url_parameter(url: Column, name: str) -> Column:
 
 def wkt_point(lon: Column, lat: Column) -> Column:
     return F.when(lon.isNotNull() & lat.isNotNull(), F.format_string("POINT (%s %s)", lon, lat))
+
+
+def parse_wkt(text: Column) -> tuple[Column, Column]:
+    """(lon, lat) of a point in well-known text, nulls for anything else."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
+    part = lambda k: F.nullif(F.regexp_extract(text, rf"^\s*POINT\s*\(\s*{number}\s+{number}\s*\)\s*$", k), F.lit("")).cast("double")
+    return part(1), part(2)
+
+
+def json_text(document: Column, path: str) -> Column:
+    """A value of a JSON text as text: booleans in small letters, numbers in their shortest form, a nested value compact; JSON null is null."""
+    return F.get_json_object(document, path)
+
+
+def header_labels(first: Column, second: Column, at: int) -> Column:
+    """Labels of a two-row table head: the second row's labels stand in for the one of the first at place `at` (from 0)."""
+    parent = F.try_element_at(first, F.lit(at + 1))
+    inner = F.transform(second, lambda x: F.concat_ws(" ", parent, x))
+    return F.concat(F.slice(first, 1, at), inner, F.slice(first, at + 2, 1 << 20))

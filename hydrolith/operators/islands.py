@@ -89,3 +89,9 @@ def merged_windows(spans: DataFrame, slack_minutes: int = 5) -> DataFrame:
     new = F.coalesce((F.col("a") > F.col("reached") + slack_minutes * MINUTE).cast("int"), F.lit(0))
     rows = blocks.running(rows, ["sensor"], [F.col("a"), F.col("b")], day, {"merged": new})
     return rows.groupBy("sensor", "merged").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("captures"))
+
+
+def termination_counts(found: DataFrame, by: list[str]) -> DataFrame:
+    """Episodes of each key by the reason of their end, every reason a column, with the longest and the total duration."""
+    reasons = ("WINDOW_EDGE", "INTERRUPTED_BY_MISSING_DATA", "ENDED_BELOW_THRESHOLD")
+    return found.groupBy(*by).agg(F.count("*").alias("episodes"), *[F.count_if(F.col("termination") == r).alias(r.lower()) for r in reasons], F.max("duration_minutes").alias("longest_minutes"), F.sum("duration_minutes").alias("total_minutes"), F.max("peak").alias("peak"))

@@ -73,3 +73,10 @@ def complete_lags(series: DataFrame, lags: tuple[int, ...], minute: int = 60_000
 
 def in_box(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
     return x.between(x0, x1) & y.between(y0, y1)
+
+
+def lag_deltas(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
+    """complete_lags with `deltas`: each value less the one a lag further back."""
+    rows = complete_lags(series, lags)
+    later = F.slice("inputs", 1, len(lags) - 1)
+    return rows.withColumn("deltas", F.zip_with(later, F.slice("inputs", 2, len(lags) - 1), lambda a, b: a - b))
