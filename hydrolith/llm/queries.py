@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolith.llm import ann, chat, embed_dedup, lm, mixing, packing, quality, simhash, tokens, toxicity
+from hydrolith.llm import adaptive_rules, ann, centroids, chat, embed_dedup, lm, mixing, packing, quality, simhash, spelling, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,17 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_best_fit_packing, op3_quality_rules, op4_simhash_components, op5_source_mixing, op6_embedding_dedup, op7_toxicity_ftrl, op8_chat_format, op9_token_counts, op10_log_bilinear)}
-ORACLE_SQL = {"op5_source_mixing": mixing.ORACLE, "op8_chat_format": chat.chat_oracle()}
+def op11_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.rule_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_forest, op2_best_fit_packing, op3_quality_rules, op4_simhash_components, op5_source_mixing, op6_embedding_dedup, op7_toxicity_ftrl, op8_chat_format, op9_token_counts, op10_log_bilinear, op11_adaptive_rules, op12_spelling_variants, op13_centroid_clusters)}
+ORACLE_SQL = {"op5_source_mixing": mixing.ORACLE, "op8_chat_format": chat.chat_oracle(), "op11_adaptive_rules": adaptive_rules.rules_oracle(), "op13_centroid_clusters": centroids.cluster_oracle()}
