@@ -11,9 +11,8 @@ from hydrolith.operators import blocks
 
 def observation_windows(series: DataFrame, gap_minutes: int = 1440) -> DataFrame:
     """series with `window`, from 1: a new one starts where the gap to the row before is longer than gap_minutes."""
-    rows = blocks.lagged(series, ["sensor"], ["t"], blocks.by_time(), {"_p": "t"})
     starts = F.coalesce((F.col("t") - F.col("_p") > gap_minutes * MINUTE).cast("int"), F.lit(0))
-    rows = blocks.running(rows, ["sensor"], [F.col("t")], blocks.by_time(), {"window": starts})
+    rows = blocks.chained(series, ["sensor"], ["t"], blocks.by_time(), before={"_p": "t"}, running={"window": starts})
     return rows.withColumn("window", F.col("window") + 1).drop("_p")
 
 
@@ -22,41 +21,41 @@ def episodes(series: DataFrame, thresholds: DataFrame, step_minutes: int, gap_mi
 
     A run goes on while each exceeding row is at most step_minutes after the exceeding row before. It ends below the
     threshold, by missing data (an unusable row, or a longer step to the next exceeding one), or at the window's edge.
-    The index counts on over windows.
+    The index counts on over windows. Rows meet their sensor's thresholds inside their block, which is then cut to runs.
     """
-    rows = observation_windows(series, gap_minutes).join(thresholds, "sensor")
-    key = ["sensor", "threshold_type", "window"]
-    rows = rows.withColumn("over", F.col("usable") & (F.col("value") >= F.col("threshold"))).withColumn("_back", -F.col("t"))
-    rows = blocks.lagged(rows, key, ["t"], blocks.by_time(), {"_p": "t", "_p_over": "over"})
-    rows = blocks.lagged(rows, key, ["_back"], -blocks.by_time(), {"next_t": "t", "next_over": "over", "next_usable": "usable"})
-    rows = rows.withColumn("follows", F.coalesce("_p_over", F.lit(False)) & (F.col("t") - F.col("_p") <= step_minutes * MINUTE)).where("over")
-    rows = blocks.running(rows, ["sensor", "threshold_type"], [F.col("t")], blocks.by_time(), {"episode": (~F.col("follows")).cast("int")})
-    reason = F.when(F.col("next_t").isNull(), "WINDOW_EDGE").when(F.col("next_over") | ~F.col("next_usable"), "INTERRUPTED_BY_MISSING_DATA").otherwise("ENDED_BELOW_THRESHOLD")
-    return rows.groupBy("sensor", "threshold_type", "threshold", "episode").agg(
-        F.min("t").alias("start_us"),
-        F.max("t").alias("end_us"),
-        F.count("*").alias("observations"),
-        round6(F.max("value")).alias("peak"),
-        round6(F.max("value") - F.first("threshold")).alias("max_exceedance"),
-        F.max_by(reason, "t").alias("termination"),
-    ).withColumn("duration_minutes", minutes_between(F.col("end_us"), F.col("start_us")))
+    over = lambda s: F.coalesce(s["usable"] & (s["value"] >= F.col("threshold")), F.lit(False))
+    apart = lambda a, b: b["t"] - a["t"]
+    found = blocks.runs(
+        series, ["sensor"], blocks.by_time(), ["t", "value", "usable"],
+        lambda a, b: (over(a) == over(b)) & (~over(b) | (apart(a, b) <= min(step_minutes, gap_minutes) * MINUTE)),
+        {"observations": ("sum", lambda s: F.lit(1)), "peak": ("max", lambda s: s["value"])}, {"episode": lambda _, b: over(b)},
+        extend=lambda rows: rows.join(thresholds, "sensor"), extra=["threshold_type", "threshold"],
+    ).where(over(F.col("first")))
+    after, last = F.col("after"), F.col("last")
+    reason = F.when(after.isNull() | (apart(last, after) > gap_minutes * MINUTE), "WINDOW_EDGE").when(over(after) | ~after["usable"], "INTERRUPTED_BY_MISSING_DATA").otherwise("ENDED_BELOW_THRESHOLD")
+    return found.select(
+        "sensor", "threshold_type", "threshold", "episode", F.col("first.t").alias("start_us"), F.col("last.t").alias("end_us"), "observations", round6(F.col("peak")).alias("peak"),
+        round6(F.col("peak") - F.col("threshold")).alias("max_exceedance"), reason.alias("termination"), minutes_between(F.col("last.t"), F.col("first.t")).alias("duration_minutes"),
+    )
 
 
 def change_pairs(series: DataFrame, step_minutes: int) -> DataFrame:
     """Each eligible row after the first, with the change from the eligible row before, or the reason of the break."""
-    seen = blocks.running(series, ["sensor"], [F.col("t")], blocks.by_time(), {"skipped": (~F.col("usable")).cast("int")})
-    good = blocks.lagged(seen.where("usable"), ["sensor"], ["t"], blocks.by_time(), {"from_t": "t", "from_value": "value", "from_skipped": "skipped"})
-    out = good.withColumns({"change": round6(F.col("value") - F.col("from_value")), "between": F.col("skipped") - F.col("from_skipped")}).where("from_t is not null")
-    out = out.withColumn("break_reason", F.when(F.col("between") > 0, "NOT_USABLE_ROW_BETWEEN").when(F.col("t") - F.col("from_t") > step_minutes * MINUTE, "GAP_EXCEEDS_MAX"))
+    before = {"_ok": "usable", "_t": "t", "_value": "value"}
+    latest = F.when(F.col("_ok"), F.struct(F.col("_t").alias("t"), F.col("_value").alias("value")))
+    rows = blocks.chained(series, ["sensor"], ["t"], blocks.by_time(), before, running={"_from": latest}, kind="max").where("usable and _from is not null")
+    out = rows.select("sensor", F.col("_from.t").alias("from_t"), "t", round6(F.col("value") - F.col("_from.value")).alias("change"), "_ok")
+    out = out.withColumn("break_reason", F.when(~F.col("_ok"), "NOT_USABLE_ROW_BETWEEN").when(F.col("t") - F.col("from_t") > step_minutes * MINUTE, "GAP_EXCEEDS_MAX"))
     pair = F.col("break_reason").isNull()
     hours = minutes_between(F.col("t"), F.col("from_t")) / 60.0
     return out.select("sensor", "from_t", "t", "break_reason", F.when(pair, F.col("change")).alias("change"), F.when(pair, round6(F.col("change") / hours)).alias("rate_per_hour"), F.when(pair, F.signum("change").cast("int")).alias("direction"))
 
 
-def change_runs(pairs: DataFrame) -> DataFrame:
-    """Maximal chains of pairs without a break: sensor, run, pairs, start, end."""
-    runs = blocks.running(pairs, ["sensor"], [F.col("t")], blocks.by_time(), {"run": F.col("break_reason").isNotNull().cast("int")})
-    return runs.where("break_reason is null").groupBy("sensor", "run").agg(F.count("*").alias("pairs"), F.min("from_t").alias("start_us"), F.max("t").alias("end_us"))
+def change_runs(series: DataFrame, step_minutes: int) -> DataFrame:
+    """Maximal chains of change pairs without a break: sensor, run (from 0, one for each break before), pairs, start, end."""
+    near = lambda a, b: (a["usable"] == b["usable"]) & (~b["usable"] | (b["t"] - a["t"] <= step_minutes * MINUTE))
+    found = blocks.runs(series, ["sensor"], blocks.by_time(), ["t", "usable"], near, {"rows": ("sum", lambda s: F.lit(1))}, {"run": lambda _, b: b["usable"]})
+    return found.where(F.col("first.usable") & (F.col("rows") > 1)).select("sensor", (F.col("run") - 1).alias("run"), (F.col("rows") - 1).alias("pairs"), F.col("first.t").alias("start_us"), F.col("last.t").alias("end_us"))
 
 
 def slot_grid(series: DataFrame, cadence: int) -> DataFrame:
@@ -71,23 +70,28 @@ def slot_grid(series: DataFrame, cadence: int) -> DataFrame:
     return slots.join(series.select("sensor", "t", "usable"), ["sensor", "t"], "left").select("sensor", "t", state.alias("state"))
 
 
-def missing_runs(grid: DataFrame, cadence: int) -> DataFrame:
-    """Maximal runs of usable, or of missing, slots of a grid, with their lengths and whether they touch an edge."""
-    rows = blocks.lagged(grid.withColumn("usable", F.col("state") == "USABLE"), ["sensor"], ["t"], blocks.by_time(), {"before": "usable"})
-    turn = F.coalesce((F.col("usable") != F.col("before")).cast("int"), F.lit(0))
-    rows = blocks.running(rows, ["sensor"], [F.col("t")], blocks.by_time(), {"run": turn})
-    edges = grid.groupBy("sensor").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    runs = rows.groupBy("sensor", "run", "usable").agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("slots"), F.count_if(F.col("state") == "ABSENT_SLOT").alias("absent_slots"))
-    return runs.join(edges, "sensor").select("sensor", "run", "usable", "start_us", "end_us", "slots", "absent_slots", ((F.col("slots") - 1) * cadence).alias("first_to_last_minutes"), (F.col("start_us") == F.col("first_t")).alias("at_start"), (F.col("end_us") == F.col("last_t")).alias("at_end"))
+def missing_runs(series: DataFrame, cadence: int) -> DataFrame:
+    """Maximal runs of usable, or of missing, slots from a sensor's first row to its last, with their lengths and whether they touch an edge.
+
+    Rows lie on the cadence; a slot without a row is missing. Slots between two rows are one gap, however many they are,
+    so nothing is made for each of them.
+    """
+    found = blocks.runs(
+        series.withColumn("there", F.lit(True)), ["sensor"], blocks.by_time(), ["t", "usable", "there"], lambda a, b: a["usable"] == b["usable"],
+        {"slots": ("sum", lambda s: s["slots"]), "absent_slots": ("sum", lambda s: F.when(s["there"], 0).otherwise(s["slots"]))}, {"run": lambda _, b: F.lit(True)},
+        fill=(lambda a, b: F.lit(True), cadence * MINUTE, {"usable": F.lit(False), "there": F.lit(False)}),
+    )
+    return found.select(
+        "sensor", (F.col("run") - 1).alias("run"), F.col("first.usable").alias("usable"), F.col("first.t").alias("start_us"), F.col("last.upto").alias("end_us"), "slots", "absent_slots",
+        ((F.col("slots") - 1) * cadence).alias("first_to_last_minutes"), F.col("before").isNull().alias("at_start"), F.col("after").isNull().alias("at_end"),
+    )
 
 
 def merged_windows(spans: DataFrame, slack_minutes: int = 5) -> DataFrame:
     """Union of (sensor, a, b) intervals: those that overlap, or start at most slack_minutes after the furthest end so far, are one."""
-    day = blocks.by_time("a")
-    rows = blocks.running(spans, ["sensor"], [F.col("a"), F.col("b")], day, {"_upto": F.col("b")}, "max")
-    rows = blocks.lagged(rows, ["sensor"], ["a", "b"], day, {"reached": "_upto"})
-    new = F.coalesce((F.col("a") > F.col("reached") + slack_minutes * MINUTE).cast("int"), F.lit(0))
-    rows = blocks.running(rows, ["sensor"], [F.col("a"), F.col("b")], day, {"merged": new})
+    rows = blocks.chained(spans, ["sensor"], ["a", "b"], blocks.by_time("a"), running={"_upto": F.col("b")}, kind="max", keep_block=True)
+    new = F.coalesce((F.col("a") > F.col("_reached") + slack_minutes * MINUTE).cast("int"), F.lit(0))
+    rows = blocks.chained(rows, ["sensor"], ["a", "b"], F.col(blocks.BLOCK), before={"_reached": "_upto"}, running={"merged": new})
     return rows.groupBy("sensor", "merged").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("captures"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolith.operators import blocks
@@ -18,8 +18,11 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, righ
     r = right.select(*on, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*carry).alias("_r"))
     l = left.select(*on, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))  # noqa: E741
     both = r.unionByName(l, allowMissingColumns=True)
-    block = F.lit(0) if block_minutes is None else blocks.by_time("_t", block_minutes)
-    both = blocks.running(both, on, [F.col("_t"), F.col("_side")], block, {"_best": F.when(F.col("_side") == 0, F.struct("_t", "_r"))}, "max")
+    best, order = F.when(F.col("_side") == 0, F.struct("_t", "_r")), [F.col("_t"), F.col("_side")]
+    if block_minutes is None:
+        both = both.withColumn("_best", F.max(best).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        both = blocks.running(both, on, order, blocks.by_time("_t", block_minutes), {"_best": best}, "max")
     return both.where("_side = 1").select("_l.*", *[F.col("_best")["_r"][c].alias(c) for c in carry])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolith.functions.core import MINUTE, first_of, minutes_between, percent_of, round6
+from hydrolith.operators import blocks
 
 
 def guarded(value: Column, n: Column, required: int) -> Column:
@@ -14,29 +15,31 @@ def guarded(value: Column, n: Column, required: int) -> Column:
     return F.struct(F.when(enough, "OK").otherwise("INSUFFICIENT_SAMPLE").alias("status"), F.when(enough, round6(value)).alias("value"), n.cast("bigint").alias("n"), F.lit(required).alias("required_n"))
 
 
+def _captured(rows: DataFrame, cadence: int, keep: list[str]) -> DataFrame:
+    """One row (sensor, t, keep, new) for each instant, in blocks of days; new: a capture starts here that follows no other within a cadence.
+
+    A capture spans its batch's first to last row. Captures are few beside rows: their first rows alone meet by sensor.
+    """
+    batch = Window.partitionBy("sensor", "batch")
+    d = rows.select("sensor", "batch", "t", *keep, F.max("t").over(batch).alias("_b"), (F.row_number().over(batch.orderBy("t")) == 1).alias("_first"))
+    d = d.withColumn("_inside", F.when(~F.col("_first"), F.col("batch")))
+    meet = Window.partitionBy("sensor", "_first", "_inside").orderBy("t", "_b")
+    reached = F.max("_b").over(meet.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("new", F.coalesce(F.col("_first") & (F.col("t") > reached + cadence * MINUTE), F.lit(False))).withColumn(blocks.BLOCK, blocks.by_time())
+    again = F.lag("t").over(Window.partitionBy("sensor", blocks.BLOCK).orderBy("t", F.desc("new"), *keep))
+    return d.withColumn("_again", F.coalesce(F.col("t") == again, F.lit(False))).where("not _again").select("sensor", "t", *keep, "new", blocks.BLOCK)
+
+
 def capture_windows(rows: DataFrame, cadence: int, max_gap_minutes: int) -> DataFrame:
-    """rows (sensor, t, batch, ...) with `window`, from 0, and `boundary`: why the window before ended, null inside one.
+    """(sensor, t) of rows (sensor, t, batch, ...) with `window`, from 0, and `boundary`: why the window before ended, null inside one.
 
-    A capture spans its batch's first to last row; captures that overlap or follow within a cadence are one. A window ends
-    with its captures (SEPARATE_CAPTURES) or at a gap over max_gap_minutes (GAP_EXCEEDS_MAX_ABSENT). Captures are few
-    beside rows: their merged spans are ordered by sensor, the rows only within a span.
+    Captures that overlap or follow within a cadence are one. A window ends with its captures (SEPARATE_CAPTURES) or at a
+    gap over max_gap_minutes (GAP_EXCEEDS_MAX_ABSENT).
     """
-    step = cadence * MINUTE
-    spans = rows.groupBy("sensor", "batch").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    w = Window.partitionBy("sensor").orderBy("a", "b")
-    reached = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.coalesce((F.col("a") > reached + step).cast("int"), F.lit(0))).withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("sensor", "span").orderBy("t")
-    tagged = rows.join(spans.select("sensor", "batch", "span"), ["sensor", "batch"])
-    one = tagged.groupBy("sensor", "t").agg(F.min("span").alias("span"))
-    cut = one.withColumn("gap", F.coalesce((F.col("t") - F.lag("t").over(own) > max_gap_minutes * MINUTE).cast("int"), F.lit(0)))
-    cut = cut.withColumn("part", F.sum("gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    per_span = cut.groupBy("sensor", "span").agg((F.max("part") + 1).alias("parts"))
-    before = per_span.withColumn("first", F.coalesce(F.sum("parts").over(Window.partitionBy("sensor").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = cut.join(before, ["sensor", "span"]).withColumn("window", F.col("first") + F.col("part"))
-    start = F.lag("t").over(own).isNull()
-    boundary = F.when(F.col("gap") == 1, "GAP_EXCEEDS_MAX_ABSENT").when(start & (F.col("span") > 0), "SEPARATE_CAPTURES")
-    return numbered.select("sensor", "t", F.col("window").cast("bigint").alias("window"), boundary.alias("boundary"))
+    late = F.coalesce(F.col("t") - F.col("_p") > max_gap_minutes * MINUTE, F.lit(False))
+    out = blocks.chained(_captured(rows, cadence, []), ["sensor"], ["t"], F.col(blocks.BLOCK), before={"_p": "t"}, running={"window": (F.col("new") | late).cast("int")})
+    boundary = F.when(F.col("_p").isNotNull(), F.when(F.col("new"), "SEPARATE_CAPTURES").when(late, "GAP_EXCEEDS_MAX_ABSENT"))
+    return out.select("sensor", "t", F.col("window").cast("bigint").alias("window"), boundary.alias("boundary"))
 
 
 def window_slots(windowed: DataFrame, states: DataFrame, cadence: int) -> DataFrame:
@@ -68,26 +71,24 @@ def network_coverage(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count_distinct("sensor").alias("sensors"), F.sum("expected").alias("expected"), F.sum("usable").alias("usable"), percent_of(F.sum("usable"), F.sum("expected")).alias("coverage_pct"))
 
 
-def slot_runs(slots: DataFrame, cadence: int) -> DataFrame:
-    """Maximal runs of usable or missing slots of each window: OBSERVED or MISSING, length, edges.
+def slot_runs(rows: DataFrame, cadence: int, max_gap_minutes: int) -> DataFrame:
+    """Maximal runs of usable or missing slots of each window of captured rows (sensor, t, batch, usable): OBSERVED or MISSING, length, edges.
 
-    Turns are numbered by day and the days' totals by window, so a long window is spread over tasks.
+    Windows are those of capture_windows, run counts from 0 in each. Slots without a row are missing; those between two
+    rows are one gap, so a long window is not made slot by slot.
     """
     step = cadence * MINUTE
-    usable = F.col("state") == "USABLE"
-    before = slots.select("sensor", "window", (F.col("t") + step).alias("t"), usable.alias("before"))
-    turned = slots.withColumn("ok", usable).join(before, ["sensor", "window", "t"], "left").withColumn("turn", F.coalesce((F.col("ok") != F.col("before")).cast("int"), F.lit(0))).withColumn("day", F.floor(F.col("t") / (1440 * MINUTE)))
-    days = turned.groupBy("sensor", "window", "day").agg(F.sum("turn").alias("turns"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    all_days = Window.partitionBy("sensor", "window").orderBy("day")
-    days = days.withColumn("base", F.coalesce(F.sum("turns").over(all_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = days.groupBy("sensor", "window").agg(F.min("lo").alias("first_t"), F.max("hi").alias("last_t"))
-    in_day = Window.partitionBy("sensor", "window", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = turned.withColumn("in_day", F.sum("turn").over(in_day)).join(days.select("sensor", "window", "day", "base"), ["sensor", "window", "day"])
-    runs = rows.groupBy("sensor", "window", (F.col("base") + F.col("in_day")).alias("run"), "ok").agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("slots"))
-    return runs.join(whole, ["sensor", "window"]).select(
-        "sensor", "window", "run", F.when(F.col("ok"), "OBSERVED").otherwise("MISSING").alias("state"), "start_us", "end_us", "slots",
+    bounds = lambda a, b: a.isNotNull() & (b["new"] | (b["t"] - a["upto"] > max_gap_minutes * MINUTE))
+    opens = lambda a, b: a.isNull() | bounds(a, b)
+    found = blocks.runs(
+        _captured(rows, cadence, ["usable"]), ["sensor"], F.col(blocks.BLOCK), ["t", "usable", "new"], lambda a, b: ~bounds(a, b) & (a["usable"] == b["usable"]),
+        {"slots": ("sum", lambda s: s["slots"])}, {"run": lambda a, b: F.lit(True), "window": bounds},
+        fill=(lambda a, b: ~bounds(a, b), step, {"usable": F.lit(False), "new": F.lit(False)}), since=("run", opens),
+    )
+    return found.select(
+        "sensor", "window", (F.col("run") - F.col("since")).alias("run"), F.when(F.col("first.usable"), "OBSERVED").otherwise("MISSING").alias("state"), F.col("first.t").alias("start_us"), F.col("last.upto").alias("end_us"), "slots",
         ((F.col("slots") - 1) * cadence).alias("first_to_last_minutes"), (F.col("slots") * cadence).alias("slot_minutes"),
-        (F.col("start_us") == F.col("first_t")).alias("at_start"), (F.col("end_us") == F.col("last_t")).alias("at_end"),
+        opens(F.col("before"), F.col("first")).alias("at_start"), (F.col("after").isNull() | bounds(F.col("last"), F.col("after"))).alias("at_end"),
     )
 
 

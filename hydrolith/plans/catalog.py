@@ -177,7 +177,7 @@ def change_pairs(spark, sf_dir):
 
 @_query(PAIRS + "SELECT sensor, run::BIGINT AS run, count(*) AS pairs, min(from_t) AS start_us, max(t) AS end_us FROM (SELECT *, sum((break_reason IS NOT NULL)::INT) OVER (PARTITION BY sensor ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM pairs) WHERE break_reason IS NULL GROUP BY 1, 2")
 def change_runs(spark, sf_dir):
-    return islands.change_runs(islands.change_pairs(observations(spark, sf_dir), HOUR))
+    return islands.change_runs(observations(spark, sf_dir), HOUR)
 
 
 GRID = f""", span AS (SELECT sensor, min(t) AS a, max(t) AS b FROM obs GROUP BY 1),
@@ -195,7 +195,7 @@ def slot_grid(spark, sf_dir):
 rn AS (SELECT *, sum(tu) OVER (PARTITION BY sensor ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM tn)
 SELECT sensor, run, usable, min(t) AS start_us, max(t) AS end_us, count(*) AS slots, count(*) FILTER (state = 'ABSENT_SLOT') AS absent_slots, (count(*) - 1) * {HOUR} AS first_to_last_minutes, min(t) = a AS at_start, max(t) = b AS at_end FROM rn JOIN span USING (sensor) GROUP BY sensor, run, usable, a, b""")
 def missing_runs(spark, sf_dir):
-    return islands.missing_runs(islands.slot_grid(observations(spark, sf_dir), HOUR), HOUR)
+    return islands.missing_runs(observations(spark, sf_dir), HOUR)
 
 
 @_query(GRID + "SELECT sensor, count(*) AS expected, count(*) FILTER (state = 'USABLE') AS usable, round(100.0::DOUBLE * count(*) FILTER (state = 'USABLE') / count(*), 2) AS coverage_pct FROM grid GROUP BY 1")

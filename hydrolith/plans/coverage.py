@@ -60,19 +60,19 @@ def missingness_network(spark, sf_dir):
 
 @_query(CAPTURED + RUNS + f'SELECT *, (slots - 1) * {HOUR} AS first_to_last_minutes, slots * {HOUR} AS slot_minutes FROM rn')
 def missingness_runs(spark, sf_dir):
-    return missingness.slot_runs(slots(spark, sf_dir), HOUR)
+    return missingness.slot_runs(captured(spark, sf_dir), HOUR, GAP)
 
 
 @_query(CAPTURED + RUNS + """SELECT sensor, state, count(*) AS n_runs, min(slots) AS min_slots, max(slots) AS max_slots, CASE WHEN count(*) >= 3 THEN 'OK' ELSE 'INSUFFICIENT_SAMPLE' END AS mean_status, CASE WHEN count(*) >= 3 THEN round(avg(slots), 6) END AS mean_slots,
   CASE WHEN count(*) >= 50 THEN round(quantile_cont(slots, 0.9), 6) END AS p90_slots, CASE WHEN count(*) >= 10 THEN round(quantile_cont(slots, 0.5), 6) END AS p50_slots FROM rn GROUP BY 1, 2""")
 def run_lengths(spark, sf_dir):
-    d = missingness.describe_runs(missingness.slot_runs(slots(spark, sf_dir), HOUR), ["sensor", "state"])
+    d = missingness.describe_runs(missingness.slot_runs(captured(spark, sf_dir), HOUR, GAP), ["sensor", "state"])
     return d.select("sensor", "state", "n_runs", "min_slots", "max_slots", F.col("mean_slots.status").alias("mean_status"), F.col("mean_slots.value").alias("mean_slots"), F.col("p50_slots.value").alias("p50_slots"), F.col("p90_slots.value").alias("p90_slots"))
 
 
 @_query(CAPTURED + RUNS + "SELECT sensor, state, arg_max(start_us, (slots, -start_us)) AS start_us, arg_max(end_us, (slots, -start_us)) AS end_us, max(slots) AS slots FROM rn GROUP BY 1, 2")
 def longest_runs(spark, sf_dir):
-    return missingness.longest_run(missingness.slot_runs(slots(spark, sf_dir), HOUR), ["sensor", "state"])
+    return missingness.longest_run(missingness.slot_runs(captured(spark, sf_dir), HOUR, GAP), ["sensor", "state"])
 
 
 @_query(CAPTURED + f"SELECT sensor, (t + {480 * US}) // {1440 * US} AS day, count(DISTINCT t) AS slots FROM st GROUP BY 1, 2 HAVING count(DISTINCT t) >= 16")
