@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables; importing the package registers all of them."""
 
-from hydrolith.plans import catalog, coverage, extras, operations, records, serving, stations  # noqa: F401
+from hydrolith.plans import catalog, coverage, extras, operations, records, revisions, serving, stations  # noqa: F401
