@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,3 +38,20 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, f"{ROOT.name}/{path.relative_to(ROOT)}")
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors share, below spark.checkpoint.dir; where that is unset, a local master gets one of its own (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="hydrolith-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/hydrolith/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrolith.sources.store import PollStore
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, pattern: str = "*", files_per_poll: int = 100) -> DataFrame:
     """Landing folder as a stream: each poll takes new files alone, and each file once."""
@@ -45,25 +46,22 @@ def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
-def poll_into(store: str, key: list[str], time: str, retrieved: str, tolerance_minutes: int = 10) -> Callable[[DataFrame, int], None]:
-    """Work for each_poll: rows of a poll that are new by key go to store/rows, those from the future to store/future.
+def poll_into(store: str, key: list[str], time: str, retrieved: str, tolerance_minutes: int = 10, newer: Column | None = None, buckets: int = 8, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """Work for each_poll: rows of a poll that are new by key go into the PollStore at store, those from the future to store/future.
 
-    Late rows are taken like others and keys are known for ever: the store itself is asked, by an anti-join, not a watermark.
-    A poll writes the folder of its number, so that one that runs again after a failure replaces what it wrote.
+    Late rows are taken like others and keys are known for ever; a poll opens only files that may hold its keys. A row
+    that differs from the one that stands is left out, or with `newer` (see PollStore.merge) its next version. A poll writes
+    under its number, so that one that runs again after a failure replaces what it wrote. Every compact_every polls, files are merged.
     """
 
     def work(batch: DataFrame, poll: int) -> None:
-        spark = batch.sparkSession
-        rows = future_split(batch, time, retrieved, tolerance_minutes).dropDuplicates(key)
-        try:
-            before = spark.read.parquet(f"{store}/rows").where(F.col("poll") != poll).select(key)
-            rows = rows.join(before, key, "left_anti")
-        except AnalysisException:  # nothing is stored yet
-            pass
-        rows = rows.persist()
-        rows.where("not is_future").drop("is_future").write.mode("overwrite").parquet(f"{store}/rows/poll={poll}")
+        rows = future_split(batch, time, retrieved, tolerance_minutes)
+        content = [c for c in batch.columns if c not in (*key, retrieved)]
+        kept = PollStore(batch.sparkSession, store, key, time, content or [retrieved], buckets)
+        kept.merge(rows.where("not is_future").drop("is_future"), poll, F.lit(False) if newer is None else newer)
         rows.where("is_future").drop("is_future").write.mode("overwrite").parquet(f"{store}/future/poll={poll}")
-        rows.unpersist()
+        if poll % compact_every == compact_every - 1:
+            kept.compact()
 
     return work
 
