@@ -36,13 +36,14 @@ def _edges(rows: DataFrame, edge: Column) -> DataFrame:
     return rows.withColumns({"_edge": edge, "_inside": F.when(~edge, F.col(BLOCK))})
 
 
-def chained(rows: DataFrame, by: list[str], order: list, block: Column, before: dict[str, str] | None = None, after: dict[str, str] | None = None, running: dict[str, Column] | None = None, kind: str = "sum", keep_block: bool = False) -> DataFrame:
+def chained(rows: DataFrame, by: list[str], order: list, block: Column, before: dict[str, str] | None = None, after: dict[str, str] | None = None, running: dict[str, Column] | None = None, kind: str = "sum", keep_block: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
     """rows with columns of the row before and after them, and running sums (or kind "max") up to and with each row.
 
     before, after: new name to column; null at a key's ends. running: new name to value, which may use the names of
-    `before`; null values add nothing. Blocks ascend with the order, which is total. Keys may be null.
+    `before`; null values add nothing. totals: new name to one of `running`, whose value at the key's last row all its rows get.
+    Blocks ascend with the order, which is total. Keys may be null.
     """
-    before, after, running = before or {}, after or {}, running or {}
+    before, after, running, totals = before or {}, after or {}, running or {}, totals or {}
     fold = {"sum": F.sum, "max": F.max}[kind]
     inner = Window.partitionBy(*by, BLOCK).orderBy(*order)
     upto = (Window.unboundedPreceding, 0)
@@ -59,11 +60,13 @@ def chained(rows: DataFrame, by: list[str], order: list, block: Column, before:
     if running:
         d = d.withColumns({f"_v_{n}": F.when(first, c).when(last, F.col(f"_r_{n}")) for n, c in running.items()})
         d = d.withColumns({f"_i_{n}": fold(f"_v_{n}").over(meet.rowsBetween(*upto)) for n in running})
+        everything = meet.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = d.withColumns({n: fold(f"_v_{c}").over(everything) for n, c in totals.items()})
         whole = Window.partitionBy(*by, BLOCK)
-        d = d.withColumns({f"_i_{n}": F.max(F.when(first, F.col(f"_i_{n}"))).over(whole) for n in running})
+        d = d.withColumns({f"_i_{n}": F.max(F.when(first, F.col(f"_i_{n}"))).over(whole) for n in running} | {n: F.max(F.when(first, F.col(n))).over(whole) for n in totals})
         add = (lambda r, i: F.coalesce(r + F.coalesce(i, F.lit(0)), i)) if kind == "sum" else (lambda r, i: F.greatest(r, i))
         d = d.withColumns({n: F.when(first, F.col(f"_i_{n}")).otherwise(add(F.col(f"_r_{n}"), F.col(f"_i_{n}"))) for n in running})
-    return d.select(*rows.columns, *[c for c in (BLOCK,) if keep_block and c not in rows.columns], *before, *after, *running)
+    return d.select(*rows.columns, *[c for c in (BLOCK,) if keep_block and c not in rows.columns], *before, *after, *running, *totals)
 
 
 def lagged(rows: DataFrame, by: list[str], order: list, block: Column, take: dict[str, str]) -> DataFrame:

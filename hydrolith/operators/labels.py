@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrolith.functions.core import MINUTE, round6
+from hydrolith.operators import selection
 
 
 def horizon_labels(series: DataFrame, thresholds: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
@@ -69,7 +70,8 @@ def walk_forward(rows: DataFrame, boundaries: list[int], embargo_minutes: int =
 def fit_preprocessor(train: DataFrame, numeric: list[str]) -> DataFrame:
     """Long table (feature, median, mean, std): exact median, and mean and population deviation of the imputed values."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("f")).select("f.feature", "f.x")
-    median = long.groupBy("feature").agg(F.median("x").alias("median"))
+    median = selection.quantiles(long, ["feature"], "x", (0.5,)).select("feature", F.col("quantiles")[0].alias("median"))
+    # one row for each name in `numeric`
     filled = long.join(F.broadcast(median), "feature").withColumn("x", F.coalesce("x", "median"))
     return filled.groupBy("feature", "median").agg(round6(F.avg("x")).alias("mean"), round6(F.stddev_pop("x")).alias("std"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolith.functions.core import MINUTE, percent_of, round6
-from hydrolith.operators import blocks
+from hydrolith.operators import blocks, selection
 
 
 def needed(q: float, tail: int = 5) -> int:
@@ -22,16 +22,17 @@ def describe(rows: DataFrame, by: list[str], value: str = "value", quantiles: tu
     sd = F.stddev_samp(value)
     skew = F.skewness(value) * F.sqrt(n * (n - 1.0)) / (n - 2)
     aggs = [n.alias("n"), round6(F.sum(value)).alias("total"), round6(F.avg(value)).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.when(n > 1, round6(sd)).alias("std"), F.when((n > 2) & (sd > 0), F.round(skew, 4)).alias("skew")]
-    wide = rows.groupBy(*by).agg(*aggs, F.percentile(value, F.array(*map(F.lit, quantiles))).alias("_q"))
-    return wide.select(*[c for c in wide.columns if c != "_q"], *[F.when(F.col("n") >= needed(q), round6(F.col("_q")[k])).alias(f"p{round(q * 100)}") for k, q in enumerate(quantiles)])
+    wide = selection.quantiles(rows, by, value, quantiles, aggs)
+    return wide.select(*[c for c in wide.columns if c != "quantiles"], *[F.when(F.col("n") >= needed(q), round6(F.col("quantiles")[k])).alias(f"p{round(q * 100)}") for k, q in enumerate(quantiles)])
 
 
 def concentration(rows: DataFrame, by: list[str], value: str = "value", share: float = 0.5) -> DataFrame:
     """Fewest largest values that hold `share` of the total."""
     some = rows.where(F.col(value) > 0)
-    ranked = blocks.running(some, by, [F.desc(value)], blocks.by_value(some, value), {"_reached": F.col(value), "_place": F.lit(1)})
-    whole = some.groupBy(*by).agg(F.sum(value).alias("_whole"))
-    return ranked.join(whole, by).where(F.col("_reached") >= F.col("_whole") * share).groupBy(*by).agg(F.min("_place").cast("int").alias("intervals"))
+    cut = selection.by_rank(some.withColumn("_tie", selection.told_apart(some)), [F.desc(value), F.col("_tie")]).withColumn("_unique", F.monotonically_increasing_id())
+    order = [F.desc(value), F.col("_tie"), F.col("_unique")]
+    ranked = blocks.chained(cut, by, order, F.col(blocks.BLOCK), running={"_reached": F.col(value), "_place": F.lit(1)}, totals={"_whole": "_reached"})
+    return ranked.where(F.col("_reached") >= F.col("_whole") * share).groupBy(*by).agg(F.min("_place").cast("int").alias("intervals"))
 
 
 def covered_days(rows: DataFrame, day: Column, slots_per_day: int, least: float = 0.8) -> DataFrame:
@@ -52,7 +53,8 @@ def confusion(rows: DataFrame, by: list[str], truth: str = "truth", predicted: s
 
 def average_precision(rows: DataFrame, by: list[str], score: str, truth: str, tie: str) -> DataFrame:
     """Mean over positives of hits by rank; ties of the score go by `tie`; null with a single class."""
-    ranked = blocks.running(rows, by, [F.desc(score), F.col(tie)], blocks.by_value(rows, score), {"place": F.lit(1), "hits": F.col(truth)})
+    cut = selection.by_rank(rows, [F.desc(score), F.col(tie)])
+    ranked = blocks.chained(cut, by, [F.desc(score), F.col(tie)], F.col(blocks.BLOCK), running={"place": F.lit(1), "hits": F.col(truth)})
     pos = F.sum(truth)
     ap = F.sum(F.when(F.col(truth) == 1, F.col("hits") / F.col("place"))) / pos
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pos.alias("positives"), F.when((pos > 0) & (pos < F.count("*")), round6(ap)).alias("average_precision"))
