@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrolith.sources import artifacts, digests
 
-def content_version(df: DataFrame, digits: int = 16) -> str:
-    """Hexadecimal version of a table's content, whatever the order of its rows: counts and sums of two row hashes."""
-    cols = sorted(df.columns)
-    n, a, b = df.agg(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), *cols).cast("decimal(38,0)"))).first()
-    import hashlib
 
-    return hashlib.sha256(f"{cols}|{n}|{a}|{b}".encode()).hexdigest()[:digits]
+def content_version(df: DataFrame, digits: int = 16) -> str:
+    """Hexadecimal version of a table's content, whatever the order of its rows: the root of its Merkle tree (see digests)."""
+    return digests.content_digest(df)[:digits]
 
 
 def write_once(df: DataFrame, root: str, partition_by: tuple[str, ...] = ()) -> tuple[str, bool]:
-    """Write df below root/<version> unless that version is there; (path, whether it was written)."""
-    spark = df.sparkSession
+    """Write df below root/<version> unless that version is there; (path, whether it was written). It appears whole or not at all."""
     path = f"{root}/{content_version(df)}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if artifacts.exists(df.sparkSession, path):
         return path, False
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return path, True
+    return path, artifacts.publish_table(df, path, partition_by=partition_by)[1]
 
 
 def write_named(df: DataFrame, root: str, name: str) -> bool:
-    """Write df as root/name once: the same content again is no change (False), other content under the name is an error."""
-    spark, path = df.sparkSession, f"{root}/{name}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        if content_version(spark.read.schema(df.schema).parquet(path)) != content_version(df):
+    """Write df as root/name once: the same content again is no change (False), other content under the name is an error, of a racing writer too."""
+    path = f"{root}/{name}"
+    if artifacts.exists(df.sparkSession, f"{path}/{artifacts.CARD}"):
+        if artifacts.read_card(df.sparkSession, path)["digest"] != digests.content_digest(df):
             raise ValueError(f"{path} holds other content")
         return False
-    df.write.mode("overwrite").parquet(path)
-    return True
+    return artifacts.publish_table(df, path)[1]
 
 
 def json_lines(df: DataFrame) -> DataFrame:
@@ -43,14 +38,31 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """All entries of a manifest, None before the first append."""
+    return spark.read.parquet(path).drop("entry") if artifacts.exists(spark, path) else None
+
+
 def append_manifest(spark: SparkSession, entries: DataFrame, path: str, seen: str | None = None) -> str:
-    """Append entries and return the manifest's version. With `seen`, a manifest that has changed since that version is an error."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    if seen is not None and (content_version(spark.read.parquet(path)) if there else "") != seen:
-        raise ValueError(f"{path} was changed by another writer")
-    entries.write.mode("append").parquet(path)
-    return content_version(spark.read.parquet(path))
+    """Append entries and return the manifest's version. With `seen`, a manifest that has changed since that version is an error.
+
+    An append is a numbered folder that appears by a rename, so of two racing writers one gets the number; the other takes the next,
+    or where it gave `seen`, fails. Versions are chained digests of the appends, so none is read again but for its card.
+    """
+    place, system = artifacts._hadoop(spark, path)
+    system.mkdirs(place)
+    while True:
+        names = sorted(s.getPath().getName() for s in system.listStatus(place) if s.getPath().getName().startswith("entry="))
+        version = artifacts.read_card(spark, f"{path}/{names[-1]}")["metadata"]["version"] if names else ""
+        if seen is not None and version != seen:
+            raise ValueError(f"{path} was changed by another writer")
+        mine = hashlib.sha256(f"{version}|{digests.content_digest(entries)}".encode()).hexdigest()[:16]
+        number = int(names[-1].partition("=")[2]) + 1 if names else 0
+        try:
+            if artifacts.publish_table(entries, f"{path}/entry={number:08d}", {"version": mine})[1]:
+                return mine
+        except ValueError:
+            pass  # the number went to another writer
 
 
 def new_payloads(payloads: DataFrame, manifest: DataFrame) -> DataFrame:
