@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.functions.core import parsed_value, usable_flags, value_status
+from hydrolith.functions.core import first_of, parsed_value, usable_flags, value_status
 
 
 def signature(raw: str = "value_raw") -> Column:
@@ -32,13 +32,18 @@ def resolve(rows: DataFrame, key: list[str], order: list[str], raw: str = "value
     return out.withColumn("usable", F.col("value").isNotNull() & usable_flags(F.col("quality_flags")))
 
 
-def observations(quality: DataFrame, key: list[str]) -> DataFrame:
+#: Columns on which all captures of a key have to agree.
+AGREED = ("site_id", "unit", "local_us", "sensor_type")
+
+
+def observations(quality: DataFrame, key: list[str], agreed: tuple[str, ...] = AGREED) -> DataFrame:
     """One canonical row for each key of the quality rows that no reason excludes.
 
     quality: the key, batch, row, field, dataset, sha, retrieved_us, value_raw, parsed_value, parse_status, quality_flags,
     excluded and further columns, which come from the earliest capture. Flags are the union over all captures; a conflict
     has no value and lists the signatures that differ; provenance lists the captures in order. A key's captures, as many as
-    it was captured, are one array; nothing else is gathered.
+    it was captured, are one array; nothing else is gathered. Captures of a key that disagree on a column of `agreed`
+    that there is are an error that names the key and the column: no row of such a table is given.
     """
     order = ["retrieved_us", "batch", "row", "field"]
     rows = quality.where("excluded is null").withColumn("value_signature", signature("value_raw"))
@@ -49,7 +54,10 @@ def observations(quality: DataFrame, key: list[str]) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("quality_flags")))).alias("flags"),
         F.array_sort(F.collect_set("dataset")).alias("datasets"),
         F.array_sort(F.collect_list(F.struct(*order, "sha", "dataset", "value_signature"))).alias("provenance"),
+        first_of(*[(F.count_distinct(F.struct(c)) > 1, c) for c in agreed if c in quality.columns] or [(F.lit(False), "")]).alias("disagrees"),
     )
+    named = F.concat(F.lit("canonical key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in key]), F.lit(": captures disagree on "), F.col("disagrees"))
+    g = g.withColumn("rep", F.when(F.col("disagrees").isNull(), F.col("rep")).otherwise(F.raise_error(named)))
     n, conflict = F.size("provenance"), F.size("signatures") > 1
     status = F.when(conflict, "CONFLICT").when(n > 1, "IDENTICAL").otherwise("UNIQUE")
     added = F.when(conflict, F.array(F.lit("DUPLICATE_CONFLICT"))).when(n > 1, F.array(F.lit("DUPLICATE_IDENTICAL"))).otherwise(F.array().cast("array<string>"))

@@ -42,17 +42,43 @@ def capture_windows(rows: DataFrame, cadence: int, max_gap_minutes: int) -> Data
     return out.select("sensor", "t", F.col("window").cast("bigint").alias("window"), boundary.alias("boundary"))
 
 
-def window_slots(windowed: DataFrame, states: DataFrame, cadence: int) -> DataFrame:
-    """(sensor, window, t, state) of each expected slot of each window; ABSENT_SLOT where states (sensor, t, state) has none.
+def window_facts(windowed: DataFrame, rows: DataFrame, cadence: int, listed: DataFrame | None = None) -> DataFrame:
+    """Per (sensor, window): start, end, source rows, usable ones, rows off the cadence's grid, listing-only instants within, and cadence_status.
 
-    A window is cut into days before it is exploded, so no task makes a long one whole.
+    windowed: capture_windows of rows (sensor, t, usable, ...). listed: instants (sensor, t) that only listings captured. A window with a row
+    off the grid is CADENCE_OFF_GRID: no slots, runs or coverage are derived for it.
+    """
+    own = windowed.select("sensor", "t", "window").join(rows.select("sensor", "t", "usable"), ["sensor", "t"])
+    g = own.groupBy("sensor", "window").agg(
+        F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("source_rows"), F.count_if("usable").alias("source_usable"), F.count_if(F.pmod("t", F.lit(cadence * MINUTE)) != 0).alias("off_grid_rows"),
+    )
+    if listed is not None:
+        # a window is met by the days that it spans, so its instants are found by an equality
+        day = lambda c: F.floor(c / (1440 * MINUTE))
+        days = g.select("sensor", "window", "start_us", "end_us", F.explode(F.sequence(day(F.col("start_us")), day(F.col("end_us")))).alias("_day"))
+        met = days.join(listed.select("sensor", "t", day(F.col("t")).alias("_day")).distinct(), ["sensor", "_day"]).where("t between start_us and end_us")
+        g = g.join(met.groupBy("sensor", "window").agg(F.count("*").alias("listing_only_rows")), ["sensor", "window"], "left")
+    count = F.coalesce(F.col("listing_only_rows"), F.lit(0)) if listed is not None else F.lit(0)
+    status = F.when(F.col("off_grid_rows") > 0, "CADENCE_OFF_GRID").otherwise("CADENCE_VERIFIED")
+    return g.withColumn("listing_only_rows", count.cast("bigint")).withColumn("cadence_status", status)
+
+
+def window_slots(windowed: DataFrame, states: DataFrame, cadence: int, listed: DataFrame | None = None) -> DataFrame:
+    """(sensor, window, t, state) of each expected slot of each window on the grid; where states (sensor, t, state) has none, LISTING_ONLY_SLOT for an instant of `listed`, else ABSENT_SLOT.
+
+    A window is cut into days before it is exploded, so no task makes a long one whole. Windows with a row off the grid have no slots.
     """
-    span = windowed.groupBy("sensor", "window").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     day, step = 1440 * MINUTE, cadence * MINUTE
+    span = windowed.groupBy("sensor", "window").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max(F.pmod("t", F.lit(step))).alias("_off")).where("_off = 0").drop("_off")
     days = span.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("b") - F.col("a")) / day))).alias("d")).repartition("sensor", "window", "d")
     first = F.col("a") + F.col("d") * day
     slots = days.select("sensor", "window", F.explode(F.sequence(first, F.least(F.col("b"), first + day - step), F.lit(step))).alias("t"))
-    return slots.join(states.select("sensor", "t", "state"), ["sensor", "t"], "left").select("sensor", "window", "t", F.coalesce("state", F.lit("ABSENT_SLOT")).alias("state"))
+    met = slots.join(states.select("sensor", "t", "state"), ["sensor", "t"], "left")
+    state = [F.col("state"), F.lit("ABSENT_SLOT")]
+    if listed is not None:
+        met = met.join(listed.select("sensor", "t", F.lit("LISTING_ONLY_SLOT").alias("_listed")).distinct(), ["sensor", "t"], "left")
+        state.insert(1, F.col("_listed"))
+    return met.select("sensor", "window", "t", F.coalesce(*state).alias("state"))
 
 
 def window_summary(slots: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -71,20 +97,23 @@ def network_coverage(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count_distinct("sensor").alias("sensors"), F.sum("expected").alias("expected"), F.sum("usable").alias("usable"), percent_of(F.sum("usable"), F.sum("expected")).alias("coverage_pct"))
 
 
-def slot_runs(rows: DataFrame, cadence: int, max_gap_minutes: int) -> DataFrame:
+def slot_runs(rows: DataFrame, cadence: int, max_gap_minutes: int, on_grid: bool = True) -> DataFrame:
     """Maximal runs of usable or missing slots of each window of captured rows (sensor, t, batch, usable): OBSERVED or MISSING, length, edges.
 
     Windows are those of capture_windows, run counts from 0 in each. Slots without a row are missing; those between two
-    rows are one gap, so a long window is not made slot by slot.
+    rows are one gap, so a long window is not made slot by slot. With on_grid=False, windows with a row off the cadence's
+    grid, which have no slots, are found and left out; else rows are taken to lie on it.
     """
     step = cadence * MINUTE
     bounds = lambda a, b: a.isNotNull() & (b["new"] | (b["t"] - a["upto"] > max_gap_minutes * MINUTE))
     opens = lambda a, b: a.isNull() | bounds(a, b)
     found = blocks.runs(
         _captured(rows, cadence, ["usable"]), ["sensor"], F.col(blocks.BLOCK), ["t", "usable", "new"], lambda a, b: ~bounds(a, b) & (a["usable"] == b["usable"]),
-        {"slots": ("sum", lambda s: s["slots"])}, {"run": lambda a, b: F.lit(True), "window": bounds},
+        {"slots": ("sum", lambda s: s["slots"]), "off": ("max", lambda s: F.pmod(s["t"], F.lit(step)))}, {"run": lambda a, b: F.lit(True), "window": bounds},
         fill=(lambda a, b: ~bounds(a, b), step, {"usable": F.lit(False), "new": F.lit(False)}), since=("run", opens),
     )
+    if not on_grid:
+        found = found.withColumn("_off", F.max("off").over(Window.partitionBy("sensor", "window"))).where("_off = 0")
     return found.select(
         "sensor", "window", (F.col("run") - F.col("since")).alias("run"), F.when(F.col("first.usable"), "OBSERVED").otherwise("MISSING").alias("state"), F.col("first.t").alias("start_us"), F.col("last.upto").alias("end_us"), "slots",
         ((F.col("slots") - 1) * cadence).alias("first_to_last_minutes"), (F.col("slots") * cadence).alias("slot_minutes"),

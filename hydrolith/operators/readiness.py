@@ -112,14 +112,33 @@ def rule_label(triggers: list[tuple[Column, float]]) -> Column:
     return F.when(known, hit.cast("int"))
 
 
+def rule_score(triggers: list[tuple[Column, float]]) -> Column:
+    """The rule's label as a score, 0.0 or 1.0; null if none of its values is known."""
+    return rule_label(triggers).cast("double")
+
+
+def frozen_threshold(rows: DataFrame, chosen: DataFrame, by: list[str], score: str) -> DataFrame:
+    """rows with `predicted` by the threshold that was chosen on validation rows (by, threshold): 1 from it on, null without one or a score.
+
+    chosen has one row for each key; nothing of rows changes it.
+    """
+    return rows.join(chosen.select(*by, F.col("threshold").alias("_cut")), by, "left").withColumn("predicted", (F.col(score) >= F.col("_cut")).cast("int")).drop("_cut")
+
+
 def fit_scalers(train: DataFrame, station: str, value: str) -> DataFrame:
     """(station, mean, std) of the training rows; a constant series has the deviation 1."""
     g = train.where(F.col(value).isNotNull()).groupBy(station).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     return g.withColumn("std", F.when(F.col("std") > 0, F.col("std")).otherwise(1.0))
 
 
-def scale(rows: DataFrame, scalers: DataFrame, station: str, value: str, inverse: bool = False) -> DataFrame:
-    """rows with `scaled` (or, inverse, with values in their unit again); null for a station that the training rows lack."""
+def scale(rows: DataFrame, scalers: DataFrame, station: str, value: str, inverse: bool = False, unseen: str = "null") -> DataFrame:
+    """rows with `scaled` (or, inverse, with values in their unit again). A station that the training rows lack gives null, or with unseen="refuse" an error that names it."""
+    if unseen == "refuse":
+        named = F.concat(F.lit("no scaler for station "), F.coalesce(F.col(station).cast("string"), F.lit("null")))
+        scalers = scalers.withColumn("_there", F.lit(True))
+        rows = rows.join(scalers, station, "left").withColumn("mean", F.when(F.col("_there"), F.col("mean")).otherwise(F.raise_error(named))).drop("_there")
+        x = F.col(value) * F.col("std") + F.col("mean") if inverse else (F.col(value) - F.col("mean")) / F.col("std")
+        return rows.withColumn("scaled", round6(x)).drop("mean", "std")
     x = F.col(value) * F.col("std") + F.col("mean") if inverse else (F.col(value) - F.col("mean")) / F.col("std")
     return rows.join(scalers, station, "left").withColumn("scaled", round6(x)).drop("mean", "std")
 

@@ -36,7 +36,8 @@ def record_fields(records: DataFrame, policies: DataFrame) -> DataFrame:
     """One row for each field to validate: the primary value, every threshold, and other source fields that a policy names.
 
     records: value_field, value_raw, thresholds and source_fields (maps of texts), unit, source, dataset and further columns,
-    which are kept. Fields are exploded in place; only the table of policies is joined.
+    which are kept; a column threshold_temporal_scope is that of the thresholds alone. Fields are exploded in place; only the
+    table of policies is joined.
     """
     field = lambda name, role, value, unit: F.struct(name.alias("field"), F.lit(role).alias("role"), value.alias("value_raw_of"), unit.alias("record_unit"))
     none = F.lit(None).cast("string")
@@ -46,6 +47,8 @@ def record_fields(records: DataFrame, policies: DataFrame) -> DataFrame:
     fields = F.concat(F.array(field(F.col("value_field"), "PRIMARY_VALUE", F.col("value_raw"), F.col("unit"))), of(F.map_entries("thresholds"), "THRESHOLD"), of(others, "SOURCE_FIELD"))
     kept = [c for c in records.columns if c not in ("value_field", "value_raw", "thresholds", "source_fields", "unit")]
     rows = records.select(*kept, F.explode(fields).alias("f")).select(*kept, "f.field", "f.role", F.col("f.value_raw_of").alias("value_raw"), "f.record_unit")
+    if "threshold_temporal_scope" in kept:
+        rows = rows.withColumn("threshold_temporal_scope", F.when(F.col("role") == "THRESHOLD", F.col("threshold_temporal_scope")))
     matched = with_policy(rows, policies)
     return matched.where((F.col("role") != "SOURCE_FIELD") | F.col("policy").isNotNull())
 
@@ -64,7 +67,7 @@ def with_policy(rows: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def validate_units(fields: DataFrame) -> DataFrame:
-    """fields (with policy) with value_parse_status, parsed_value, label_unit, measurement_type, canonical_unit, unit_status and reason.
+    """fields (with policy) with value_parse_status, parsed_value, label_unit, measurement_type, canonical_unit, unit_provenance, semantics_status, unit_status and reason.
 
     The first failing step decides: semantics, sensor type, a unit in the label, the label's unit, the record's unit. A value
     is parsed only where the unit is valid and the text a number, so an unverified field never leaks as one.
@@ -83,19 +86,25 @@ def validate_units(fields: DataFrame) -> DataFrame:
         .when(wrong(record), F.when(known(record), "UNIT_MISMATCH").otherwise("UNKNOWN_UNIT"))
         .otherwise("VALID")
     )
+    quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
+    said = lambda what, unit: F.concat(F.lit(f"{what} "), quoted(unit), F.when(known(unit), F.concat(F.lit(" is not "), quoted(p["canonical_unit"]))).otherwise(" is not an accepted unit"))
+    # fixed values: the texts of reasons
     reason = (
         F.when(p.isNull(), "field not in the unit policy")
         .when(~promoted, F.concat(F.lit("excluded: "), p["excluded_reason"]))
-        .when(F.col("unit_status") == "SENSOR_TYPE_MISMATCH", F.concat(F.lit("expects sensor "), F.coalesce(p["expected_sensor"], F.lit("none"))))
+        .when(F.col("unit_status") == "SENSOR_TYPE_MISMATCH", F.concat(p["measurement_type"], F.lit(" expects sensor "), F.coalesce(p["expected_sensor"], F.lit("None")), F.lit(", record has "), F.coalesce("sensor_type", F.lit("None"))))
         .when(F.col("unit_status") == "MISSING_UNIT", "field label carries no unit")
-        .when(F.col("unit_status") != "VALID", F.concat(F.when(wrong(F.col("label_unit")), "label unit ").otherwise("raw record unit "), F.coalesce(F.when(wrong(F.col("label_unit")), F.col("label_unit")).otherwise(record), F.lit(""))))
+        .when(F.col("unit_status") != "VALID", F.when(wrong(F.col("label_unit")), said("label unit", F.col("label_unit"))).otherwise(said("raw record unit", record)))
     )
+    provenance = F.when(promoted, F.when(p["unit_in_label"], "IN_PAYLOAD").otherwise("OFFICIAL_UI_OR_DOCS"))
     valid = F.col("unit_status") == "VALID"
     rows = fields.withColumn("label_unit", label).withColumn("value_parse_status", value_status(F.col("value_raw"))).withColumn("unit_status", status)
     return rows.select(
         "*",
         F.when(valid, parsed_value(F.col("value_raw"))).alias("parsed_value"),
         *[F.when(promoted, p[c]).alias(c) for c in ("measurement_type", "canonical_unit", "threshold_category")],
+        provenance.alias("unit_provenance"),
+        F.when(promoted, "VERIFIED").otherwise("UNVERIFIED").alias("semantics_status"),
         reason.alias("reason"),
     ).drop("policy")
 

@@ -75,9 +75,14 @@ def longest_runs(spark, sf_dir):
     return missingness.longest_run(missingness.slot_runs(captured(spark, sf_dir), HOUR, GAP), ["sensor", "state"])
 
 
-@_query(CAPTURED + f"SELECT sensor, (t + {480 * US}) // {1440 * US} AS day, count(DISTINCT t) AS slots FROM st GROUP BY 1, 2 HAVING count(DISTINCT t) >= 16")
+#: Windows that bridge a day without captures, so that days are whole.
+BRIDGED = CAPTURED.replace(f"+ {HOUR * US}, false)::INT AS new", f"+ {24 * HOUR * US}, false)::INT AS new").replace(f"t - p > {GAP * US}", f"t - p > {24 * HOUR * US}")
+
+
+@_query(BRIDGED + f"SELECT sensor, (t + {480 * US}) // {1440 * US} AS day, count(DISTINCT t) AS slots FROM st GROUP BY 1, 2 HAVING count(DISTINCT t) >= 24")
 def full_local_days(spark, sf_dir):
-    return missingness.full_days(slots(spark, sf_dir), 480, 16)
+    rows = captured(spark, sf_dir)
+    return missingness.full_days(missingness.window_slots(missingness.capture_windows(rows, 24 * HOUR, 24 * HOUR), rows, HOUR), 480, 24)
 
 
 @_query(CAPTURED + "SELECT state, count(*) AS n FROM cap WHERE value > 150 GROUP BY 1")
@@ -195,3 +200,30 @@ def persistence_scores(spark, sf_dir):
 @_query(f"""SELECT horizon, sum(n)::BIGINT AS n, round(sum(n * mae) / sum(n), 6) AS mae, round(avg(rmse), 6) AS mean_station_rmse FROM (SELECT h AS horizon, a.sensor, count(*) AS n, avg(abs(a.value - b.value)) AS mae, sqrt(avg((a.value - b.value) * (a.value - b.value))) AS rmse FROM obs a, (VALUES (60), (120)) v(h), obs b WHERE a.usable AND b.usable AND b.sensor = a.sensor AND b.t = a.t + h * {US}::BIGINT GROUP BY 1, 2) GROUP BY 1""")
 def persistence_overall(spark, sf_dir):
     return statistics.overall_errors(statistics.persistence_pairs(observations(spark, sf_dir), (60, 120)), ["horizon"], "sensor")
+
+
+_SHIFTED = BRIDGED.replace("SELECT sensor, t, value", f"SELECT sensor, t + CASE WHEN sensor = 'view' AND (t // {HOUR * US}) % 97 = 5 THEN {7 * US} ELSE 0 END AS t, value").replace(f"t // {6 * HOUR * US} AS b", f"t // {6 * HOUR * US} AS b, t AS slot", 1)
+
+
+def shifted(spark, sf_dir):
+    """Captured rows of which some lie off the grid, and the instants that only listings have: those of the captures that were left out, every fourth hour."""
+    o, hour = observations(spark, sf_dir), F.col("t") / (HOUR * US)
+    rows = captured(spark, sf_dir).withColumn("t", F.col("t") + F.when((F.col("sensor") == "view") & (hour % 97 == 5), 7 * US).otherwise(0))
+    return rows, o.where(F.floor(F.col("t") / (6 * HOUR * US)) % 5 == 2).where(hour % 4 == 1).select("sensor", "t")
+
+
+_LISTED = f""", li AS (SELECT sensor, t FROM obs WHERE (t // {6 * HOUR * US}) % 5 = 2 AND (t // {HOUR * US}) % 4 = 1),
+wf AS (SELECT sensor, win, min(t) AS start_us, max(t) AS end_us, count(*) AS source_rows, count(*) FILTER (usable) AS source_usable, count(*) FILTER (t % {HOUR * US} <> 0) AS off_grid_rows FROM c3 GROUP BY 1, 2)
+"""
+
+
+@_query(_SHIFTED + _LISTED + """SELECT sensor, win AS "window", start_us, end_us, source_rows, source_usable, off_grid_rows, (SELECT count(*) FROM li WHERE li.sensor = wf.sensor AND li.t BETWEEN start_us AND end_us) AS listing_only_rows, CASE WHEN off_grid_rows > 0 THEN 'CADENCE_OFF_GRID' ELSE 'CADENCE_VERIFIED' END AS cadence_status FROM wf""")
+def window_facts(spark, sf_dir):
+    rows, listed = shifted(spark, sf_dir)
+    return missingness.window_facts(missingness.capture_windows(rows, 24 * HOUR, 24 * HOUR), rows, HOUR, listed)
+
+
+@_query(_SHIFTED + _LISTED + f"""SELECT sl.sensor, sl.win AS "window", sl.t, coalesce(c.state, CASE WHEN li.t IS NOT NULL THEN 'LISTING_ONLY_SLOT' ELSE 'ABSENT_SLOT' END) AS state FROM (SELECT wf.sensor, wf.win, g.t FROM wf, LATERAL (SELECT unnest(generate_series(start_us, end_us, {HOUR * US})) AS t) g WHERE off_grid_rows = 0) sl LEFT JOIN cap c ON c.sensor = sl.sensor AND c.t = sl.t LEFT JOIN li ON li.sensor = sl.sensor AND li.t = sl.t""")
+def listing_only_slots(spark, sf_dir):
+    rows, listed = shifted(spark, sf_dir)
+    return missingness.window_slots(missingness.capture_windows(rows, 24 * HOUR, 24 * HOUR), rows, HOUR, listed)

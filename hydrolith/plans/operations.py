@@ -165,11 +165,11 @@ def model_families(spark, sf_dir):
     return registry.families(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("model_family")))
 
 
-@_query("""SELECT event_id, 'Warn ' || event_id AS title, event_id % 3 = 0 AS early, event_id % 4 = 0 AS matches FROM events WHERE event_id < 2000""")
+@_query("""SELECT event_id, 'Warn ' || event_id AS title, event_id % 3 = 0 AS early, event_id % 4 = 0 AS matches FROM events""")
 def weather_warnings(spark, sf_dir):
     n = F.col("event_id").cast("string")
     body = F.concat(F.lit('[{"warning_issue":{"issued":"2024-01-02T10:00:00","title_en":"Warn '), n, F.lit('"},"valid_from":"'), F.when(F.col("event_id") % 3 == 0, "2024-01-02T09:00:00").otherwise("2024-01-02T11:00:00"), F.lit('","text_en":"over '), F.when(F.col("event_id") % 4 == 0, "PULAU Pinang").otherwise("Kedah"), F.lit('"}]'))
-    e = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", body.alias("body"))
+    e = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     return feeds.warnings(e, "body", "pulau pinang|penang").select("event_id", "title", "early", "matches")
 
 

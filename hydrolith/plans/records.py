@@ -50,19 +50,25 @@ t AS (SELECT *, CASE WHEN p <> 'ok' THEN 'UNKNOWN_MEASUREMENT_SEMANTICS' WHEN ra
 SELECT event_id, field, role, unit_status, CASE WHEN raw = '-9999.0' THEN 'SOURCE_MARKER' WHEN trim(raw) = '' THEN 'EMPTY' WHEN raw = '1,2' THEN 'NON_NUMERIC' ELSE 'NUMERIC' END AS value_parse_status,
   CASE WHEN unit_status = 'VALID' AND raw <> '-9999.0' THEN try_cast(raw AS DOUBLE) END AS parsed_value,
   CASE WHEN p = 'ok' THEN CASE WHEN rain THEN 'RAINFALL_INTERVAL' WHEN field = 'Aras' THEN 'WATER_LEVEL' ELSE 'WATER_LEVEL_THRESHOLD' END END AS measurement_type, CASE WHEN p = 'ok' AND field = 'Waspada' THEN 'WASPADA' END AS threshold_category,
-  CASE WHEN p = 'none' THEN 'field not in the unit policy' WHEN p = 'excluded' THEN 'excluded: free text' WHEN unit_status = 'SENSOR_TYPE_MISMATCH' THEN 'expects sensor ' || CASE WHEN rain THEN 'rainfall' ELSE 'water_level' END
-    WHEN unit_status = 'MISSING_UNIT' THEN 'field label carries no unit' WHEN unit_status <> 'VALID' THEN CASE WHEN rain AND lu <> 'mm' THEN 'label unit ' || lu ELSE 'raw record unit ' || CASE WHEN unit = 'mm' THEN ' mm ' ELSE unit END END END AS reason
+  CASE WHEN p = 'none' THEN 'field not in the unit policy' WHEN p = 'excluded' THEN 'excluded: free text' WHEN unit_status = 'SENSOR_TYPE_MISMATCH' THEN CASE WHEN rain THEN 'RAINFALL_INTERVAL expects sensor rainfall' WHEN field = 'Aras' THEN 'WATER_LEVEL expects sensor water_level' ELSE 'WATER_LEVEL_THRESHOLD expects sensor water_level' END || ', record has ' || st
+    WHEN unit_status = 'MISSING_UNIT' THEN 'field label carries no unit' WHEN unit_status <> 'VALID' THEN CASE WHEN rain AND lu <> 'mm' THEN 'label unit ''' || lu ELSE 'raw record unit ''' || CASE WHEN unit = 'mm' THEN ' mm ' ELSE unit END END || CASE WHEN unit_status = 'UNKNOWN_UNIT' THEN ''' is not an accepted unit' ELSE ''' is not ''' || CASE WHEN rain THEN 'mm' ELSE 'm' END || '''' END END AS reason,
+  CASE WHEN p = 'ok' THEN CASE WHEN rain THEN 'IN_PAYLOAD' ELSE 'OFFICIAL_UI_OR_DOCS' END END AS unit_provenance, CASE WHEN p = 'ok' THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS semantics_status, CASE WHEN role = 'THRESHOLD' THEN 'CURRENT' END AS threshold_temporal_scope
 FROM t""")
 def unit_validation(spark, sf_dir):
-    fields = units.record_fields(raw_records(spark, sf_dir), units.policy_table(spark, POLICIES))
-    return units.validate_units(fields).select("event_id", "field", "role", "unit_status", "value_parse_status", "parsed_value", "measurement_type", "threshold_category", "reason")
+    fields = units.record_fields(raw_records(spark, sf_dir).withColumn("threshold_temporal_scope", F.lit("CURRENT")), units.policy_table(spark, POLICIES))
+    return units.validate_units(fields).select("event_id", "field", "role", "unit_status", "value_parse_status", "parsed_value", "measurement_type", "threshold_category", "reason", "unit_provenance", "semantics_status", "threshold_temporal_scope")
 
 
-@_query("""SELECT * FROM (VALUES ('a', 'x', 'f', 'REPEATED_FIELD'), ('a', 'x', 'g', 'UNKNOWN_UNIT'), ('a', 'x', 'h', 'NO_MEASUREMENT_TYPE'), ('a', 'y', 'f', 'EXCLUDED_WITH_TYPE')) v(source, dataset, field, problem)""")
+@_query("""WITH p AS (SELECT 'jps' AS source, p_brand AS dataset, p_type || ' ' || p_size % 5 AS field, CASE WHEN p_partkey % 7 <> 3 THEN 'WATER_LEVEL' END AS mt, CASE p_partkey % 4 WHEN 0 THEN 'ft' WHEN 1 THEN 'mm' ELSE 'm' END AS unit, p_partkey % 9 = 2 AS ex FROM part)
+SELECT source, dataset, field, 'REPEATED_FIELD' AS problem FROM p GROUP BY 1, 2, 3 HAVING count(*) > 1
+UNION ALL SELECT source, dataset, field, CASE WHEN NOT ex AND mt IS NULL THEN 'NO_MEASUREMENT_TYPE' WHEN NOT ex AND unit = 'ft' THEN 'UNKNOWN_UNIT' ELSE 'EXCLUDED_WITH_TYPE' END FROM p WHERE (NOT ex AND (mt IS NULL OR unit = 'ft')) OR (ex AND mt IS NOT NULL)""")
 def policy_registry(spark, sf_dir):
-    good = ("a", "x", "f", "WATER_LEVEL", "m", False, "water_level", None, None)
-    bad = [("a", "x", "g", "WATER_LEVEL", "ft", False, None, None, None), ("a", "x", "h", None, "m", False, None, None, None), ("a", "y", "f", "WATER_LEVEL", None, None, None, None, "why")]
-    return units.policy_problems(units.policy_table(spark, [good, good, *bad]))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    policies = table(spark, sf_dir, "part").select(
+        F.lit("jps").alias("source"), F.col("p_brand").alias("dataset"), F.concat_ws(" ", "p_type", (size % 5).cast("string")).alias("field"), F.when(key % 7 != 3, "WATER_LEVEL").alias("measurement_type"),
+        F.when(key % 4 == 0, "ft").when(key % 4 == 1, "mm").otherwise("m").alias("canonical_unit"), F.when(key % 9 == 2, "why").alias("excluded_reason"),
+    )
+    return units.policy_problems(policies)
 
 
 @_query("""SELECT c_custkey, round(try_cast(nullif(trim(x), '') AS DOUBLE), 6) AS lon, round(try_cast(nullif(trim(y), '') AS DOUBLE), 6) AS lat
