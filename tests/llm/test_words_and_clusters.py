@@ -213,3 +213,18 @@ def test_spelling_query_by_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.op12_spelling_variants(spark, sf).collect()} == words_by_force(rows)
+
+
+@pytest.mark.parametrize("dims", [3, 4, 8, 64])
+def test_no_embedding_link_is_lost(spark, dims):
+    from hydrolith.llm import embed_dedup
+
+    rng = np.random.default_rng(dims)
+    spread = np.linspace(1, 0.2, 64) if dims == 64 else np.ones(64)  # all components, some wider; or near a subspace
+    x = rng.normal(size=(1500, dims)) @ rng.normal(size=(dims, 64)) * spread + 0.01 * rng.normal(size=(1500, 64))
+    x = np.concatenate([x, x[:200] + 0.1 * rng.normal(size=(200, 64)) * np.linalg.norm(x[:200], axis=1, keepdims=True) / 8])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    table = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_components(table, cell_rows=57).collect()}
+    assert near.sum() > len(x) and [got[k] for k in range(len(x))] == (near.sum(axis=1) - 1).tolist()
