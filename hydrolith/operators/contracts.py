@@ -89,6 +89,14 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def require_unique(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows, if no key occurs twice; else an error that names the first five keys that do."""
+    again = repeated_keys(rows, key).orderBy(*key).limit(5).collect()
+    if again:
+        raise ValueError(f"repeated {', '.join(key)}: " + "; ".join(str(tuple(r[k] for k in key)) for r in again))
+    return rows
+
+
 def disorder(rows: DataFrame, series: list[str], order: str, key: str, block: int = 4096) -> DataFrame:
     """Per series: rows whose key is not above that of the row before, in the order of a row number, and repeated keys.
 

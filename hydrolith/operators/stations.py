@@ -9,19 +9,35 @@ from hydrolith.functions.core import MINUTE
 from hydrolith.operators.joins import as_of, complete_lags
 
 
+def contained(needles: DataFrame, haystacks: DataFrame, grams: int = 3) -> DataFrame:
+    """(needle, hay) of each two texts of needles (text) and haystacks (text) where hay holds needle; both distinct, empty and null texts match nothing.
+
+    Haystacks are indexed by their runs of up to `grams` characters. A needle is looked up by the rarest of its own runs, of
+    full length where it is long enough, so only haystacks with that run are compared, and each pair is met once; a needle with a
+    run that no haystack has is dropped at once. No pair of texts is made that shares no run.
+    """
+    runs = lambda lengths: F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n)))))
+    some = lambda df: df.select("text").where("text <> ''").distinct()
+    full = F.least(F.lit(grams), F.length("text"))
+    index = some(haystacks).select(F.col("text").alias("hay"), F.explode(runs(F.sequence(F.lit(1), full))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = some(needles).select(F.col("text").alias("needle"), F.explode(runs(F.array(full))).alias("gram"))
+    rarest = asked.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+    return rarest.select("needle", "r.gram").join(index, "gram").where(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
+
+
 def forecast_by_place(origins: DataFrame, forecasts: DataFrame, carry: list[str]) -> DataFrame:
     """origins (place, day, at, ...) with `carry` of a forecast (place, day, retrieved, ...) and whether its place matched.
 
     Counts: the latest forecast for the same day, retrieved at or before the origin, whose lower-cased place holds the
     origin's or is held by it; without one, the latest of any place. Places are matched as distinct names, then both
-    look-ups are as-of joins on equal keys, cut into hours. Distinct names are few beside rows. A null or empty place matches none.
+    look-ups are as-of joins on equal keys, cut into hours. Distinct names are few beside rows, and matched by rare runs of letters, see contained. A null or empty place matches none.
     """
     name = lambda c: F.lower(F.trim(c))
     left = origins.withColumn("_place", name(F.col("place")))
     right = forecasts.select(name(F.col("place")).alias("_theirs"), "day", F.col("retrieved").alias("_at"), *carry)
-    ours = left.select(F.col("_place").alias("_ours")).where("_ours <> ''").distinct()
-    theirs = right.select(F.col("_theirs").alias("_name")).where("_name <> ''").distinct()
-    match = ours.join(theirs, F.col("_ours").contains(F.col("_name")) | F.col("_name").contains(F.col("_ours")))
+    ours, theirs = left.select(F.col("_place").alias("text")), right.select(F.col("_theirs").alias("text"))
+    match = contained(ours, theirs).toDF("_ours", "_name").union(contained(theirs, ours).select("hay", "needle")).distinct()
     near = right.join(match, F.col("_theirs") == F.col("_name")).select(F.col("_ours").alias("_place"), "day", "_at", F.struct(*carry).alias("_near"))
     got = as_of(as_of(left, near, ["_place", "day"], "at", "_at", ["_near"], 60), right.select("day", "_at", F.struct(*carry).alias("_any")), ["day"], "at", "_at", ["_any"], 60)
     found = F.coalesce("_near", "_any")

@@ -34,9 +34,8 @@ def at_lag(value: Column, minutes: int) -> Column:
     return F.max(F.when(F.col("usable"), value)).over(w)
 
 
-def rolling(series: DataFrame, windows: tuple[int, ...], cadence: int, least: float = 0.8, wet: float = 0.0, prefix: str = "rf_roll") -> DataFrame:
-    """Usable rows with sum, max, wet count, coverage and wet flag of each window, null where coverage is under `least`."""
-    cut = in_blocks(series, max(windows))
+def rolling_columns(windows: tuple[int, ...], cadence: int, least: float = 0.8, wet: float = 0.0, prefix: str = "rf_roll", kinds: tuple[str, ...] = ("sum", "max", "wet_count", "coverage", "is_wet")) -> dict[str, Column]:
+    """Columns over a block's rows: sum, max, wet count, coverage and wet flag of each window, null where coverage is under `least`."""
     value = F.when(F.col("usable"), F.col("value"))
     out: dict[str, Column] = {}
     for m in windows:
@@ -45,13 +44,15 @@ def rolling(series: DataFrame, windows: tuple[int, ...], cadence: int, least: fl
         cover = F.round(n / float(m // cadence), 6)
         gate = (cover >= least) & (n > 0)
         total = F.sum(value).over(w)
-        name = f"{prefix}_{m}m"
-        out[f"{name}_sum"] = F.when(gate, round6(total))
-        out[f"{name}_max"] = F.when(gate, round6(F.max(value).over(w)))
-        out[f"{name}_wet_count"] = F.when(gate, F.count(F.when(value > wet, 1)).over(w))
-        out[f"{name}_coverage"] = cover
-        out[f"{name}_is_wet"] = F.when(gate, (round6(total) > wet).cast("int"))
-    return cut.withColumns(out).where("own and usable").drop("block", "own")
+        made = {"sum": F.when(gate, round6(total)), "max": F.when(gate, round6(F.max(value).over(w))), "wet_count": F.when(gate, F.count(F.when(value > wet, 1)).over(w)), "coverage": cover, "is_wet": F.when(gate, (round6(total) > wet).cast("int"))}
+        out |= {f"{prefix}_{m}m_{k}": made[k] for k in kinds}
+    return out
+
+
+def rolling(series: DataFrame, windows: tuple[int, ...], cadence: int, least: float = 0.8, wet: float = 0.0, prefix: str = "rf_roll") -> DataFrame:
+    """Usable rows with sum, max, wet count, coverage and wet flag of each window, null where coverage is under `least`."""
+    cut = in_blocks(series, max(windows))
+    return cut.withColumns(rolling_columns(windows, cadence, least, wet, prefix)).where("own and usable").drop("block", "own")
 
 
 def lags(series: DataFrame, minutes: tuple[int, ...], prefix: str = "rf_lag") -> DataFrame:
@@ -69,6 +70,11 @@ def minutes_since(series: DataFrame, above: float, name: str = "rf_minutes_since
 
 def level_changes(series: DataFrame, windows: tuple[int, ...], cadence: int, least: float = 0.8, tolerance: float = 0.01) -> DataFrame:
     """Usable rows with exact delta, rate per hour, gated min, max, mean, range, coverage and trend of each window."""
+    return in_blocks(series, max(windows)).withColumns(level_columns(windows, cadence, least, tolerance)).where("own and usable").drop("block", "own")
+
+
+def level_columns(windows: tuple[int, ...], cadence: int, least: float = 0.8, tolerance: float = 0.01) -> dict[str, Column]:
+    """Columns over a block's rows: see level_changes."""
     value = F.when(F.col("usable"), F.col("value"))
     out: dict[str, Column] = {}
     for m in windows:
@@ -88,7 +94,7 @@ def level_changes(series: DataFrame, windows: tuple[int, ...], cadence: int, lea
         out[f"wl_range_{m}m"] = F.when(gate, round6(high - low))
         out[f"wl_coverage_{m}m"] = cover
         out[f"wl_trend_{m}m"] = F.when(gate, F.when(move > tolerance, "RISING").when(move < -tolerance, "FALLING").otherwise("STABLE"))
-    return in_blocks(series, max(windows)).withColumns(out).where("own and usable").drop("block", "own")
+    return out
 
 
 def threshold_distance(series: DataFrame, thresholds: DataFrame) -> DataFrame:
