@@ -13,8 +13,8 @@ from hydrolith.llm.common import materialize
 SHARD_ROWS, QUERY_ROWS, LEAST_TASKS = 16384, 8192, 8
 #: Fewest queries of a task, so that few queries don't copy the vectors.
 LEAST_QUERIES = 64
-#: Trees of a forest, symbols of a hash string, and the most directions that a symbol chooses from.
-TREES, SYMBOLS, DIRECTIONS = 40, 3, 64
+#: Trees of a forest, bits of a hash string, and trees that go up a bit between two looks at whether a query is done.
+TREES, BITS, STEP = 160, 32, 16
 
 
 def usable(vector: str) -> Column:
@@ -36,112 +36,91 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(n, -1)
 
 
-def symbols_of(along: np.ndarray, count: int) -> np.ndarray:
-    """The `count` directions, or their opposites (numbered after them), that each row of projections points along most, best first."""
-    size = np.abs(along)
-    out = np.empty((*along.shape[:-1], count), np.int64)
-    for s in range(count):
-        best = size.argmax(axis=-1)[..., None]
-        out[..., s] = (best + (np.take_along_axis(along, best, axis=-1) < 0) * along.shape[-1])[..., 0]
-        np.put_along_axis(size, best, -1, axis=-1)
-    return out
-
-
-def meeting_chances(directions: int, symbols: int, seed: int = 23, pairs: int = 1500) -> tuple[np.ndarray, np.ndarray]:
-    """(cosines, chances) by simulation: chances[i, l] is how likely one of two vectors at cosines[i] shows the other at level l of PrefixForest."""
-    rng = np.random.default_rng(seed)
-    cosines = np.linspace(-0.2, 1, 49)
-    x, noise = rng.normal(size=(2, pairs, directions))
-    own = symbols_of(x, symbols)
-    order = np.argsort(np.concatenate([-x, x], axis=1), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(2 * directions)[None], axis=1)
-    chances = np.empty((len(cosines), symbols - 1 + 2 * directions))
-    for i, c in enumerate(cosines):
-        theirs = symbols_of(c * x + np.sqrt(max(1 - c * c, 0)) * noise, symbols)
-        same = np.cumprod(own == theirs, axis=1).mean(axis=0)
-        children = np.cumsum(np.bincount(place[np.arange(pairs), theirs[:, 0]], minlength=2 * directions)) / pairs
-        chances[i] = np.concatenate([same[:0:-1], children])
-    return cosines, chances
-
-
 class PrefixForest:
     """Trees of long hash strings; a tree is the sorted array of its strings, a node the range that shares a prefix.
 
-    Each tree has random orthogonal directions; a string names those that the vector, less the mean, points along most,
-    or against, the most pronounced first. A query goes down each tree to the longest prefix that some stored string shares. Then all
-    trees go up together, one symbol at a time, and what joins the widened ranges becomes a candidate. From the first
-    symbol they go on to the root by its other children, in the order of the query's own directions. How likely two
-    vectors at an angle share a symbol is known by simulation, so once the k-th best candidate so far is, the chance that
-    no tree has shown a vector as near as it is known as well; the query ends when that falls below 1 - recall.
+    A string says on which side of each of a tree's random planes through the mean a vector lies, one bit a plane. A query
+    goes down each tree to the longest prefix that some stored string shares with its own, of another length in each tree. Then all trees go up
+    together, one bit at a time, and what joins the widened ranges becomes a candidate. Vectors at an angle share a bit with the
+    chance 1 - angle / pi, so once the k-th best candidate so far is known, the chance that no tree has shown a vector as near
+    as it at this length is known as well; the query ends when that falls below 1 - recall, at the root at the latest.
     """
 
-    def __init__(self, vectors: np.ndarray, turns: np.ndarray, centre: np.ndarray, chances: tuple[np.ndarray, np.ndarray]):
-        """turns: (TREES, components, directions)."""
-        self.vectors, self.turns, self.centre, self.chances = vectors, turns, centre, chances
-        self.symbols, self.depth = 2 * turns.shape[2], min(SYMBOLS, turns.shape[2])
-        keys = np.concatenate([self.strings(vectors[i : i + 1024])[0] for i in range(0, len(vectors), 1024)] or [np.empty((0, TREES), np.int64)])
+    def __init__(self, vectors: np.ndarray, planes: np.ndarray, centre: np.ndarray):
+        """planes: (TREES, components, BITS)."""
+        self.vectors, self.planes, self.centre = vectors, planes, centre
+        self.bits = planes.shape[2]
+        keys = np.concatenate([self.strings(vectors[i : i + 1024]) for i in range(0, len(vectors), 1024)] or [np.empty((0, len(planes)), np.int64)])
         self.order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, axis=0)
         self.usual = float(np.median(np.linalg.norm(vectors - centre, axis=1))) if len(vectors) else 0.0
-        self.compared = 0
-
-    def strings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash string as a number, projections) of each vector and tree."""
-        along = np.einsum("nd,tdk->ntk", (x - self.centre).astype(np.float32), self.turns, optimize=True)
-        found = symbols_of(along, self.depth)
-        return found @ self.symbols ** np.arange(self.depth - 1, -1, -1), along
+        self.compared = np.zeros(self.bits + 1, np.int64)
+
+    def strings(self, x: np.ndarray) -> np.ndarray:
+        """The hash string of each vector and tree as a number."""
+        side = np.einsum("nd,tdk->ntk", (x - self.centre).astype(np.float32), self.planes, optimize=True) >= 0
+        return side @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+
+    def longest(self, keys: np.ndarray) -> int:
+        """Bits of the longest prefix that a query's strings share with a stored one in any tree: that of a neighbour in sorted order."""
+        best = 0
+        for t, key in enumerate(keys.tolist()):
+            at = int(np.searchsorted(self.keys[:, t], key))
+            for other in self.keys[max(at - 1, 0) : at + 1, t].tolist():
+                best = max(best, self.bits - (key ^ other).bit_length())
+        return best
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the positions and distances of its k nearest candidates; position own[q] is no candidate."""
-        n, out = len(self.vectors), []
+        n, out, trees = len(self.vectors), [], len(self.planes)
         reach = np.linalg.norm(queries - self.centre, axis=1)
-        starts = np.stack([np.searchsorted(self.keys[:, t], np.arange(self.symbols + 1) * self.symbols ** (self.depth - 1)) for t in range(TREES)])
         for q0 in range(0, len(queries), 256):
-            keys, along = self.strings(queries[q0 : q0 + 256])
-            ranges = []
-            for s in range(self.depth, 1, -1):
-                low = keys // self.symbols ** (self.depth - s) * self.symbols ** (self.depth - s)
-                ends = [(np.searchsorted(self.keys[:, t], low[:, t]), np.searchsorted(self.keys[:, t], low[:, t] + self.symbols ** (self.depth - s))) for t in range(TREES)]
-                ranges.append(np.array(ends).transpose(2, 0, 1))
-            children = np.argsort(np.concatenate([-along, along], axis=2), axis=2)
+            keys = self.strings(queries[q0 : q0 + 256])
+            spans = np.empty((self.bits + 1, 2, *keys.shape), np.int64)
+            for s in range(self.bits + 1):  # the range of each tree's strings that share the first s bits
+                low = keys >> (self.bits - s) << (self.bits - s)
+                for t in range(trees):
+                    spans[s, 0, :, t] = np.searchsorted(self.keys[:, t], low[:, t])
+                    spans[s, 1, :, t] = np.searchsorted(self.keys[:, t], low[:, t] + (1 << (self.bits - s)))
             for q in range(len(keys)):
                 point, at = queries[q0 + q], q0 + q
-                seen = np.zeros(n, bool)
+                seen, mark = np.zeros(n, bool), np.zeros(n, bool)
                 if own[at] >= 0:
                     seen[own[at]] = True
                 ids, dist = np.empty(0, np.int64), np.empty(0)
-                for level in range(self.depth - 1 + self.symbols):
-                    if level < self.depth - 1:  # prefixes of several symbols
-                        spans = ranges[level][q]
-                    else:  # the query's own child of the root, then the others
-                        child = children[q, :, level - self.depth + 1]
-                        spans = np.stack([starts[np.arange(TREES), child], starts[np.arange(TREES), child + 1]], axis=1)
-                    mark = np.zeros(n, bool)
-                    for t in np.flatnonzero(spans[:, 1] > spans[:, 0]):
-                        mark[self.order[spans[t, 0] : spans[t, 1], t]] = True
+                inner = None
+                for s, group in ((s, g) for s in range(self.longest(keys[q]), -1, -1) for g in range(0, trees, STEP)):
+                    some, outer = slice(group, group + STEP), spans[s, :, q]
+                    if group == 0:
+                        inner = spans[s + 1, :, q] if s < self.bits else np.zeros_like(outer)
+                    for t in group + np.flatnonzero((outer[0, some] < inner[0, some]) | (outer[1, some] > inner[1, some]) | (inner[1, some] <= inner[0, some])):
+                        if inner[1, t] <= inner[0, t]:
+                            mark[self.order[outer[0, t] : outer[1, t], t]] = True
+                        else:  # what the range has gained on either side
+                            mark[self.order[outer[0, t] : inner[0, t], t]] = True
+                            mark[self.order[inner[1, t] : outer[1, t], t]] = True
                     new = np.flatnonzero(mark & ~seen)
                     if len(new):
                         seen[new] = True
-                        self.compared += len(new)
+                        self.compared[s] += len(new)
                         gap = self.vectors[new] - point
                         ids, dist = np.append(ids, new), np.append(dist, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
                         if len(ids) > 4 * k:
                             keep = np.argpartition(dist, k - 1)
                             keep = keep[dist[keep] <= dist[keep[k - 1]]]
                             ids, dist = ids[keep], dist[keep]
-                    if len(dist) >= k and self._missed(np.partition(dist, k - 1)[k - 1], reach[at], level) <= 1 - recall:
+                    if len(dist) >= k and self._missed(np.partition(dist, k - 1)[k - 1], reach[at], s, min(group + STEP, trees)) <= 1 - recall:
                         break
                 out.append((ids, dist))
         return out
 
-    def _missed(self, far: float, reach: float, level: int) -> float:
-        """Chance that no tree has shown a stored vector at distance `far`, of the usual length, by this level."""
+    def _missed(self, far: float, reach: float, shared: int, up: int) -> float:
+        """Chance that no tree has shown a stored vector at distance `far`, of the usual length: `up` trees show those that share so many bits, the others one more."""
         if reach <= 0 or self.usual <= 0:
-            return 1.0
+            return 0.0 if shared == 0 else 1.0
         cosine = (reach**2 + self.usual**2 - far**2) / (2 * reach * self.usual)
-        cosines, chances = self.chances
-        return (1 - float(np.interp(cosine, cosines, chances[:, level]))) ** TREES
+        alike = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+        return (1 - alike**shared) ** up * (1 - alike ** (shared + 1)) ** (len(self.planes) - up)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.93, seed: int = 17) -> DataFrame:
@@ -162,10 +141,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     shards = max(1, -(-n // SHARD_ROWS))
     blocks = max(1, -(-m // QUERY_ROWS), min(-(-LEAST_TASKS // shards), m // LEAST_QUERIES))
     centre = np.array([x or 0.0 for x in base.agg(*[F.avg(F.col("v")[i]) for i in range(length)]).first()]) if length and n else np.zeros(length)
-    directions = max(1, min(length, DIRECTIONS))
-    rng = np.random.default_rng(seed)
-    turns = np.linalg.qr(rng.normal(size=(TREES, max(length, 1), directions)))[0].astype(np.float32)
-    chances = meeting_chances(directions, min(SYMBOLS, directions))
+    planes = np.random.default_rng(seed).normal(size=(TREES, max(length, 1), BITS)).astype(np.float32)
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     left = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), block.alias("block"), "id", "v")
@@ -177,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             ids, asked_ids = rows["id"].to_numpy(), wanted["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            forest = PrefixForest(matrix(rows["v"])[order], turns, centre, chances)
+            forest = PrefixForest(matrix(rows["v"])[order], planes, centre)
             first, last = np.searchsorted(ids, asked_ids, "left"), np.searchsorted(ids, asked_ids, "right")
             own = np.where(last > first, first, -1)
             for q, (at, dist) in enumerate(forest.search(matrix(wanted["v"]), own, k + int((last - first).max()), recall)):
