@@ -135,10 +135,9 @@ def scale(rows: DataFrame, scalers: DataFrame, station: str, value: str, inverse
     """rows with `scaled` (or, inverse, with values in their unit again). A station that the training rows lack gives null, or with unseen="refuse" an error that names it."""
     if unseen == "refuse":
         named = F.concat(F.lit("no scaler for station "), F.coalesce(F.col(station).cast("string"), F.lit("null")))
-        scalers = scalers.withColumn("_there", F.lit(True))
-        rows = rows.join(scalers, station, "left").withColumn("mean", F.when(F.col("_there"), F.col("mean")).otherwise(F.raise_error(named))).drop("_there")
+        rows = rows.join(scalers.withColumn("_there", F.lit(True)), station, "left")
         x = F.col(value) * F.col("std") + F.col("mean") if inverse else (F.col(value) - F.col("mean")) / F.col("std")
-        return rows.withColumn("scaled", round6(x)).drop("mean", "std")
+        return rows.withColumn("scaled", F.when(F.col("_there"), round6(x)).otherwise(F.raise_error(named))).drop("mean", "std", "_there")
     x = F.col(value) * F.col("std") + F.col("mean") if inverse else (F.col(value) - F.col("mean")) / F.col("std")
     return rows.join(scalers, station, "left").withColumn("scaled", round6(x)).drop("mean", "std")
 
