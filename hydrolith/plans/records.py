@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrolith.functions import core
-from hydrolith.operators import canonical, contracts, units
+from hydrolith.operators import canonical, contracts, quality, units
 from hydrolith.plans.catalog import HOUR, US, _query, table
 
 POLICIES = [
@@ -188,3 +188,36 @@ def four_layers(spark, sf_dir):
     key = lambda name, c: table(spark, sf_dir, name).select(F.col(c).alias("k"))
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("k"))
     return canonical.layered({"orders": key("orders", "o_orderkey"), "lines": lines, "parts": key("part", "p_partkey"), "supplies": key("supplier", "s_suppkey")}, ["k"])[1]
+
+
+def layers(spark, sf_dir):
+    """(records, times, stations, units) made of events, by event_id as row of batches of a thousand."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    key = [F.floor(n / 1000).cast("bigint").alias("batch"), n.alias("row")]
+    pick = lambda k, values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % k).cast("int") + 1)
+    records = e.select(*key, F.concat(F.lit("s"), (n % 50).cast("string")).alias("sensor_id"), F.when(n % 2 == 0, "water_level_history").otherwise("rainfall_listing").alias("dataset"), F.when(n % 6 == 0, " ERROR ").alias("severity"), pick(19, [None] * 16 + ["MISSING_TIMESTAMP", "INVALID_ROW_STRUCTURE", "UNMAPPED_SENSOR"]).alias("quarantine_reason"))
+    times = e.where(n % 23 != 0).select(*key, pick(9, ["VALID"] * 5 + ["AMBIGUOUS", "FUTURE", "INVALID_FORMAT", "VALID"]).alias("time_status"), F.when(n % 9 == 8, "DATE").otherwise("MINUTE").alias("time_precision"), F.when(n % 4 == 0, "UNSPECIFIED_ASSUMED").otherwise("EXPLICIT_IN_SOURCE").alias("timezone_status"))
+    mapped = F.when(n % 29 == 0, "s_new").when(n % 11 < 9, F.concat(F.lit("s"), (n % 50).cast("string")))
+    stations = e.where(n % 31 != 0).select(*key, F.concat(F.lit("s"), (n % 50).cast("string")).alias("raw_sensor_id"), pick(11, ["MAPPED"] * 9 + ["UNMAPPED", "SENSOR_TYPE_MISMATCH"]).alias("mapping_status"), mapped.alias("sensor_id"))
+    raw = F.when(n % 13 == 0, "ERROR").when(n % 13 == 1, " ").when(n % 13 == 2, "-9999.0").when(n % 13 == 3, "-1.5").otherwise((n % 1000).cast("string"))
+    primary = e.select(*key, F.lit("v").alias("field"), F.lit("PRIMARY_VALUE").alias("role"), raw.alias("value_raw"), F.when(n % 7 != 5, F.when(n % 2 == 0, "WATER_LEVEL").otherwise("RAINFALL_INTERVAL")).alias("measurement_type"), pick(7, ["VALID"] * 5 + ["UNKNOWN_MEASUREMENT_SEMANTICS", "UNIT_MISMATCH"]).alias("unit_status"))
+    more = e.where(n % 5 == 0).select(*key, F.lit("w").alias("field"), F.lit("SOURCE_FIELD").alias("role"), F.lit("7").alias("value_raw"), F.when(n % 10 == 0, "WATER_LEVEL").alias("measurement_type"), F.lit("VALID").alias("unit_status"))
+    status = core.value_status(F.col("value_raw"))
+    units_ = primary.unionByName(more).withColumns({"value_parse_status": status, "parsed_value": F.when(F.col("unit_status") == "VALID", core.parsed_value(F.col("value_raw")))})
+    return records, times, stations, units_
+
+
+@_query("""WITH r AS (SELECT event_id AS n, CASE event_id % 19 WHEN 16 THEN 'MISSING_TIMESTAMP' WHEN 17 THEN 'INVALID_ROW_STRUCTURE' WHEN 18 THEN 'UNMAPPED_SENSOR' END AS q,
+  CASE WHEN event_id % 23 <> 0 THEN CASE event_id % 9 WHEN 5 THEN 'AMBIGUOUS' WHEN 6 THEN 'FUTURE' WHEN 7 THEN 'INVALID_FORMAT' ELSE 'VALID' END END AS ts, event_id % 31 <> 0 AS has_s, CASE event_id % 11 WHEN 9 THEN 'UNMAPPED' WHEN 10 THEN 'SENSOR_TYPE_MISMATCH' ELSE 'MAPPED' END AS ms FROM events),
+un AS (SELECT *, 'v' AS field, CASE n % 13 WHEN 0 THEN 'ERROR' WHEN 1 THEN ' ' WHEN 2 THEN '-9999.0' WHEN 3 THEN '-1.5' ELSE (n % 1000)::VARCHAR END AS raw, CASE WHEN n % 7 <> 5 THEN CASE WHEN n % 2 = 0 THEN 'WATER_LEVEL' ELSE 'RAINFALL_INTERVAL' END END AS mt, CASE n % 7 WHEN 5 THEN 'MEASUREMENT_SEMANTICS_UNKNOWN' WHEN 6 THEN 'UNIT_MISMATCH' END AS uf FROM r
+  UNION ALL SELECT *, 'w', '7', 'WATER_LEVEL', NULL FROM r WHERE n % 10 = 0),
+f AS (SELECT *, CASE WHEN uf IS NULL THEN try_cast(nullif(raw, '-9999.0') AS DOUBLE) END AS parsed_value, list_sort(list_distinct(list_filter([CASE WHEN q IS NOT NULL THEN 'RAW_QUARANTINED' END, CASE q WHEN 'MISSING_TIMESTAMP' THEN 'TIMESTAMP_MISSING' WHEN 'INVALID_ROW_STRUCTURE' THEN 'ROW_STRUCTURE_INVALID' END, CASE ts WHEN 'AMBIGUOUS' THEN 'TIMESTAMP_AMBIGUOUS' WHEN 'FUTURE' THEN 'TIMESTAMP_FUTURE' WHEN 'INVALID_FORMAT' THEN 'TIMESTAMP_INVALID_FORMAT' END,
+  CASE WHEN ts IS NOT NULL AND n % 4 = 0 THEN 'TIMEZONE_ASSUMED' END, CASE WHEN ts IS NOT NULL AND n % 9 = 8 THEN 'TIMESTAMP_DATE_ONLY' END, CASE WHEN NOT has_s THEN 'NO_STATION_SENSOR' END, CASE WHEN has_s THEN CASE ms WHEN 'UNMAPPED' THEN 'SENSOR_UNMAPPED' WHEN 'SENSOR_TYPE_MISMATCH' THEN 'SENSOR_TYPE_MISMATCH' END END,
+  CASE WHEN has_s AND (n % 29 = 0 OR n % 11 >= 9) THEN 'STATION_MASTER_CHANGED_SINCE_INGEST' END, CASE WHEN n % 6 = 0 THEN 'SOURCE_SEVERITY_ERROR' END, uf,
+  CASE WHEN mt IS NOT NULL THEN CASE raw WHEN 'ERROR' THEN 'VALUE_SOURCE_ERROR' WHEN ' ' THEN 'VALUE_EMPTY' WHEN '-9999.0' THEN 'VALUE_MISSING_SENTINEL' WHEN '-1.5' THEN CASE WHEN mt = 'RAINFALL_INTERVAL' AND uf IS NULL THEN 'RAINFALL_NEGATIVE' END END END], lambda x: x IS NOT NULL))) AS fl FROM un)
+SELECT n // 1000 AS batch, n AS row, field, mt AS measurement_type, parsed_value, CASE WHEN has_s THEN CASE WHEN n % 29 = 0 THEN 's_new' WHEN n % 11 < 9 THEN 's' || n % 50 END END AS sensor_id, CASE WHEN q IS NULL THEN 'records' ELSE 'quarantine' END AS raw_file, array_to_string(fl, ',') AS flags,
+  parsed_value IS NOT NULL AND len(list_filter(fl, lambda x: x NOT IN ('TIMEZONE_ASSUMED', 'STATION_MASTER_CHANGED_SINCE_INGEST', 'SOURCE_SEVERITY_ERROR', 'DUPLICATE_IDENTICAL'))) = 0 AS usable FROM f""")
+def quality_projection(spark, sf_dir):
+    got = quality.quality_rows(*layers(spark, sf_dir), ["batch", "row"])
+    return got.select("batch", "row", "field", "measurement_type", "parsed_value", "sensor_id", "raw_file", F.array_join("quality_flags", ",").alias("flags"), "usable")
