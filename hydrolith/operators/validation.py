@@ -96,3 +96,10 @@ def calendar_rollup(rows: DataFrame, slots_least: int, days_least: int = 20) ->
     day = rows.where("usable").groupBy("sensor", F.to_date(instant).alias("day")).agg(F.count("*").alias("slots"), F.sum("value").alias("total")).where(F.col("slots") >= slots_least)
     month = day.groupBy("sensor", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("days"), F.round(F.sum("total"), 4).alias("total"))
     return month.withColumn("complete", F.col("days") >= days_least)
+
+
+def calendar_years(months: DataFrame, months_least: int = 12) -> DataFrame:
+    """(sensor, year, months, days, total, complete) of calendar_rollup's months: a year is complete with months_least complete months."""
+    own = months.where("complete").groupBy("sensor", F.substring("month", 1, 4).cast("int").alias("year"))
+    g = own.agg(F.count("*").alias("months"), F.sum("days").alias("days"), F.round(F.sum("total"), 4).alias("total"))
+    return g.withColumn("complete", F.col("months") >= months_least)

@@ -218,3 +218,11 @@ def calibration(spark, sf_dir):
     rows = _scored(spark, sf_dir, "logistic")
     model = models.fit_calibration(rows.where(F.col("t") <= SPLIT[1]), "score", "label")
     return models.calibrated(model, rows, "score")
+
+
+@_query("""WITH d AS (SELECT o_orderstatus AS sensor, o_orderdate::DATE AS day, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2), m AS (SELECT sensor, year(day) AS year, month(day) AS month, count(*) AS days, round(sum(total), 4) AS total FROM d GROUP BY 1, 2, 3 HAVING count(*) >= 20)
+SELECT sensor, year::INT AS year, count(*) AS months, sum(days)::BIGINT AS days, round(sum(total), 4) AS total, count(*) >= 12 AS complete FROM m GROUP BY 1, 2""")
+def calendar_years(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderstatus").alias("sensor"), core.micros(F.col("o_orderdate")).alias("t"), F.col("o_totalprice").alias("value"), F.lit(True).alias("usable"))
+    return validation.calendar_years(validation.calendar_rollup(rows, 1))

@@ -131,3 +131,38 @@ def read_station_master(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def read_observations(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines under a fixed schema; a malformed line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+# The field of a station history that is a sensor's value, and the sentinel for a missing one.
+HISTORY_VALUES = {"rainfall": "raw", "water_level": "final"}
+SENTINEL = "-9999"
+
+
+def history_values(rows: DataFrame, time_field: str = "dt") -> DataFrame:
+    """history_rows with `dataset`, `value_field`, `value_raw`, `time_raw` and `structural_error`: the value of a history by its sensor_type.
+
+    Rainfall reads `raw`, the increment of an interval, water levels `final`. All texts stay as they are. A sensor type without a
+    history, or a row without its value's or its time's field, is named as the error, with nulls for what is lacking; a null text is no error.
+    """
+    fields, kind = F.col("source_fields_raw"), F.col("sensor_type")
+    field = F.element_at(F.create_map(*[F.lit(x) for pair in HISTORY_VALUES.items() for x in pair]), kind)
+    has = lambda name: F.coalesce(F.map_contains_key(fields, name), F.lit(False))
+    error = F.when(field.isNull(), "UNKNOWN_SENSOR_TYPE").when(~has(field), "MISSING_VALUE_FIELD").when(~has(F.lit(time_field)), "MISSING_TIME_FIELD")
+    return rows.withColumns({"dataset": F.concat(kind, F.lit("_history")), "value_field": field, "value_raw": F.element_at(fields, field), "time_raw": F.element_at(fields, F.lit(time_field)), "structural_error": error})
+
+
+def live_status(age_minutes: Column, value_raw: Column, fresh: int, delayed: int, ahead: int = 5) -> Column:
+    """How fresh a listed value is: INVALID without a time or more than `ahead` minutes ahead of its retrieval, NO_DATA without a number, then FRESH, DELAYED or STALE."""
+    text = F.trim(F.coalesce(value_raw, F.lit("")))
+    number = (text != SENTINEL) & text.try_cast("double").isNotNull()
+    return F.when(age_minutes.isNull() | (age_minutes < -ahead), "INVALID").when(~number, "NO_DATA").when(age_minutes <= fresh, "FRESH").when(age_minutes <= delayed, "DELAYED").otherwise("STALE")
+
+
+def listed_observations(listing: DataFrame, time_format: str, retrieved_us: Column, fresh: int = 30, delayed: int = 180) -> DataFrame:
+    """Rows of a listing (link_id, name, time_raw, value_raw, ...) with `observed_us`, `age_minutes` (whole, rounded down) and `live_status`; none is dropped.
+
+    Times are those of the source's clock, as retrieved_us is.
+    """
+    at = F.unix_micros(F.try_to_timestamp(F.concat(F.trim("time_raw"), F.lit(" +00:00")), F.lit(f"{time_format} XXX")))
+    out = listing.withColumn("observed_us", at).withColumn("age_minutes", F.floor((retrieved_us - F.col("observed_us")) / 60_000_000))
+    return out.withColumn("live_status", live_status(F.col("age_minutes"), F.col("value_raw"), fresh, delayed))
