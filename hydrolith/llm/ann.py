@@ -14,7 +14,7 @@ SHARD_ROWS, QUERY_ROWS, LEAST_TASKS = 16384, 8192, 8
 #: Fewest queries of a task, so that few queries don't copy the vectors.
 LEAST_QUERIES = 64
 #: Trees of a forest, bits of a hash string, and trees that go up a bit between two looks at whether a query is done.
-TREES, BITS, STEP = 160, 32, 16
+TREES, BITS, STEP = 96, 32, 16
 
 
 def usable(vector: str) -> Column:
