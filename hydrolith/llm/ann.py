@@ -13,8 +13,8 @@ from hydrolith.llm.common import materialize
 SHARD_ROWS, QUERY_ROWS, LEAST_TASKS = 16384, 8192, 8
 #: Fewest queries of a task, so that few queries don't copy the vectors.
 LEAST_QUERIES = 64
-#: Trees of a forest, bits of a hash string, and trees that go up a bit between two looks at whether a query is done.
-TREES, BITS, STEP = 96, 32, 16
+#: Trees of a forest, bits of a hash string, trees that go up a bit between two looks at whether a query is done, and what few entries go up at once.
+TREES, BITS, STEP, FEW = 96, 32, 16, 256
 
 
 def usable(vector: str) -> Column:
@@ -51,8 +51,9 @@ class PrefixForest:
         self.vectors, self.planes, self.centre = vectors, planes, centre
         self.bits = planes.shape[2]
         keys = np.concatenate([self.strings(vectors[i : i + 1024]) for i in range(0, len(vectors), 1024)] or [np.empty((0, len(planes)), np.int64)])
-        self.order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
-        self.keys = np.take_along_axis(keys, self.order, axis=0)
+        order = np.argsort(keys, axis=0, kind="stable")
+        self.keys = np.take_along_axis(keys, order, axis=0)
+        self.order = order.T.astype(np.int32).ravel()  # tree after tree
         self.usual = float(np.median(np.linalg.norm(vectors - centre, axis=1))) if len(vectors) else 0.0
         self.compared = np.zeros(self.bits + 1, np.int64)
 
@@ -61,15 +62,6 @@ class PrefixForest:
         side = np.einsum("nd,tdk->ntk", (x - self.centre).astype(np.float32), self.planes, optimize=True) >= 0
         return side @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
 
-    def longest(self, keys: np.ndarray) -> int:
-        """Bits of the longest prefix that a query's strings share with a stored one in any tree: that of a neighbour in sorted order."""
-        best = 0
-        for t, key in enumerate(keys.tolist()):
-            at = int(np.searchsorted(self.keys[:, t], key))
-            for other in self.keys[max(at - 1, 0) : at + 1, t].tolist():
-                best = max(best, self.bits - (key ^ other).bit_length())
-        return best
-
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the positions and distances of its k nearest candidates; position own[q] is no candidate."""
         n, out, trees = len(self.vectors), [], len(self.planes)
@@ -82,25 +74,29 @@ class PrefixForest:
                 for t in range(trees):
                     spans[s, 0, :, t] = np.searchsorted(self.keys[:, t], low[:, t])
                     spans[s, 1, :, t] = np.searchsorted(self.keys[:, t], low[:, t] + (1 << (self.bits - s)))
+            there = (spans[:, 1] > spans[:, 0]).any(axis=2)
+            offset = np.arange(trees) * n
+            width = (spans[:, 1] - spans[:, 0]).sum(axis=2)
             for q in range(len(keys)):
                 point, at = queries[q0 + q], q0 + q
-                seen, mark = np.zeros(n, bool), np.zeros(n, bool)
+                seen = np.zeros(n, bool)
                 if own[at] >= 0:
                     seen[own[at]] = True
                 ids, dist = np.empty(0, np.int64), np.empty(0)
-                inner = None
-                for s, group in ((s, g) for s in range(self.longest(keys[q]), -1, -1) for g in range(0, trees, STEP)):
-                    some, outer = slice(group, group + STEP), spans[s, :, q]
-                    if group == 0:
-                        inner = spans[s + 1, :, q] if s < self.bits else np.zeros_like(outer)
-                    for t in group + np.flatnonzero((outer[0, some] < inner[0, some]) | (outer[1, some] > inner[1, some]) | (inner[1, some] <= inner[0, some])):
-                        if inner[1, t] <= inner[0, t]:
-                            mark[self.order[outer[0, t] : outer[1, t], t]] = True
-                        else:  # what the range has gained on either side
-                            mark[self.order[outer[0, t] : inner[0, t], t]] = True
-                            mark[self.order[inner[1, t] : outer[1, t], t]] = True
-                    new = np.flatnonzero(mark & ~seen)
-                    if len(new):
+                # down to the longest prefix that any tree has of the query, then up again
+                for s, group in self._steps(width[:, q], int(np.flatnonzero(there[:, q])[-1]) if n else -1):
+                    some = slice(*group)
+                    a, d = spans[s, :, q, some]
+                    b, c = spans[s + 1, :, q, some] if s < self.bits else (d, d)
+                    empty = c <= b
+                    # what the ranges have gained on either side
+                    first = np.concatenate([a + offset[some], np.where(empty, d, c) + offset[some]])
+                    size = np.concatenate([np.where(empty, d, b) - a, np.where(empty, 0, d - c)])
+                    gained = np.flatnonzero(size > 0)
+                    if len(gained):
+                        first, size = first[gained], size[gained]
+                        new = self.order[np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)]
+                        new = np.unique(new[~seen[new]])
                         seen[new] = True
                         self.compared[s] += len(new)
                         gap = self.vectors[new] - point
@@ -109,11 +105,19 @@ class PrefixForest:
                             keep = np.argpartition(dist, k - 1)
                             keep = keep[dist[keep] <= dist[keep[k - 1]]]
                             ids, dist = ids[keep], dist[keep]
-                    if len(dist) >= k and self._missed(np.partition(dist, k - 1)[k - 1], reach[at], s, min(group + STEP, trees)) <= 1 - recall:
+                    if len(dist) >= k and self._missed(np.partition(dist, k - 1)[k - 1], reach[at], s, min(group[1], trees)) <= 1 - recall:
                         break
                 out.append((ids, dist))
         return out
 
+    def _steps(self, width: np.ndarray, longest: int):
+        """(bits, (first, end) of trees): the order in which trees go up. Levels that gain little are one step, others one for each STEP trees."""
+        for s in range(longest, -1, -1):
+            gain = width[s] - (width[s + 1] if s < self.bits else 0)
+            step = STEP if gain > FEW else len(self.planes)
+            if gain or s == 0:
+                yield from ((s, (g, g + step)) for g in range(0, len(self.planes), step))
+
     def _missed(self, far: float, reach: float, shared: int, up: int) -> float:
         """Chance that no tree has shown a stored vector at distance `far`, of the usual length: `up` trees show those that share so many bits, the others one more."""
         if reach <= 0 or self.usual <= 0:
