@@ -122,7 +122,10 @@ def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def chat_digest(chats: DataFrame) -> DataFrame:
-    """What the formatted text and its mask give back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    """What the formatted text and its mask give back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
+
+    One row for each chat; the chat of null conversations has a null conv_id; no chats give no rows.
+    """
     turns = read_turns(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))), "")

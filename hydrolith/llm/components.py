@@ -66,7 +66,7 @@ def _contract(batches):
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node that has a link; component is the smallest node reachable.
 
-    links: two bigint columns, any order, repeats and self-links allowed, nulls ignored. Every round is a join and an
+    links: two bigint columns, any order, repeats and self-links allowed, nulls ignored, other columns not read; no links give no rows. Every round is a join and an
     aggregation that cuts links to stars; nothing is gathered to the driver but two numbers a round.
     """
     spark = links.sparkSession

@@ -80,7 +80,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total budget; taken is the size times the passes taken. So sources advance in step and end together, each within a
     document of its target. Running sums go by ranges of about RANGE_ROWS documents and then rows of a range, so no source
     is gathered in one task; rows that share an id are in one range. Ties go by id, then size; rows that agree in both are alike. A null source is a
-    source of its own, the last. Null ids and empty texts take part. An empty table gives an empty result.
+    source of its own, the last. Null ids and empty texts take part, very long texts are counted whole. An empty table gives an empty result; other columns are not
+    read.
     """
     sized = docs.select(
         (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("item"),

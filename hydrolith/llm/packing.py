@@ -138,7 +138,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and then end_id, cut if over the capacity.
 
     A longer document is cut into pieces of exactly `capacity` ids, but for the first, which takes what is left over.
-    Null text counts as empty: one piece that holds end_id alone.
+    Null text counts as empty: one piece that holds end_id alone. Null ids and repeated rows stay documents each, other columns
+    are not read; an empty table gives an empty result.
     """
     end = np.array([end_id], "<u4").tobytes()
 

@@ -51,7 +51,10 @@ def fingerprint(text: bytes, width: int = 3) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Rows (doc_id, fp): fp is the fingerprint as a signed 64-bit number. Null text counts as empty: fingerprint 0."""
+    """Rows (doc_id, fp), one for each row of docs: fp is the fingerprint of the whole text, however long, as a signed 64-bit number.
+
+    Null text counts as empty: fingerprint 0. Null ids and repeated rows stay, an empty table gives an empty result, other columns are not read.
+    """
 
     def run(batches):
         for batch in batches:
@@ -282,7 +285,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal fingerprints form a class; classes at `budget` or fewer differing bits are linked; component_id is the
     smallest doc_id reachable. Null or empty text has fingerprint 0 and is linked like any other. Rows with a null
     doc_id take part and stay in the result; a component of only such rows has a null component_id. Repeated rows are
-    kept. An empty table gives an empty result. Other columns of docs are not read.
+    kept, very long texts read whole. An empty table gives an empty result. Other columns of docs are not read.
     """
     table = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = materialize(table.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "classes")
@@ -316,7 +319,8 @@ def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Each distinct shingle stands in SPREAD of BUCKETS sums, with a sign; each bit is the side of a random hyperplane
     that the sums lie on. So the share of differing bits follows the angle between two sets: a similarity of 0.8 is
-    about 0.15. No words give zero.
+    about 0.15. No words give zero. Null texts count as empty, null ids and repeated rows stay, texts are read whole, other
+    columns are not read; an empty table gives an empty result.
     """
 
     def run(batches):

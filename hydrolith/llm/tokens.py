@@ -76,7 +76,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one for each row of docs.
 
     n_tokens is what the tokenizer's own library gives for the whole text without added tokens. Null and empty texts
-    have no bytes and no tokens; null ids and repeated rows stay. tokenizer_path must exist on every executor. Texts
+    have no bytes and no tokens; null ids and repeated rows stay, an empty table gives an empty result, other columns are not
+    read. tokenizer_path must exist on every executor. Texts
     are encoded in groups of about 1 MB whatever their number, so a batch of long texts needs no more memory.
     """
 

@@ -159,7 +159,8 @@ def score_toxicity(docs: DataFrame, model: SparseLogistic, id_col: str = "doc_id
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs; other columns are not read.
 
-    Repeated rows are scored each, whole texts however long; a null id is held out. An empty docs or labels table is no
+    Repeated rows are scored each, whole texts however long; null texts count as empty, and empty ones have the score of no features; a null id is
+    held out. An empty docs or labels table is no
     error: without labels every score is 0.5.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
