@@ -25,12 +25,22 @@ def duck():
     return con
 
 
+def scores_are_sound(got):
+    """Scores of fitted models: one for each example, between 0 and 1, not all alike; a calibrated one never falls where the score rises."""
+    assert len(got) > 100 and not got.duplicated(["sensor", "t"]).any() and got["label"].isin([0, 1]).all()
+    assert got["score"].between(0, 1).all() and got["score"].nunique() > 10
+    assert got.loc[got["label"] == 1, "score"].mean() > got.loc[got["label"] == 0, "score"].mean()
+    if "calibrated" in got:
+        assert got["calibrated"].between(0, 1).all() and (got.sort_values("score")["calibrated"].diff().dropna() >= -1e-9).all()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     rows = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     if name not in catalog.ORACLE_SQL:
+        scores_are_sound(df.toPandas())
         return
     got = duck.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
