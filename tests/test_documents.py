@@ -125,3 +125,20 @@ def test_repeated_keys_are_named(spark):
     assert contracts.require_unique(table, ["k", "v"]).count() == 3
     with pytest.raises(ValueError, match=r"repeated k: \(2,\)"):
         contracts.require_unique(table, ["k"])
+
+
+def test_quality_rows_of_layers_that_fit(spark):
+    from hydrolith.operators import quality
+
+    records = spark.createDataFrame([("b", 1, "s1", "water_level_history", " ERROR ", None), ("b", 2, "s2", "x", None, "MISSING_TIMESTAMP")], "batch string, row int, sensor_id string, dataset string, severity string, quarantine_reason string")
+    times = spark.createDataFrame([("b", 1, "VALID", "MINUTE", "UNSPECIFIED_ASSUMED")], "batch string, row int, time_status string, time_precision string, timezone_status string")
+    stations = spark.createDataFrame([("b", 1, "s1", "MAPPED", "s1")], "batch string, row int, raw_sensor_id string, mapping_status string, sensor_id string")
+    unit = "batch string, row int, field string, role string, value_raw string, value_parse_status string, parsed_value double, measurement_type string, unit_status string"
+    rows = [("b", 1, "v", "PRIMARY_VALUE", "2", "NUMERIC", 2.0, "WATER_LEVEL", "VALID"), ("b", 1, "t", "THRESHOLD", "9", "NUMERIC", 9.0, "WATER_LEVEL_THRESHOLD", "VALID"), ("b", 1, "n", "SOURCE_FIELD", "x", "NON_NUMERIC", None, None, "UNKNOWN_MEASUREMENT_SEMANTICS"), ("b", 2, "v", "PRIMARY_VALUE", " ", "EMPTY", None, "WATER_LEVEL", "VALID")]
+    units = spark.createDataFrame(rows, unit)
+    got = {r["row"]: (r["field"], r["quality_flags"], r["usable"], r["sensor_id"], r["raw_file"]) for r in quality.quality_rows(records, times, stations, units, ["batch", "row"]).collect()}
+    assert got == {1: ("v", ["SOURCE_SEVERITY_ERROR", "TIMEZONE_ASSUMED"], True, "s1", "records"), 2: ("v", ["NO_STATION_SENSOR", "RAW_QUARANTINED", "TIMESTAMP_MISSING", "VALUE_EMPTY"], False, None, "quarantine")}
+    with pytest.raises(Exception, match="record b, 2: not one PRIMARY_VALUE"):
+        quality.quality_rows(records, times, stations, units.where("row = 1"), ["batch", "row"]).collect()
+    with pytest.raises(Exception, match="record b, 1: the station layer names another sensor"):
+        quality.quality_rows(records, times, stations.withColumn("raw_sensor_id", F.lit("s9")), units, ["batch", "row"]).collect()
