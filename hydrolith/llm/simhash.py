@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import NO_ID, Scratch, fresh, materialize, mix, text_buffers, word_blocks
+from hydrolith.llm.common import NO_ID, Scratch, fresh, give_back, materialize, mix, text_buffers, word_blocks
 from hydrolith.llm.components import connected_components, spanning_links
 
 BITS = 64
@@ -344,6 +344,7 @@ def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             flat = np.concatenate(found) if found else np.empty((0, SLICES * SLICE_BITS // 64), np.int64)
             ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))], ["doc_id", "sketch"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
@@ -414,6 +415,7 @@ def similar_rows(numbered: DataFrame, row: str, text_col: str, width: int = 5, s
         for group, fp, rep, sketches in _sketch_groups(batches):
             a, b = verified_links(group, fp, rep, sketches, budget, limit)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     members = near.join(slices, "fp").select("g", "fp", "rep")
     dealt = in_blocks(members, SKETCH_ROWS).join(classes, "rep").select("g", "fp", "rep", "sketch")
