@@ -23,6 +23,8 @@ SLICE_ROWS = 4096
 SKETCH_ROWS = 65536
 #: Texts of a group of candidates that meet in one task, and their characters, at most.
 GROUP_ROWS, GROUP_CHARS = 2048, 48_000_000
+#: Members of a group over these bounds, about, that meet in each of its blocks, so that the blocks' components grow together.
+PIVOTS = 32
 #: Pairs of sketches that are compared at once.
 PAIRS_AT_ONCE = 1 << 16
 #: Buckets that shingles are summed up in before the projection, and how many of them a shingle stands in.
@@ -104,10 +106,10 @@ def trie_links(keys: np.ndarray, group_starts: np.ndarray, budget: int) -> tuple
 
 
 def _groups(batches):
-    """Record batches (group, fp, rep), sorted by group, as arrays that hold whole groups."""
+    """Record batches (group, fp, ...) of numbers, sorted by group, as arrays that hold whole groups."""
     rest = None
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
@@ -130,26 +132,30 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _join_subtries(classes: DataFrame, task, schema: str, budget: int, subtrie_rows: int, free_bits: tuple[int, ...]) -> DataFrame:
-    """Rows that `task` makes of the Arrow batches (group, fp, rep) of all subtries, sorted by group; see near_links."""
-    parts = budget + 1
+def _join_subtries(classes: DataFrame, task, schema: str, budget: int, subtrie_rows: int, free_bits: tuple[int, ...], worth: Column | None = None) -> DataFrame:
+    """Rows that `task` makes of the Arrow batches (group, fp, further columns) of all subtries, sorted by group; see near_links.
+
+    Subtries where the aggregate `worth` is false are left out.
+    """
+    parts, columns = budget + 1, ["fp", *(c for c in classes.columns if c != "fp")]
     out, level = None, 0
-    pending = [(classes.select("fp", "rep"), free_bits)]
+    pending = [(classes.select(columns), free_bits)]
     while pending:
         rows, free = pending.pop()
         options = _masks(free, parts)
         fixed = [_signed(((1 << BITS) - 1) ^ sum(1 << (BITS - 1 - k) for k in rest)) for rest in options]
-        keyed = rows.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("top"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(fixed)])).alias("at")).select("fp", "rep", "at.top", "at.value")
-        sizes = materialize(keyed.groupBy("top", "value").agg(F.count("*").alias("n")).where("n > 1"), "subtries")
+        keyed = rows.select(*columns, F.explode(F.array(*[F.struct(F.lit(k).alias("top"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(fixed)])).alias("at")).select(*columns, "at.top", "at.value")
+        sizes = keyed.groupBy("top", "value").agg(F.count("*").alias("n"), (F.lit(True) if worth is None else worth).alias("worth"))
+        sizes = materialize(sizes.where("n > 1 and worth").select("top", "value", "n"), "subtries")
         keyed = keyed.join(sizes, ["top", "value"])
         small = F.col("n") <= subtrie_rows if len(options[0]) > 8 else F.lit(True)
-        ready = keyed.where(small).select(F.xxhash64(F.lit(level), "top", "value").alias("g"), "fp", "rep")
+        ready = keyed.where(small).select(F.xxhash64(F.lit(level), "top", "value").alias("g"), *columns)
         ready = ready.repartition("g").sortWithinPartitions("g")
         made = ready.mapInArrow(task, schema)
         out = made if out is None else out.union(made)
         if len(options[0]) > 8:
             for (k,) in sizes.where(F.col("n") > subtrie_rows).select("top").distinct().collect():
-                pending.append((materialize(keyed.where((F.col("top") == k) & (F.col("n") > subtrie_rows)).select("fp", "rep"), "hot-subtrie"), options[k]))
+                pending.append((materialize(keyed.where((F.col("top") == k) & (F.col("n") > subtrie_rows)).select(columns), "hot-subtrie"), options[k]))
         level += 1
     return out
 
@@ -174,30 +180,45 @@ def near_links(classes: DataFrame, budget: int = 2, subtrie_rows: int = SUBTRIE_
             a, b = spanning_links(rep[order][i], rep[order][j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _join_subtries(classes, join, "a bigint, b bigint", budget, subtrie_rows, free_bits)
+    return _join_subtries(classes.select("fp", "rep"), join, "a bigint, b bigint", budget, subtrie_rows, free_bits)
 
 
 def near_groups(classes: DataFrame, budget: int, subtrie_rows: int, free_bits: tuple[int, ...]) -> DataFrame:
-    """Rows (g, fp): the fingerprints of each subtrie g that have another one of it within the budget; as near_links."""
+    """Rows (g, fp): the fingerprints of each subtrie g that have another one of it within the budget, of another label; as near_links.
+
+    classes: (fp, low, high), the smallest and the largest label of what has the fingerprint. Two fingerprints whose
+    labels are all the same are no pair. A subtrie's pairs that do not hang together are groups by themselves.
+    """
 
     def join(batches):
-        for group, fp, _ in _groups(batches):
+        for group, fp, low, high in _groups(batches):
             keys = fp.astype(np.int64).view(np.uint64)
             order = np.lexsort((keys, group))
-            group, keys = group[order], keys[order]
+            group, keys, low, high = group[order], keys[order], low[order], high[order]
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            at = np.unique(np.concatenate(trie_links(keys, starts, budget)))
-            yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int64()), pa.array(keys[at].view(np.int64), pa.int64())], ["g", "fp"])
+            i, j = trie_links(keys, starts, budget)
+            apart = np.minimum(low[i], low[j]) != np.maximum(high[i], high[j])
+            child, parent = spanning_links(i[apart], j[apart])
+            roots = np.unique(parent)
+            at, root = np.append(child, roots), np.append(parent, roots)
+            g = mix(group[at].astype(np.int64).view(np.uint64) ^ mix(keys[root])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(keys[at].view(np.int64), pa.int64())], ["g", "fp"])
+
+    return _join_subtries(classes.select("fp", "low", "high"), join, "g bigint, fp bigint", budget, subtrie_rows, free_bits, F.min("low") < F.max("high"))
+
 
-    return _join_subtries(classes, join, "g bigint, fp bigint", budget, subtrie_rows, free_bits)
+def _first_of(known: np.ndarray) -> np.ndarray:
+    """For each entry the position of the first one that equals it."""
+    _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+    return first[inverse]
 
 
 class _Verified:
     """Components of nodes whose sketches differ in at most `limit` bits; only pairs that it is given are compared."""
 
-    def __init__(self, sketches: np.ndarray, limit: int):
-        self.sketches, self.limit = sketches, limit
-        self.label = np.arange(len(sketches))
+    def __init__(self, sketches: np.ndarray, limit: int, label: np.ndarray):
+        """label: a node of its component for each node, as known before."""
+        self.sketches, self.limit, self.label = sketches, limit, label
 
     def try_pairs(self, x: np.ndarray, y: np.ndarray) -> None:
         apart = self.label[x] != self.label[y]
@@ -226,17 +247,17 @@ class _Verified:
                     self.try_pairs(np.full(len(part), x), part)
 
 
-def verified_links(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, sketches: np.ndarray, budget: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def verified_links(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, sketches: np.ndarray, budget: int, limit: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join what these pairs join: of one group, fp within the budget, sketches within `limit` bits.
 
     Rows of an equal fp are compared with each other only in a group that has no other fp. No pair is left out but
-    those that compared pairs have joined already.
+    those that compared pairs, or the components `known` before, have joined already; these are among the links.
     """
     keys = fp.astype(np.int64).view(np.uint64)
     order = np.lexsort((keys, group))
     group, keys, rep = group[order], keys[order], rep[order]
     nodes, first, node = np.unique(rep, return_index=True, return_inverse=True)
-    found = _Verified(sketches[order][first].view(np.uint64), limit)
+    found = _Verified(sketches[order][first].view(np.uint64), limit, np.arange(len(nodes)) if known is None else _first_of(known[order][first]))
     at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])))
     size = np.diff(np.append(at, len(keys)))
     starts = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1]))
@@ -261,13 +282,13 @@ def verified_links(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, sketches:
 
 
 def _sketch_groups(batches):
-    """Record batches (group, fp, rep, sketch), sorted by group, as arrays that hold whole groups."""
+    """Record batches (group, fp, rep, label, sketch), sorted by group, as arrays that hold whole groups."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not len(batch):
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        cols.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cols.append(batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
         last = int(np.searchsorted(cols[0], cols[0][-1]))
         if held and (last or held[-1][0][-1] != cols[0][0]):
             yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in cols], strict=True)]
@@ -350,28 +371,60 @@ def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id bigint, sketch array<bigint>")
 
 
-def in_blocks(members: DataFrame, most: int, weight: Column | int = 1) -> DataFrame:
-    """members with the groups g of a weight over `most` cut into blocks, so that each two members of a group still meet.
+def _weighed(members: DataFrame, weight: Column | int) -> DataFrame:
+    return members.withColumn("weight", F.lit(weight).cast("double") if isinstance(weight, int) else weight)
 
-    The members of a cut group are dealt to blocks by hash of rep and go to the groups of each two blocks; g is anew.
+
+def around_pivots(members: DataFrame, most: float, weight: Column | int = 1) -> DataFrame:
+    """members with the groups g of a weight over `most` cut into blocks by hash of rep, for a first round; g is anew.
+
+    Each member is in one block, and some PIVOTS light ones, by hash, in all. So the rows grow with the members, and the
+    components of near copies that each block finds hang together by the pivots. Pairs that meet in no block are left to in_blocks.
     """
-    sizes = members.groupBy("g").agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight).alias("weight"))
-    sizes = sizes.select("g", F.ceil(F.col("weight") * 2 / most).cast("int").alias("blocks"))
+    weighed = _weighed(members, weight)
+    sizes = weighed.groupBy("g").agg(F.ceil(F.sum("weight") * 2 / most).cast("int").alias("blocks"), F.count("*").alias("n"))
+    pivot = (F.pmod(F.xxhash64("rep", F.lit("pivot")), F.col("n")) < PIVOTS) & (F.col("weight") <= most / (2 * PIVOTS))
+    places = F.when(F.col("blocks") <= 2, F.array(F.lit(-1))).when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1))
+    places = places.otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    dealt = weighed.join(sizes, "g").withColumn("block", F.explode(places))
+    return dealt.withColumn("g", F.when(F.col("block") < 0, F.col("g")).otherwise(F.xxhash64("g", "block"))).select(members.columns)
+
+
+def in_blocks(members: DataFrame, most: float, weight: Column | int = 1) -> DataFrame:
+    """members with the groups g of a weight over `most` cut into blocks, so that each two members of other labels still meet.
+
+    Groups of one label are left out. If all but the heaviest label weigh half of `most` at the most, they go to
+    each block of that label. Else all members are dealt to blocks by hash of rep and go to the groups of each two blocks. g is anew.
+    """
+    weighed = _weighed(members, weight)
+    labels = weighed.groupBy("g", "label").agg(F.sum("weight").alias("weight"))
+    sizes = labels.groupBy("g").agg(F.count("*").alias("labels"), F.sum("weight").alias("all"), F.max(F.struct("weight", "label")).alias("main")).where("labels > 1")
+    sizes = sizes.select("g", F.col("main.label").alias("main"), (F.col("all") <= most).alias("whole"), (F.col("all") - F.col("main.weight") <= most / 2).alias("few"), F.col("all"), F.col("main.weight").alias("of_main"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.when(F.col("few"), F.col("of_main")).otherwise(F.col("all")) * 2 / most).cast("int")).drop("all", "of_main")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.when(F.col("blocks") <= 2, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own))
-    dealt = members.join(sizes, "g").withColumn("other", F.explode(other))
-    return dealt.withColumn("g", F.when(F.col("other") < 0, F.col("g")).otherwise(F.xxhash64("g", F.least(own, "other"), F.greatest(own, "other")))).drop("blocks", "other")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    other = F.when(F.col("whole"), F.array(F.lit(-1))).when(~F.col("few"), F.filter(every, lambda x: x != own))
+    other = other.when(F.col("label") == F.col("main"), F.array(own)).otherwise(every)
+    dealt = weighed.join(sizes, "g").withColumn("other", F.explode(other))
+    g = F.when(F.col("whole"), F.col("g")).when(F.col("few"), F.xxhash64("g", "other")).otherwise(F.xxhash64("g", F.least(own, "other"), F.greatest(own, "other")))
+    return dealt.withColumn("g", g).select(members.columns)
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their component in `found` (node, component) as `label`, rep where there is none."""
+    return rows.join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
 
 
-def similar_sets(doc: np.ndarray, shingle: np.ndarray, n: int, sketches: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+def similar_sets(doc: np.ndarray, shingle: np.ndarray, n: int, sketches: np.ndarray, limit: int, similarity: float, known: np.ndarray | None = None) -> np.ndarray:
     """Label of each of n documents: joined are those with a shingle similarity (Jaccard) of at least `similarity`.
 
     doc, shingle: the distinct shingles of each document, ascending. Only pairs whose sketches differ in `limit` bits or
-    fewer are compared, and no two that compared pairs have joined already. A label is a document of its component.
+    fewer are compared, and no two that compared pairs, or the components `known` before, have joined already. A label
+    is a document of its component.
     """
     ends = np.searchsorted(doc, np.arange(n + 1))
     size = np.diff(ends)
-    label = np.arange(n)
+    label = np.arange(n) if known is None else _first_of(known)
     sketches = sketches.view(np.uint64)
     for i in range(n - 1):
         later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
@@ -396,40 +449,65 @@ def similar_rows(numbered: DataFrame, row: str, text_col: str, width: int = 5, s
     A similarity of 0.8 moves a seventh of the bits of a SimHash, far beyond what one 64-bit trie can be searched for,
     so the fingerprint is long and each slice of it has a trie of its own: a pair is a candidate if some slice of
     SLICE_BITS differs in `budget` bits or fewer and the whole in a share `differing` or less, which 95 of 100 pairs at
-    0.8 meet. Candidates form groups; the texts of a group then meet in one task, where pairs within `differing` are
-    linked if their sets of shingles are as similar as asked. Groups over GROUP_ROWS rows or GROUP_CHARS characters are
-    compared by the slices' groups instead, and these in blocks, so no group is gathered whole. Rows of equal
-    fingerprints are copies: they are compared by one of them.
+    0.8 meet. Rows of equal slices are compared first; near slices are then taken only where these left components apart,
+    so that a large group of near copies has no row for each slice and subtrie. Candidates form components; the texts of
+    a component then meet in one task, where pairs within `differing` are linked if their sets of shingles are as similar
+    as asked. Components over GROUP_ROWS rows or GROUP_CHARS characters are compared in blocks first, then by the groups
+    of slices whose members are still apart, and these in blocks, so no group is gathered whole and no candidate pair
+    lost. Rows of equal fingerprints are copies: they are compared by one of them.
     """
     limit = int(differing * SLICES * SLICE_BITS)
     held = Scratch(numbered.sparkSession)
     table = held.write(long_fingerprints(numbered, row, text_col, width), "long-fingerprints")
     classes = held.write(table.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "sketches")
     halves = F.flatten(F.transform("sketch", lambda x: F.array(F.shiftrightunsigned(x, SLICE_BITS), x.bitwiseAND(F.lit((1 << SLICE_BITS) - 1)))))
-    slices = classes.select("rep", F.posexplode(halves).alias("slice", "bits")).select("rep", F.shiftleft(F.col("slice").cast("bigint"), SLICE_BITS).bitwiseOR(F.col("bits")).alias("fp"))
-    distinct = held.write(slices.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "slices")
-    near = near_groups(distinct, budget, subtrie_rows, tuple(range(BITS - SLICE_BITS, BITS)))
-    near = held.write(near.union(distinct.where("n > 1").select(F.xxhash64(F.lit("equal"), "fp").alias("g"), "fp")), "near-slices")
+
+    def slices(labelled: DataFrame) -> DataFrame:
+        at = labelled.select("rep", "label", F.posexplode(halves).alias("slice", "bits"))
+        return at.select("rep", "label", F.shiftleft(F.col("slice").cast("bigint"), SLICE_BITS).bitwiseOR(F.col("bits")).alias("fp"))
+
+    def equal_slices(labelled: DataFrame) -> DataFrame:
+        found = slices(labelled).groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        return found.where("low < high").select(F.xxhash64(F.lit("equal"), "fp").alias("g"), "fp")
+
+    def near_slices(labelled: DataFrame) -> DataFrame:
+        found = held.write(slices(labelled).groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high")), "slices")
+        return near_groups(found, budget, subtrie_rows, tuple(range(BITS - SLICE_BITS, BITS)))
+
+    def members(groups: DataFrame, labelled: DataFrame, name: str) -> DataFrame:
+        return held.write(held.write(groups, f"{name}-slices").join(slices(labelled), "fp").select("g", "fp", "rep", "label"), f"{name}-members")
 
     def join(batches):
-        for group, fp, rep, sketches in _sketch_groups(batches):
-            a, b = verified_links(group, fp, rep, sketches, budget, limit)
+        for group, fp, rep, label, sketches in _sketch_groups(batches):
+            a, b = verified_links(group, fp, rep, sketches, budget, limit, label)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         give_back()
 
-    members = near.join(slices, "fp").select("g", "fp", "rep")
-    dealt = in_blocks(members, SKETCH_ROWS).join(classes, "rep").select("g", "fp", "rep", "sketch")
-    alike = connected_components(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint"))
+    def by_sketch(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.join(classes, "rep").select("g", "fp", "rep", "label", "sketch")
+        return held.write(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint"), "sketch-links")
+
+    def alike(met: DataFrame) -> DataFrame:
+        """Links of the groups of met; those too large for one task in two rounds."""
+        large = held.write(met.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > SKETCH_ROWS).select("g"), "large-groups")
+        if large.isEmpty():
+            return by_sketch(met)
+        links = by_sketch(around_pivots(met, SKETCH_ROWS))
+        apart = _labelled(met.join(large, "g", "left_semi").drop("label"), connected_components(links.union(met.select("rep", "label"))))
+        return links.union(by_sketch(in_blocks(held.write(apart, "apart"), SKETCH_ROWS)))
+
+    apart = classes.withColumn("label", F.col("rep"))
+    links = alike(members(equal_slices(apart), apart, "equal"))
+    apart = held.write(_labelled(classes, connected_components(links)), "equal-labels")
+    links = links.union(alike(members(near_slices(apart), apart, "near")))
+
     chars = numbered.select(F.col(row).alias("rep"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
-    nodes = held.write(alike.select(F.col("node").alias("rep"), "component").join(chars, "rep"), "alike")
+    nodes = held.write(connected_components(links).select(F.col("node").alias("rep"), "component").join(chars, "rep"), "alike")
     sizes = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
     sized = held.write(nodes.join(sizes, "component").withColumn("large", (F.col("n") > GROUP_ROWS) | (F.col("all_chars") > GROUP_CHARS)), "alike-sized")
-    tasks = sized.where("not large").select(F.xxhash64(F.lit("component"), "component").alias("g"), "rep")
-    large = sized.where("large").select("rep", "chars")
     share = F.lit(1.0 / GROUP_ROWS) + F.col("chars") / F.lit(float(GROUP_CHARS))
-    hot = in_blocks(members.select("g", "rep").distinct().join(large, "rep").select("g", "rep", "chars"), 1, share).select("g", "rep")
-    tasks = tasks.union(hot)
-    wanted = tasks.join(classes, "rep").join(numbered.select(F.col(row).alias("rep"), F.col(text_col).cast("string").alias("text")), "rep")
+    grouped = sized.select(F.xxhash64(F.lit("component"), "component").alias("g"), "rep", F.col("rep").alias("label"), "chars", "large")
+    large = grouped.where("large").drop("large")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("rep")
@@ -440,13 +518,23 @@ def similar_rows(numbered: DataFrame, row: str, text_col: str, width: int = 5, s
             d, h = shingle_sets(words, width)
             docs.append(d + first)
             shingles.append(h)
-        label = similar_sets(np.concatenate(docs), np.concatenate(shingles), len(rep), sketches, limit, similarity)
+        label = similar_sets(np.concatenate(docs), np.concatenate(shingles), len(rep), sketches, limit, similarity, group["label"].to_numpy())
         child = np.flatnonzero(label != np.arange(len(rep)))
         return pa.table({"a": pa.array(rep[child], pa.int64()), "b": pa.array(rep[label[child]], pa.int64())})
 
-    links = wanted.select("g", "rep", "sketch", "text").groupBy("g").applyInArrow(compare, "a bigint, b bigint")
-    found = connected_components(links)
-    known = classes.join(found, F.col("rep") == F.col("node"), "left").select("sketch", F.coalesce("component", "rep").alias("component"))
+    def by_text(tasks: DataFrame) -> DataFrame:
+        wanted = tasks.join(classes, "rep").join(numbered.select(F.col(row).alias("rep"), F.col(text_col).cast("string").alias("text")), "rep")
+        return held.write(wanted.select("g", "rep", "label", "sketch", "text").groupBy("g").applyInArrow(compare, "a bigint, b bigint"), "links")
+
+    if large.isEmpty():
+        links = by_text(grouped.select("g", "rep", "label"))
+    else:
+        first = around_pivots(large, 1, share).select("g", "rep", "label")
+        links = by_text(grouped.where("not large").select("g", "rep", "label").union(first))
+        apart = held.write(_labelled(large.drop("g", "label"), connected_components(links)).join(classes, "rep"), "large-labels")
+        met = members(equal_slices(apart).union(near_slices(apart)), apart, "large").select("g", "rep", "label").distinct()
+        links = links.union(by_text(in_blocks(met.join(apart.select("rep", "chars"), "rep"), 1, share).select("g", "rep", "label")))
+    known = _labelled(classes, connected_components(links)).select("sketch", F.col("label").alias("component"))
     out = materialize(table.join(known, "sketch").select(F.col("doc_id").alias("row"), "component"), "similar-rows")
     held.drop()
     return out
